@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+from operator import or_
 from typing import NamedTuple
 
 from pyspark.sql import Column, DataFrame
@@ -20,33 +23,42 @@ class Parsed(NamedTuple):
     bad: DataFrame
 
 
+def _once(value: Column) -> Column:
+    """Compute ``value`` a single time per row.
+
+    Spark merges adjacent projections and would repeat an expensive parse for every field that is
+    read from it; it does not merge across a generator.
+    """
+    return F.explode(F.array(value))
+
+
 def _typed(text: Column, kind: str) -> Column:
     """Lenient scalar conversion: numbers and dates may arrive as JSON strings."""
-    text = F.nullif(F.trim(text), F.lit(""))
-    if kind == "string":
-        return text
     if kind == "timestamp":
-        return F.coalesce(F.try_to_timestamp(text),
+        return F.coalesce(text.try_cast("timestamp"),
                           F.timestamp_millis(text.try_cast("bigint")))
     return text.try_cast(kind)
 
 
+def _scalars(layout: dict[str, str]) -> dict[str, str]:
+    return {n: k for n, k in layout.items() if k not in ("string", "map<string,string>")}
+
+
 def _convert(record: Column, layout: dict[str, str]) -> dict[str, Column]:
-    out = {}
-    for name, kind in layout.items():
-        raw = record.getField(name)
-        out[name] = raw if kind in ("string", "map<string,string>") else _typed(raw, kind)
-    return out
+    typed = _scalars(layout)
+    return {n: _typed(record.getField(n), k) if n in typed else record.getField(n)
+            for n, k in layout.items()}
+
+
+def _faults(record: Column, layout: dict[str, str]) -> dict[str, Column]:
+    """Per typed field: does it hold text that is not of its type? Blank text counts as null."""
+    return {n: record.getField(n).isNotNull() & _typed(record.getField(n), k).isNull()
+            & (F.trim(record.getField(n)) != "")
+            for n, k in _scalars(layout).items()}
 
 
-def _unreadable(record: Column, layout: dict[str, str]) -> Column:
-    """Names of the fields that hold text which is not of the declared type."""
-    checks = [
-        F.when((F.trim(record.getField(name)) != "") & _typed(record.getField(name), kind).isNull(),
-               F.lit(name))
-        for name, kind in layout.items() if kind not in ("string", "map<string,string>")
-    ]
-    return F.array_compact(F.array(*checks))
+def _faulty(record: Column, layout: dict[str, str]) -> Column:
+    return reduce(or_, _faults(record, layout).values(), F.lit(False))
 
 
 def _as_text(layout: dict[str, str]) -> dict[str, str]:
@@ -66,21 +78,19 @@ def parse_events(raw: DataFrame, value: str = "value", with_record_id: bool = Fa
     rec_id = record_id() if with_record_id else F.lit(None).cast("string")
     staged = raw.select(
         text.alias("raw"), rec_id.alias("record_id"),
-        F.from_json(text, layout, {"columnNameOfCorruptRecord": _CORRUPT}).alias("e"))
+        _once(F.from_json(text, layout, {"columnNameOfCorruptRecord": _CORRUPT})).alias("e"))
     event = F.col("e")
     broken = event.isNull() | event.getField(_CORRUPT).isNotNull()
-    reason = (F.when(broken, F.lit("not a JSON object"))
-              .when(F.size(_unreadable(event, S.BEHAVIOR)) > 0,
-                    F.concat(F.lit("unreadable: "),
-                             F.array_join(_unreadable(event, S.BEHAVIOR), ","))))
+    faulty = _faulty(event, S.BEHAVIOR)
+    names = F.concat_ws(",", *[F.when(fault, n) for n, fault in _faults(event, S.BEHAVIOR).items()])
+    reason = F.when(broken, "not a JSON object").otherwise(F.concat(F.lit("unreadable: "), names))
     columns = _convert(event, S.BEHAVIOR)
     if with_record_id:
         columns["id"] = F.col("record_id")
     for flag in ("isNew", "isN"):
         columns[flag] = F.coalesce(columns[flag], F.lit(0))
-    clean = staged.filter(reason.isNull()).select(*[c.alias(n) for n, c in columns.items()])
-    bad = staged.withColumn("reason", reason).filter("reason is not null").select(
-        "record_id", "raw", "reason")
+    clean = staged.filter(~broken & ~faulty).select(*[c.alias(n) for n, c in columns.items()])
+    bad = staged.filter(broken | faulty).select("record_id", "raw", reason.alias("reason"))
     return Parsed(clean, bad)
 
 
@@ -97,7 +107,7 @@ def parse_changes(raw: DataFrame, layout: dict[str, str], value: str = "value",
                 + f">>, `{_CORRUPT}` string")
     staged = raw.select(
         text.alias("raw"),
-        F.from_json(text, envelope, {"columnNameOfCorruptRecord": _CORRUPT}).alias("e"))
+        _once(F.from_json(text, envelope, {"columnNameOfCorruptRecord": _CORRUPT})).alias("e"))
     event = F.col("e")
     broken = event.isNull() | event.getField(_CORRUPT).isNotNull()
     types = [t for t in S.CHANGE_TYPES if keep_deletes or t != "DELETE"]
@@ -105,8 +115,7 @@ def parse_changes(raw: DataFrame, layout: dict[str, str], value: str = "value",
     rows = (staged.filter(~broken & event.getField("type").isin(types))
             .select("raw", event.getField("type").alias("type"),
                     F.explode(event.getField("data")).alias("element")))
-    faults = F.size(_unreadable(element, layout)) > 0
-    clean = rows.filter(element.isNotNull() & ~faults).select(
+    clean = rows.filter(element.isNotNull() & ~_faulty(element, layout)).select(
         *[c.alias(n) for n, c in _convert(element, layout).items()], "type")
     bad = staged.select(
         "raw",
@@ -115,7 +124,7 @@ def parse_changes(raw: DataFrame, layout: dict[str, str], value: str = "value",
               F.lit("no data"))
         .when(event.getField("type").isin(types)
               & F.exists(event.getField("data"),
-                         lambda x: x.isNull() | (F.size(_unreadable(x, layout)) > 0)),
+                         lambda x: x.isNull() | _faulty(x, layout)),
               F.lit("unreadable element")).alias("reason"),
     ).filter("reason is not null")
     return Parsed(clean, bad)
@@ -125,7 +134,7 @@ def parse_lines(raw: DataFrame, layout: dict[str, str], value: str = "value",
                 separator: str = ",") -> Parsed:
     """Delimited text lines to typed columns, in the order of ``layout``."""
     text = F.col(value).cast("string")
-    staged = raw.select(text.alias("raw"), F.split(text, f"\\Q{separator}\\E", -1).alias("f"))
+    staged = raw.select(text.alias("raw"), _once(F.split(text, re.escape(separator), -1)).alias("f"))
     typed = {name: F.get(F.col("f"), F.lit(i)).try_cast(kind)
              for i, (name, kind) in enumerate(layout.items())}
     good = F.col("raw").isNotNull() & (F.size("f") >= len(layout))
