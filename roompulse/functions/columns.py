@@ -10,7 +10,7 @@ from roompulse import schemas as S
 
 def prop(key: str, column: str = "properties") -> Column:
     """Value of one key of the property bag, null when the bag lacks it."""
-    return F.try_element_at(F.col(column), F.lit(key))
+    return F.col(column)[key]
 
 
 def record_id() -> Column:

@@ -45,8 +45,10 @@ def gift_totals(events: DataFrame, dimension: DataFrame) -> DataFrame:
     popular gift does not gather in one task of the join.
     """
     dim = _keyed(dimension).drop("gift_name")
-    if events.isStreaming or fits_broadcast(dim):
-        joined = sized_join(_rewards(events).select(S.ANCHOR, S.GIFT), dim, S.GIFT)
+    small = fits_broadcast(dim)
+    if small or events.isStreaming:
+        joined = _rewards(events).select(S.ANCHOR, S.GIFT).join(
+            F.broadcast(dim) if small else dim, S.GIFT, "left")
         joined = joined.select(S.ANCHOR, F.lit(1).cast("bigint").alias("n"), "score")
     else:
         counted = _rewards(events).groupBy(S.ANCHOR, S.GIFT).agg(F.count("*").alias("n"))

@@ -20,13 +20,21 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``events`` as behaviour events; fields the table cannot fill are left out."""
+def behavior(spark: SparkSession, sf_dir: str, *event_ids: str) -> DataFrame:
+    """``events`` as behaviour events; fields the table cannot fill are left out.
+
+    A query that needs a few event ids only may name them: the condition on the computed event id
+    cannot reach the scan, one on the stored event type can.
+    """
     k = F.get_json_object("props", "$.k").cast("int")
     event = F.lit(None).cast("string")
     for theirs, ours in EVENT_IDS.items():
         event = F.when(F.col("event_type") == theirs, ours).otherwise(event)
-    return table(spark, sf_dir, "events").select(
+    rows = table(spark, sf_dir, "events")
+    if event_ids:
+        rows = rows.filter(F.col("event_type").isin(
+            [theirs for theirs, ours in EVENT_IDS.items() if ours in event_ids]))
+    return rows.select(
         F.col("event_id").cast("string").alias("id"),
         F.col("user_id").cast("string").alias("deviceId"),
         F.pmod("user_id", F.lit(10)).cast("string").alias("deviceType"),
