@@ -1,4 +1,9 @@
-"""From raw records to typed rows, with every bad record kept in a quarantine."""
+"""From raw records to typed rows, with every bad record kept in a quarantine.
+
+JSON is read in two steps. The first takes every field in its own type, which is what nearly all
+records need and what Spark reads fastest. Only records that do not fit (numbers sent as text, blank
+numbers, broken text) are read again, with all scalars as text that is then converted.
+"""
 
 from __future__ import annotations
 
@@ -14,6 +19,8 @@ from roompulse import schemas as S
 from roompulse.functions.columns import record_id
 
 _CORRUPT = "_corrupt_record"
+_FAULTY = "_faulty_record"
+_TEXTUAL = ("string", "map<string,string>")
 
 
 class Parsed(NamedTuple):
@@ -33,64 +40,77 @@ def _once(value: Column) -> Column:
 
 
 def _typed(text: Column, kind: str) -> Column:
-    """Lenient scalar conversion: numbers and dates may arrive as JSON strings."""
+    if kind in _TEXTUAL:
+        return text
     if kind == "timestamp":
         return F.coalesce(text.try_cast("timestamp"),
                           F.timestamp_millis(text.try_cast("bigint")))
     return text.try_cast(kind)
 
 
-def _scalars(layout: dict[str, str]) -> dict[str, str]:
-    return {n: k for n, k in layout.items() if k not in ("string", "map<string,string>")}
+def _strict_layout(layout: dict[str, str]) -> dict[str, str]:
+    return {n: "string" if k == "timestamp" else k for n, k in layout.items()}
 
 
-def _convert(record: Column, layout: dict[str, str]) -> dict[str, Column]:
-    typed = _scalars(layout)
-    return {n: _typed(record.getField(n), k) if n in typed else record.getField(n)
-            for n, k in layout.items()}
+def _text_layout(layout: dict[str, str]) -> dict[str, str]:
+    return {n: k if k in _TEXTUAL else "string" for n, k in layout.items()}
 
 
-def _faults(record: Column, layout: dict[str, str]) -> dict[str, Column]:
-    """Per typed field: does it hold text that is not of its type? Blank text counts as null."""
-    return {n: record.getField(n).isNotNull() & _typed(record.getField(n), k).isNull()
-            & (F.trim(record.getField(n)) != "")
-            for n, k in _scalars(layout).items()}
+def _json(text: Column, layout: str) -> Column:
+    return F.from_json(text, f"{layout}, `{_CORRUPT}` string",
+                       {"columnNameOfCorruptRecord": _CORRUPT})
+
+
+def _unfit(record: Column) -> Column:
+    return record.isNull() | record.getField(_CORRUPT).isNotNull()
 
 
-def _faulty(record: Column, layout: dict[str, str]) -> Column:
-    return reduce(or_, _faults(record, layout).values(), F.lit(False))
+def _read_twice(raw: DataFrame, text: str, strict: str, lenient: str) -> DataFrame:
+    """Add ``_strict`` and ``_lenient``; the latter is null unless the former does not fit."""
+    once = raw.select("*", _once(_json(F.col(text), strict)).alias("_strict"))
+    return once.select("*", _once(
+        F.when(_unfit(F.col("_strict")), _json(F.col(text), lenient))).alias("_lenient"))
 
 
-def _as_text(layout: dict[str, str]) -> dict[str, str]:
-    return {n: k if k == "map<string,string>" else "string" for n, k in layout.items()}
+def _wrong(text: Column, kind: str) -> Column:
+    """Does it hold text that is not of its type? Blank text counts as null."""
+    return text.isNotNull() & _typed(text, kind).isNull() & (F.trim(text) != "")
+
+
+def _faults(record: Column, layout: dict[str, str]) -> dict[str, Column]:
+    return {n: F.coalesce(_wrong(record.getField(n), k), F.lit(False))
+            for n, k in layout.items() if k not in _TEXTUAL}
 
 
 def parse_events(raw: DataFrame, value: str = "value", with_record_id: bool = False) -> Parsed:
     """JSON text to behaviour events.
 
-    ``with_record_id`` takes ``id`` from the Kafka position instead of from the text. Scalars are
-    read as text and then converted, so ``"1"`` and ``1`` are the same number; unknown fields are
-    ignored. Bad: text that is not a JSON object (also empty text and JSON ``null``) and numbers
-    that cannot be read.
+    ``with_record_id`` takes ``id`` from the Kafka position instead of from the text. ``"1"`` and
+    ``1`` are the same number; unknown fields are ignored. Bad: text that is not a JSON object (also
+    empty text and JSON ``null``) and numbers that cannot be read.
     """
-    text = F.col(value).cast("string")
-    layout = S.ddl({**_as_text(S.BEHAVIOR), _CORRUPT: "string"})
     rec_id = record_id() if with_record_id else F.lit(None).cast("string")
-    staged = raw.select(
-        text.alias("raw"), rec_id.alias("record_id"),
-        _once(F.from_json(text, layout, {"columnNameOfCorruptRecord": _CORRUPT})).alias("e"))
-    event = F.col("e")
-    broken = event.isNull() | event.getField(_CORRUPT).isNotNull()
-    faulty = _faulty(event, S.BEHAVIOR)
-    names = F.concat_ws(",", *[F.when(fault, n) for n, fault in _faults(event, S.BEHAVIOR).items()])
-    reason = F.when(broken, "not a JSON object").otherwise(F.concat(F.lit("unreadable: "), names))
-    columns = _convert(event, S.BEHAVIOR)
+    staged = _read_twice(
+        raw.select(F.col(value).cast("string").alias("raw"), rec_id.alias("record_id")), "raw",
+        S.ddl(_strict_layout(S.BEHAVIOR)), S.ddl(_text_layout(S.BEHAVIOR)))
+    unfit, lenient = _unfit(F.col("_strict")), F.col("_lenient")
+    broken = unfit & _unfit(lenient)
+    faults = _faults(lenient, S.BEHAVIOR)
+    faulty = unfit & reduce(or_, faults.values())
+
+    columns = {n: F.when(unfit, _typed(lenient.getField(n), k))
+               .otherwise(F.col("_strict").getField(n)) for n, k in S.BEHAVIOR.items()}
     if with_record_id:
         columns["id"] = F.col("record_id")
     for flag in ("isNew", "isN"):
         columns[flag] = F.coalesce(columns[flag], F.lit(0))
     clean = staged.filter(~broken & ~faulty).select(*[c.alias(n) for n, c in columns.items()])
-    bad = staged.filter(broken | faulty).select("record_id", "raw", reason.alias("reason"))
+
+    names = F.concat_ws(",", *[F.when(fault, n) for n, fault in faults.items()])
+    bad = staged.filter(broken | faulty).select(
+        "record_id", "raw",
+        F.when(broken, "not a JSON object")
+        .otherwise(F.concat(F.lit("unreadable: "), names)).alias("reason"))
     return Parsed(clean, bad)
 
 
@@ -99,33 +119,45 @@ def parse_changes(raw: DataFrame, layout: dict[str, str], value: str = "value",
     """Change-log envelopes ``{"type": ..., "data": [...]}`` to one typed row per element.
 
     Only INSERT, UPDATE and DELETE envelopes count; each row carries the ``type`` of its envelope.
-    A DELETE row stays an ordinary row unless ``keep_deletes`` is false.
+    A DELETE row stays an ordinary row unless ``keep_deletes`` is false. An element with an
+    unreadable field is left out of ``clean`` and puts its envelope into ``bad``.
     """
-    text = F.col(value).cast("string")
-    envelope = (f"`type` string, `data` array<struct<"
-                + ", ".join(f"`{n}`: {k}" for n, k in _as_text(layout).items())
-                + f">>, `{_CORRUPT}` string")
-    staged = raw.select(
-        text.alias("raw"),
-        _once(F.from_json(text, envelope, {"columnNameOfCorruptRecord": _CORRUPT})).alias("e"))
-    event = F.col("e")
-    broken = event.isNull() | event.getField(_CORRUPT).isNotNull()
+    def envelope(fields: dict[str, str]) -> str:
+        inner = ", ".join(f"`{n}`: {k}" for n, k in fields.items())
+        return f"`type` string, `data` array<struct<{inner}>>"
+
+    # Strict and lenient elements take one shape: typed, dates still as text, faults marked.
+    strict_fields = _strict_layout(layout)
+    read = _read_twice(raw.select(F.col(value).cast("string").alias("raw")), "raw",
+                       envelope({**strict_fields, _FAULTY: "boolean"}),
+                       envelope(_text_layout(layout)))
+    unfit = _unfit(F.col("_strict"))
+    converted = F.transform("_lenient.data", lambda x: F.struct(
+        *[_typed(x.getField(n), k).alias(n) for n, k in strict_fields.items()],
+        reduce(or_, _faults(x, strict_fields).values()).alias(_FAULTY)))
     types = [t for t in S.CHANGE_TYPES if keep_deletes or t != "DELETE"]
+    staged = read.select(
+        "raw", (unfit & _unfit(F.col("_lenient"))).alias("broken"),
+        F.when(unfit, F.col("_lenient.type")).otherwise(F.col("_strict.type")).alias("type"),
+        F.when(unfit, converted).otherwise(F.col("_strict.data")).alias("data"))
+
+    dates = {n: k for n, k in layout.items() if k == "timestamp"}
+
+    def faulty(x: Column) -> Column:
+        return reduce(or_, _faults(x, dates).values(), F.coalesce(x.getField(_FAULTY), F.lit(False)))
+
+    kept = staged.filter(~F.col("broken") & F.col("type").isin(types))
     element = F.col("element")
-    rows = (staged.filter(~broken & event.getField("type").isin(types))
-            .select("raw", event.getField("type").alias("type"),
-                    F.explode(event.getField("data")).alias("element")))
-    clean = rows.filter(element.isNotNull() & ~_faulty(element, layout)).select(
-        *[c.alias(n) for n, c in _convert(element, layout).items()], "type")
-    bad = staged.select(
+    clean = (kept.select("type", F.explode("data").alias("element"))
+             .filter(element.isNotNull() & ~faulty(element))
+             .select(*[(_typed(element.getField(n), k) if n in dates else element.getField(n)).alias(n)
+                       for n, k in layout.items()], "type"))
+    bad = staged.filter(F.col("broken") | F.col("type").isin(types)).select(
         "raw",
-        F.when(broken, F.lit("not a JSON object"))
-        .when(event.getField("type").isin(types) & event.getField("data").isNull(),
-              F.lit("no data"))
-        .when(event.getField("type").isin(types)
-              & F.exists(event.getField("data"),
-                         lambda x: x.isNull() | _faulty(x, layout)),
-              F.lit("unreadable element")).alias("reason"),
+        F.when(F.col("broken"), "not a JSON object")
+        .when(F.col("data").isNull(), "no data")
+        .when(F.exists("data", lambda x: x.isNull() | faulty(x)), "unreadable element")
+        .alias("reason"),
     ).filter("reason is not null")
     return Parsed(clean, bad)
 
