@@ -19,7 +19,7 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     """Per row, the total over all rows of its key up to (and, if ``inclusive``, with) itself.
 
     One window over a hot key would sort that key in a single task. Here the order is cut into
-    ``cells``: columns, coarse to fine, that never decrease along ``order`` (a minute of the event
+    ``cells``: numbers, coarse to fine, that never decrease along ``order`` (a minute of the event
     time, say). Rows are summed within ``keys + cells`` only, and each cell then receives the total
     of the cells before it, which is a window over pre-aggregated cells. The largest task holds one
     finest cell, or the list of cells inside one coarser cell, whichever is greater.
@@ -29,7 +29,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     aggregate, join_up = _COMBINE[how]
     names = [f"_cell{i}" for i in range(len(cells))]
     parts = {name: f"_part_{name}" for name in totals}
-    base = df.withColumns({**dict(zip(names, cells)), **{parts[n]: c for n, c in totals.items()}})
+    # Rows without an order value sort first; so does their cell.
+    numbers = [F.coalesce(c.cast("bigint"), F.lit(-2**63)) for c in cells]
+    base = df.withColumns({**dict(zip(names, numbers)), **{parts[n]: c for n, c in totals.items()}})
 
     within = (Window.partitionBy(*keys, *names).orderBy(*order)
               .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import tempfile
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 # Runtime SQL settings; none of them fixes a cluster size.
 SETTINGS = {
@@ -46,14 +46,27 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str
     return spark
 
 
+_own_folder: dict[str, str] = {}
+
+
 def shared_folder(spark: SparkSession) -> str:
-    """Folder for streaming progress and staged tables.
+    """Folder for checkpoints, streaming progress and staged tables.
 
     A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is taken, once per session.
+    temporary folder is taken, once per application.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        folder = tempfile.mkdtemp(prefix="roompulse-")
-        spark.conf.set("spark.checkpoint.dir", folder)
+        app = spark.sparkContext.applicationId
+        if app not in _own_folder:
+            _own_folder[app] = tempfile.mkdtemp(prefix="roompulse-")
+        folder = _own_folder[app]
     return folder.rstrip("/")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """Compute a small intermediate table once and keep it in the shared folder."""
+    context = df.sparkSession.sparkContext
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(shared_folder(df.sparkSession))
+    return df.checkpoint()

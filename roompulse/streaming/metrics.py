@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from roompulse import schemas as S
 from roompulse.functions.bloom import BloomShape
+from roompulse.functions.columns import live_delta
 from roompulse.operators.filters import only_event
 from roompulse.operators.joins import sized_join
 from roompulse.operators.ranking import top_k
@@ -45,6 +46,20 @@ def flag_new_users_approx_stream(events: DataFrame, shape: BloomShape = BloomSha
     return bloom_seen_stream(rows, "deviceType", "deviceId", ORDER, shape)
 
 
+def audience_window_now_stream(events: DataFrame, size_ms: int = 2_000) -> DataFrame:
+    """Change of the audience per room and window of processing time.
+
+    For running totals every two seconds, ``audience_totals`` in update mode with a trigger of that
+    length says the same with less state.
+    """
+    delta = live_delta()
+    now = live_events(events, S.ANCHOR).withColumn("arrived", F.current_timestamp())
+    return (now.withWatermark("arrived", "0 seconds")
+            .groupBy(F.window("arrived", interval(size_ms)), S.ANCHOR)
+            .agg(F.sum(delta["online"]).alias("online"), F.sum(delta["total"]).alias("total"))
+            .select(S.ANCHOR, *window_bounds(), "online", "total"))
+
+
 def audience_visits_stream(events: DataFrame, dwell_ms: int = MINUTE,
                            delay_ms: int = 0) -> DataFrame:
     """One row per settled visit with ``valid`` 0 or 1; their sum per room is the valid audience."""

@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 def staged(df: DataFrame, order: str, files: int) -> tuple[str, str]:
     """Write ``df`` as ``files`` parquet files in ascending ``order``; folder and schema."""
     folder = tempfile.mkdtemp(prefix="staged-")
-    bounds = df.approxQuantile(order, [i / files for i in range(1, files)], 0.0)
+    bounds = df.approxQuantile(order, [i / files for i in range(1, files)], 0.0) if files > 1 else []
     edges = [float("-inf"), *bounds, float("inf")]
     table = df.toArrow()
     import pyarrow.compute as pc

@@ -107,6 +107,43 @@ def test_gift_dimension_is_read_per_batch(spark, source):
     assert {r["batch_id"]: r["s"] for r in got.collect()} == {0: [1.0], 1: [2.0], 2: [3.0], 3: [4.0]}
 
 
+def test_processing_time_windows_add_up(spark, events, source):
+    folder = tempfile.mkdtemp()
+    q = (M.audience_window_now_stream(stream(spark, source), 1).writeStream.outputMode("update")
+         .foreachBatch(batch_table(folder)).option("checkpointLocation", tempfile.mkdtemp())
+         .trigger(availableNow=True).start())
+    assert q.awaitTermination(120)
+    added = _last(folder, spark, ["anchor_id", "window_start"], ["online", "total"])
+    added = added.groupBy("anchor_id").agg(F.sum("online").alias("online"), F.sum("total").alias("total"))
+    assert bag(added) == bag(audience.audience_totals(events))
+
+
+def test_running_audience_replay(spark, events):
+    """A batch that is run again gives the same rows and leaves the same totals."""
+    folder, state = tempfile.mkdtemp(), tempfile.mkdtemp()
+    step = M.running_audience_batches(state, batch_table(folder))
+    half = events.agg(F.percentile_approx("timestamp", 0.5)).first()[0]
+    parts = [events.filter(F.col("timestamp") <= half), events.filter(F.col("timestamp") > half)]
+    for number in (0, 1, 1):
+        step(parts[number], number)
+    assert bag(read_table(spark, folder).drop("batch_id")) == bag(audience.audience_running(events))
+
+
+def test_idle_side_holds_the_join_back_and_loses_nothing(spark):
+    """A join side without rows keeps windows open; details come out once it moves on."""
+    from roompulse.plans.orders import order_window_join
+    def frame(rows, columns):
+        return spark.createDataFrame(rows, columns).withColumn("update_time", F.timestamp_millis("t")).drop("t")
+    detail = frame([(1, 1, 1000), (2, 2, 9_000), (3, 3, 30_000)], "id bigint, order_id bigint, t bigint")
+    idle = frame([(9, 500)], "oid bigint, t bigint")
+    moved = frame([(9, 500), (1, 2_000), (8, 40_000)], "oid bigint, t bigint")
+    d = staged_by_time(detail, 1)
+    held = run(order_window_join(stream(spark, d), stream(spark, staged_by_time(idle, 1)), delay_ms=0))
+    assert held.count() == 0
+    went = run(order_window_join(stream(spark, d), stream(spark, staged_by_time(moved, 1)), delay_ms=0))
+    assert sorted(tuple(r) for r in went.select("id", "main_oid").collect()) == [(1, 1), (2, None)]
+
+
 def test_running_audience_per_row(spark, events, source):
     folder, state = tempfile.mkdtemp(), tempfile.mkdtemp()
     run_batches(stream(spark, source), M.running_audience_batches(state, batch_table(folder)))
