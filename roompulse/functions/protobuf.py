@@ -9,6 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Iterable, Iterator, Sequence
 from functools import lru_cache
+from itertools import accumulate
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -102,23 +103,31 @@ def decode_events(messages: DataFrame, value: str = "value", keep: Sequence[str]
     return got.select(*keep, *[c.alias(n) for n, c in typed.items()])
 
 
+def _maps(column: pa.MapArray) -> list[dict | None]:
+    """Rows of a map column, from its flat keys and values; offsets count from their start."""
+    keys, items = column.keys.to_pylist(), column.items.to_pylist()
+    ends = column.offsets.to_pylist()
+    out = []
+    for here, after, there in zip(ends, ends[1:], column.is_valid().to_pylist()):
+        pairs = zip(keys[here:after], items[here:after])
+        out.append({k: v for k, v in pairs if v is not None} if there else None)
+    return out
+
+
 def _encoder(fields: list[str], keep: list[str]):
     def encode(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         build = message_class()
         for batch in batches:
-            columns = [batch.column(n).to_pylist() for n in fields]
-            out = []
-            for row in zip(*columns):
-                values = {n: dict(v) if n == "properties" else v
-                          for n, v in zip(fields, row) if v is not None}
-                out.append(build(**values).SerializeToString())
+            columns = [_maps(batch.column(n)) if n == "properties" else batch.column(n).to_pylist()
+                       for n in fields]
+            out = [build(**{n: v for n, v in zip(fields, row) if v is not None}).SerializeToString()
+                   for row in zip(*columns)]
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in keep], pa.array(out, pa.binary())], [*keep, "value"])
     return encode
 
 
-_ARROW = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32(),
-          "map<string,string>": pa.map_(pa.string(), pa.string())}
+_ARROW = {"string": pa.string(), "double": pa.float64(), "bigint": pa.int64(), "int": pa.int32()}
 
 
 def _decoder(fields: list[str], value: str, keep: list[str]):
@@ -129,10 +138,14 @@ def _decoder(fields: list[str], value: str, keep: list[str]):
             columns = []
             for n in fields:
                 if n == "properties":
-                    got = [list(m.properties.items()) for m in read]
+                    bags = [m.properties for m in read]
+                    ends = [0, *accumulate(map(len, bags))]
+                    columns.append(pa.MapArray.from_arrays(
+                        pa.array(ends, pa.int32()),
+                        pa.array([k for b in bags for k in b], pa.string()),
+                        pa.array([b[k] for b in bags for k in b], pa.string())))
                 else:
-                    got = [getattr(m, n) or None for m in read]
-                columns.append(pa.array(got, _ARROW[WIRE[n]]))
+                    columns.append(pa.array([getattr(m, n) or None for m in read], _ARROW[WIRE[n]]))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in keep], *columns], [*keep, *fields])
     return decode

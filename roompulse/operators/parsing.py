@@ -57,8 +57,13 @@ def _text_layout(layout: dict[str, str]) -> dict[str, str]:
 
 
 def _json(text: Column, layout: str) -> Column:
-    return F.from_json(text, f"{layout}, `{_CORRUPT}` string",
-                       {"columnNameOfCorruptRecord": _CORRUPT})
+    """Text to a record; null at once for text that does not end like an object.
+
+    Text that breaks off is the usual damage, and a parser error costs far more than a parse.
+    """
+    return F.when(F.rtrim(text, F.lit(" \t\r\n")).endswith("}"),
+                  F.from_json(text, f"{layout}, `{_CORRUPT}` string",
+                              {"columnNameOfCorruptRecord": _CORRUPT}))
 
 
 def _unfit(record: Column) -> Column:

@@ -23,10 +23,11 @@ def test_events_good_and_bad(spark):
         '{"deviceId":"d3","timestamp":""}',
         '{"deviceId":"d4","timestamp":"soon","isNew":"no"}',
         '{"deviceId":"d5","eventId":',
+        '{"deviceId":"d6"} tail', '{"deviceId":"d8"} \n',
         "", "null", "[1]", "word", None)
     got = parse_events(raw)
     rows = {r["deviceId"]: r for r in got.clean.collect()}
-    assert set(rows) == {"d1", "7", "d3"}
+    assert set(rows) == {"d1", "7", "d3", "d8"}
     assert got.clean.columns == list(S.BEHAVIOR)
     assert rows["d1"]["timestamp"] == 1000 and rows["d1"]["isNew"] == 1 and rows["d1"]["isN"] == 0
     assert rows["d1"]["properties"] == {"a": "1", "b": "x"}
@@ -35,7 +36,8 @@ def test_events_good_and_bad(spark):
     bad = {r["raw"]: r["reason"] for r in got.bad.collect()}
     assert bad.pop('{"deviceId":"d4","timestamp":"soon","isNew":"no"}') == "unreadable: timestamp,isNew"
     assert set(bad.values()) == {"not a JSON object"}
-    assert set(bad) == {'{"deviceId":"d5","eventId":', "", "null", "[1]", "word", None}
+    assert set(bad) == {'{"deviceId":"d5","eventId":', '{"deviceId":"d6"} tail',
+                        "", "null", "[1]", "word", None}
 
 
 def test_record_id_replaces_id(spark):
@@ -120,3 +122,12 @@ def test_protobuf_wire_format():
     assert 23 not in S.PROTO_TAGS.values() and "isN" not in fields
     assert fields["lastUpdate"][1] == fields["id"][1]
     assert message_class()(id="a").SerializeToString() == b"\n\x01a"
+
+
+def test_map_column_rows():
+    import pyarrow as pa
+    from roompulse.functions.protobuf import _maps
+    column = pa.array([[("a", "1"), ("b", None)], None, [], [("c", "3")]], pa.map_(pa.string(), pa.string()))
+    rows = [{"a": "1"}, None, {}, {"c": "3"}]
+    for start in range(4):
+        assert _maps(column.slice(start)) == rows[start:]
