@@ -1,8 +1,7 @@
 """From raw records to typed rows, with every bad record kept in a quarantine.
 
-JSON is read in two steps. The first takes every field in its own type, which is what nearly all
-records need and what Spark reads fastest. Only records that do not fit (numbers sent as text, blank
-numbers, broken text) are read again, with all scalars as text that is then converted.
+JSON scalars are read as text and then converted. A schema with number types would refuse numbers that
+arrive as text, which change-logs send as a rule, and each refusal costs a parser error.
 """
 
 from __future__ import annotations
@@ -19,7 +18,6 @@ from roompulse import schemas as S
 from roompulse.functions.columns import record_id
 
 _CORRUPT = "_corrupt_record"
-_FAULTY = "_faulty_record"
 _TEXTUAL = ("string", "map<string,string>")
 
 
@@ -48,43 +46,36 @@ def _typed(text: Column, kind: str) -> Column:
     return text.try_cast(kind)
 
 
-def _strict_layout(layout: dict[str, str]) -> dict[str, str]:
-    return {n: "string" if k == "timestamp" else k for n, k in layout.items()}
-
-
 def _text_layout(layout: dict[str, str]) -> dict[str, str]:
     return {n: k if k in _TEXTUAL else "string" for n, k in layout.items()}
 
 
-def _json(text: Column, layout: str) -> Column:
+def _json(text: str, layout: str) -> Column:
     """Text to a record; null at once for text that does not end like an object.
 
     Text that breaks off is the usual damage, and a parser error costs far more than a parse.
     """
-    return F.when(F.rtrim(text, F.lit(" \t\r\n")).endswith("}"),
+    return F.when(F.rtrim(F.col(text), F.lit(" \t\r\n")).endswith("}"),
                   F.from_json(text, f"{layout}, `{_CORRUPT}` string",
                               {"columnNameOfCorruptRecord": _CORRUPT}))
 
 
-def _unfit(record: Column) -> Column:
+def _broken(record: Column) -> Column:
     return record.isNull() | record.getField(_CORRUPT).isNotNull()
 
 
-def _read_twice(raw: DataFrame, text: str, strict: str, lenient: str) -> DataFrame:
-    """Add ``_strict`` and ``_lenient``; the latter is null unless the former does not fit."""
-    once = raw.select("*", _once(_json(F.col(text), strict)).alias("_strict"))
-    return once.select("*", _once(
-        F.when(_unfit(F.col("_strict")), _json(F.col(text), lenient))).alias("_lenient"))
-
-
-def _wrong(text: Column, kind: str) -> Column:
-    """Does it hold text that is not of its type? Blank text counts as null."""
-    return text.isNotNull() & _typed(text, kind).isNull() & (F.trim(text) != "")
+def _faults(record: Column, layout: dict[str, str]) -> dict[str, Column]:
+    """Per field, whether it holds text that is not of its type. Blank text counts as null."""
+    out = {}
+    for n, k in layout.items():
+        if k not in _TEXTUAL:
+            text = record.getField(n)
+            out[n] = text.isNotNull() & _typed(text, k).isNull() & (F.trim(text) != "")
+    return out
 
 
-def _faults(record: Column, layout: dict[str, str]) -> dict[str, Column]:
-    return {n: F.coalesce(_wrong(record.getField(n), k), F.lit(False))
-            for n, k in layout.items() if k not in _TEXTUAL}
+def _faulty(record: Column, layout: dict[str, str]) -> Column:
+    return reduce(or_, _faults(record, layout).values())
 
 
 def parse_events(raw: DataFrame, value: str = "value", with_record_id: bool = False) -> Parsed:
@@ -95,23 +86,19 @@ def parse_events(raw: DataFrame, value: str = "value", with_record_id: bool = Fa
     empty text and JSON ``null``) and numbers that cannot be read.
     """
     rec_id = record_id() if with_record_id else F.lit(None).cast("string")
-    staged = _read_twice(
-        raw.select(F.col(value).cast("string").alias("raw"), rec_id.alias("record_id")), "raw",
-        S.ddl(_strict_layout(S.BEHAVIOR)), S.ddl(_text_layout(S.BEHAVIOR)))
-    unfit, lenient = _unfit(F.col("_strict")), F.col("_lenient")
-    broken = unfit & _unfit(lenient)
-    faults = _faults(lenient, S.BEHAVIOR)
-    faulty = unfit & reduce(or_, faults.values())
-
-    columns = {n: F.when(unfit, _typed(lenient.getField(n), k))
-               .otherwise(F.col("_strict").getField(n)) for n, k in S.BEHAVIOR.items()}
+    staged = (raw.select(F.col(value).cast("string").alias("raw"), rec_id.alias("record_id"))
+              .select("*", _once(_json("raw", S.ddl(_text_layout(S.BEHAVIOR)))).alias("e")))
+    event = F.col("e")
+    broken, faulty = _broken(event), _faulty(event, S.BEHAVIOR)
+
+    columns = {n: _typed(event.getField(n), k) for n, k in S.BEHAVIOR.items()}
     if with_record_id:
         columns["id"] = F.col("record_id")
     for flag in ("isNew", "isN"):
         columns[flag] = F.coalesce(columns[flag], F.lit(0))
     clean = staged.filter(~broken & ~faulty).select(*[c.alias(n) for n, c in columns.items()])
 
-    names = F.concat_ws(",", *[F.when(fault, n) for n, fault in faults.items()])
+    names = F.concat_ws(",", *[F.when(f, n) for n, f in _faults(event, S.BEHAVIOR).items()])
     bad = staged.filter(broken | faulty).select(
         "record_id", "raw",
         F.when(broken, "not a JSON object")
@@ -127,42 +114,24 @@ def parse_changes(raw: DataFrame, layout: dict[str, str], value: str = "value",
     A DELETE row stays an ordinary row unless ``keep_deletes`` is false. An element with an
     unreadable field is left out of ``clean`` and puts its envelope into ``bad``.
     """
-    def envelope(fields: dict[str, str]) -> str:
-        inner = ", ".join(f"`{n}`: {k}" for n, k in fields.items())
-        return f"`type` string, `data` array<struct<{inner}>>"
-
-    # Strict and lenient elements take one shape: typed, dates still as text, faults marked.
-    strict_fields = _strict_layout(layout)
-    read = _read_twice(raw.select(F.col(value).cast("string").alias("raw")), "raw",
-                       envelope({**strict_fields, _FAULTY: "boolean"}),
-                       envelope(_text_layout(layout)))
-    unfit = _unfit(F.col("_strict"))
-    converted = F.transform("_lenient.data", lambda x: F.struct(
-        *[_typed(x.getField(n), k).alias(n) for n, k in strict_fields.items()],
-        reduce(or_, _faults(x, strict_fields).values()).alias(_FAULTY)))
+    fields = ", ".join(f"`{n}`: {k}" for n, k in _text_layout(layout).items())
+    staged = (raw.select(F.col(value).cast("string").alias("raw"))
+              .select("*", _once(_json("raw", f"`type` string, `data` array<struct<{fields}>>"))
+                      .alias("e")))
+    event, element = F.col("e"), F.col("element")
     types = [t for t in S.CHANGE_TYPES if keep_deletes or t != "DELETE"]
-    staged = read.select(
-        "raw", (unfit & _unfit(F.col("_lenient"))).alias("broken"),
-        F.when(unfit, F.col("_lenient.type")).otherwise(F.col("_strict.type")).alias("type"),
-        F.when(unfit, converted).otherwise(F.col("_strict.data")).alias("data"))
-
-    dates = {n: k for n, k in layout.items() if k == "timestamp"}
-
-    def faulty(x: Column) -> Column:
-        return reduce(or_, _faults(x, dates).values(), F.coalesce(x.getField(_FAULTY), F.lit(False)))
-
-    kept = staged.filter(~F.col("broken") & F.col("type").isin(types))
-    element = F.col("element")
-    clean = (kept.select("type", F.explode("data").alias("element"))
-             .filter(element.isNotNull() & ~faulty(element))
-             .select(*[(_typed(element.getField(n), k) if n in dates else element.getField(n)).alias(n)
-                       for n, k in layout.items()], "type"))
-    bad = staged.filter(F.col("broken") | F.col("type").isin(types)).select(
+    kept = event.getField("type").isin(types)
+    clean = (staged.filter(~_broken(event) & kept)
+             .select(event.getField("type").alias("type"),
+                     F.explode(event.getField("data")).alias("element"))
+             .filter(element.isNotNull() & ~_faulty(element, layout))
+             .select(*[_typed(element.getField(n), k).alias(n) for n, k in layout.items()], "type"))
+    bad = staged.filter(_broken(event) | kept).select(
         "raw",
-        F.when(F.col("broken"), "not a JSON object")
-        .when(F.col("data").isNull(), "no data")
-        .when(F.exists("data", lambda x: x.isNull() | faulty(x)), "unreadable element")
-        .alias("reason"),
+        F.when(_broken(event), "not a JSON object")
+        .when(event.getField("data").isNull(), "no data")
+        .when(F.exists(event.getField("data"), lambda x: x.isNull() | _faulty(x, layout)),
+              "unreadable element").alias("reason"),
     ).filter("reason is not null")
     return Parsed(clean, bad)
 
