@@ -35,9 +35,11 @@ def flag_first_seen_bloom(df: DataFrame, group: str, key: str, order: Sequence[s
     """
     known = df.filter(F.col(key).isNotNull() & F.col(group).isNotNull())
     first = known.groupBy(group, key).agg(F.min(F.struct(*dict.fromkeys([*order, row_id]))).alias("_first"))
-    owners = (first.select(group, "_first", F.explode(bit_columns(F.col(key), shape)).alias("_bit"))
+    bits = F.explode(bit_columns(F.col(key), shape)).alias("_bit")
+    owners = (first.select(group, "_first", bits)
               .groupBy(group, "_bit").agg(F.min("_first").alias("_first")))
-    return _mark(df, owners.select(F.col(f"_first.{row_id}").alias(row_id)).distinct(), row_id, flag)
+    winners = owners.select(F.col(f"_first.{row_id}").alias(row_id)).distinct()
+    return _mark(df, winners, row_id, flag)
 
 
 def _mark(df: DataFrame, ids: DataFrame, row_id: str, flag: str) -> DataFrame:

@@ -31,10 +31,10 @@ def sized_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how:
 
 
 def latest_by(df: DataFrame, key: str, version: str) -> DataFrame:
-    """Last written row of each key."""
-    rest = [c for c in df.columns if c != key]
-    return (df.groupBy(key).agg(F.max_by(F.struct(*rest), F.col(version)).alias("_last"))
-            .select(key, *[F.col(f"_last.{c}").alias(c) for c in rest]))
+    """Last written row of each key; rows of the same version are told apart by their values."""
+    rest = [c for c in df.columns if c not in (key, version)]
+    return (df.groupBy(key).agg(F.max(F.struct(version, *rest)).alias("_last"))
+            .select(key, *[F.col(f"_last.{c}").alias(c) for c in [version, *rest]]))
 
 
 def window_left_join(left: DataFrame, right: DataFrame, left_key: str, right_key: str,

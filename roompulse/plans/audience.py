@@ -20,11 +20,16 @@ def live_events(events: DataFrame, *props: str) -> DataFrame:
     return with_props(only_events(events, S.LIVE_ENTER, S.LIVE_LEAVE), *props)
 
 
-def audience_running(events: DataFrame, cell_ms: int = MINUTE) -> DataFrame:
-    """Online and cumulative viewers of the room after each enter or leave."""
+def audience_running(events: DataFrame, *cells_ms: int) -> DataFrame:
+    """Online and cumulative viewers of the room after each enter or leave.
+
+    ``cells_ms`` are the cell widths, coarse to fine; one minute unless given. Very dense rooms
+    take more levels, such as an hour and a second.
+    """
     rows = live_events(events, S.ANCHOR).select(S.ANCHOR, "id", "timestamp", "eventId")
     return running_totals(
-        rows, [S.ANCHOR], ["timestamp", "id"], live_delta(), [floor_to("timestamp", cell_ms)],
+        rows, [S.ANCHOR], ["timestamp", "id"], live_delta(),
+        [floor_to("timestamp", width) for width in cells_ms or (MINUTE,)],
     ).select(S.ANCHOR, "id", "timestamp", "online", "total")
 
 

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,11 +27,21 @@ STATE_STORE = {
 
 def tune(spark: SparkSession, streaming: bool = False) -> SparkSession:
     """Apply the runtime settings to an existing session."""
+    _let_local_workers_import(spark)
     for key, value in {**SETTINGS, **(STATE_STORE if streaming else {})}.items():
         spark.conf.set(key, value)
     return spark
 
 
+def _let_local_workers_import(spark: SparkSession) -> None:
+    """Python workers of a local master find this package; a cluster gets it with ``--py-files``."""
+    context = spark.sparkContext
+    home = str(Path(__file__).resolve().parents[1])
+    paths = [p for p in context.environment.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if context.master.startswith("local") and home not in paths:
+        context.environment["PYTHONPATH"] = os.pathsep.join([home, *paths])
+
+
 def local_session(cores: int | str = "*", shuffle_partitions: int = 8, app: str = "roompulse",
                   **extra: str) -> SparkSession:
     """A session for tests and for ``bench.py``; clusters bring their own."""

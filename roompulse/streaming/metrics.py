@@ -131,7 +131,7 @@ def gift_batches(load_dimension: Callable[[], DataFrame], sink: BatchFn) -> Batc
     return look_up
 
 
-def running_audience_batches(folder: str, sink: BatchFn, cell_ms: int = MINUTE) -> BatchFn:
+def running_audience_batches(folder: str, sink: BatchFn, *cells_ms: int) -> BatchFn:
     """``foreachBatch`` function: one row per enter or leave with the running totals of its room.
 
     Inside a micro-batch the batch operator does the work, so a hot room is spread over tasks. The
@@ -144,7 +144,7 @@ def running_audience_batches(folder: str, sink: BatchFn, cell_ms: int = MINUTE)
         rows = rows.persist()
         try:
             now = audience_totals(rows)
-            running = audience_running(rows, cell_ms)
+            running = audience_running(rows, *cells_ms)
             if batch_id > 0:
                 before = spark.read.parquet(f"{folder}/batch_id={batch_id - 1}")
                 running = sized_join(
