@@ -7,6 +7,13 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from roompulse.functions.columns import floor_to
+
+# Rows of one key that a task may sort at once.
+ROWS_PER_TASK = 4_000_000
+# Cell widths in ms; each step holds at most 3,600 or 1,000 cells of the next.
+_WIDTHS = (3_600_000, 60_000, 1_000, 1)
+
 _COMBINE = {
     "sum": (F.sum, lambda here, before: F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))),
     "max": (F.max, F.greatest),
@@ -52,3 +59,24 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
             summed = summed.groupBy(*on[:-1]).agg(
                 *[aggregate(parts[name]).alias(parts[name]) for name in totals])
     return out.drop(*names, *parts.values())
+
+
+def cell_widths(df: DataFrame, keys: Sequence[str], ts: str,
+                rows_per_task: int | None = None) -> list[int]:
+    """Widths, coarse to fine, of the cells that the densest key needs; empty when it needs none.
+
+    Counts are combined before they are shuffled, so measuring costs a scan of the key and the time.
+    Cells that hold hardly a row would only add work, hence the measuring.
+    """
+    limit = rows_per_task or ROWS_PER_TASK
+    widths: list[int] = []
+    for width in _WIDTHS:
+        counted = df.groupBy(*keys, floor_to(ts, width).alias("_cell")).agg(F.count("*").alias("_n"))
+        seen = (counted.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.max("_n").alias("_peak"))
+                .agg(F.max("_all").alias("all"), F.max("_peak").alias("peak")).first())
+        if not widths and (seen["all"] or 0) <= limit:
+            return []
+        widths.append(width)
+        if seen["peak"] <= limit:
+            break
+    return widths

@@ -9,7 +9,7 @@ from roompulse import schemas as S
 from roompulse.functions.columns import floor_to, live_delta
 from roompulse.operators.dwell import valid_visits
 from roompulse.operators.filters import only_events, with_props
-from roompulse.operators.running import running_totals
+from roompulse.operators.running import cell_widths, running_totals
 from roompulse.operators.windows import tumbling_agg
 
 MINUTE = 60_000
@@ -23,13 +23,13 @@ def live_events(events: DataFrame, *props: str) -> DataFrame:
 def audience_running(events: DataFrame, *cells_ms: int) -> DataFrame:
     """Online and cumulative viewers of the room after each enter or leave.
 
-    ``cells_ms`` are the cell widths, coarse to fine; one minute unless given. Very dense rooms
-    take more levels, such as an hour and a second.
+    ``cells_ms`` are the cell widths, coarse to fine; unless given, the densest room is measured.
     """
     rows = live_events(events, S.ANCHOR).select(S.ANCHOR, "id", "timestamp", "eventId")
+    widths = cells_ms or cell_widths(rows, [S.ANCHOR], "timestamp")
     return running_totals(
         rows, [S.ANCHOR], ["timestamp", "id"], live_delta(),
-        [floor_to("timestamp", width) for width in cells_ms or (MINUTE,)],
+        [floor_to("timestamp", width) for width in widths],
     ).select(S.ANCHOR, "id", "timestamp", "online", "total")
 
 
@@ -59,11 +59,17 @@ def audience_windowed(events: DataFrame, size_ms: int = 2_000,
     ).select(S.ANCHOR, "window_start", "window_end", "online", "total")
 
 
-def audience_valid(events: DataFrame, dwell_ms: int = MINUTE, cell_ms: int = HOUR,
+def audience_valid(events: DataFrame, dwell_ms: int = MINUTE, cell_ms: int | None = None,
                    as_of: int | None = None) -> DataFrame:
-    """Viewers per room who stayed longer than ``dwell_ms``; rooms never entered are left out."""
+    """Viewers per room who stayed longer than ``dwell_ms``; rooms never entered are left out.
+
+    ``cell_ms`` is the cell width; unless given, the densest room, which bounds its sessions, is
+    measured.
+    """
     rows = live_events(events, S.ANCHOR, S.SESSION).withColumn(
         "entered", F.col("eventId") == S.LIVE_ENTER)
+    if cell_ms is None:
+        cell_ms = min(cell_widths(rows, [S.ANCHOR], "timestamp"), default=0)
     visits = valid_visits(rows, [S.ANCHOR, S.SESSION], "entered", "timestamp",
                           ["timestamp", "id"], dwell_ms, cell_ms, as_of)
     return (visits.groupBy(S.ANCHOR)

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from roompulse import schemas as S
 from roompulse.functions.bloom import BloomShape, bit_columns, bits_of, bucket_column
-from roompulse.operators import joins
+from roompulse.operators import joins, running
 from roompulse.operators.dwell import valid_visits
 from roompulse.operators.firstseen import flag_first_seen, flag_first_seen_bloom
 from roompulse.operators.late import flag_late
@@ -98,7 +98,7 @@ def test_answers_do_not_depend_on_partitioning(spark):
 
 # --- dwell -------------------------------------------------------------------------------------
 
-@pytest.mark.parametrize("cell_ms", [1, 1_000, 60_000, 10**9])
+@pytest.mark.parametrize("cell_ms", [None, 1, 1_000, 60_000, 10**9])
 def test_dwell_limits(spark, cell_ms):
     df = live(spark, ("+", 0, "a", "u1"), ("-", 60_000, "a", "u1"),        # exactly: no
               ("+", 0, "a", "u2"), ("-", 60_001, "a", "u2"),               # 1 ms more: yes
@@ -112,12 +112,13 @@ def test_dwell_limits(spark, cell_ms):
         == [("a", 2), ("b", 0)]
 
 
-def test_dwell_against_brute_force(spark):
+@pytest.mark.parametrize("cell_ms", [0, 50])
+def test_dwell_against_brute_force(spark, cell_ms):
     rng = random.Random(3)
     rows = [(f"s{0 if i % 3 == 0 else rng.randrange(9)}", rng.randrange(3_000), f"{i:04d}",
              rng.random() < 0.5) for i in range(300)]
     df = spark.createDataFrame(rows, "s string, ts bigint, id string, e boolean")
-    got = valid_visits(df, ["s"], "e", "ts", ["ts", "id"], dwell_ms=15, cell_ms=50)
+    got = valid_visits(df, ["s"], "e", "ts", ["ts", "id"], dwell_ms=15, cell_ms=cell_ms)
     enters = valid = 0
     for s in {r[0] for r in rows}:
         line = sorted((r[1:] for r in rows if r[0] == s), key=lambda r: r[:2])
@@ -351,3 +352,22 @@ def test_rows_without_time_come_first(spark):
     df = live(spark, ("+", None, "a", "u1"), ("+", 5, "a", "u2"))
     assert [tuple(r) for r in audience.audience_running(df).orderBy("id").select("id", "total").collect()] == [
         ("0000", 1), ("0001", 2)]
+
+
+def test_cells_are_as_fine_as_the_densest_key_needs(spark, monkeypatch):
+    rng = random.Random(8)
+    rows = [("+", 7_200_000 + rng.randrange(3_000), "hot", f"u{i}") for i in range(90)]
+    rows += [("-", rng.randrange(9_000_000), f"r{i % 5}", f"u{i}") for i in range(60)]
+    df = live(spark, *rows)
+    flat = audience.live_events(df, S.ANCHOR)
+    widths = lambda limit: running.cell_widths(flat, [S.ANCHOR], "timestamp", limit)
+    assert widths(90) == [] and widths(None) == []
+    assert widths(60) == [3_600_000, 60_000, 1_000]
+    assert widths(1)[-1] == 1
+    whole = result(audience.audience_running(df), S.ANCHOR, "id", "online", "total")
+    stayed = result(audience.audience_valid(df), S.ANCHOR, "valid_total")
+    monkeypatch.setattr(running, "ROWS_PER_TASK", 20)
+    assert result(audience.audience_running(df), S.ANCHOR, "id", "online", "total") == whole
+    assert result(audience.audience_valid(df), S.ANCHOR, "valid_total") == stayed
+    empty = df.filter("false")
+    assert audience.audience_running(empty).count() == 0
