@@ -21,7 +21,7 @@ from roompulse.operators.parsing import parse_changes, parse_events
 from roompulse.plans import audience, etl, gifts, groupon, users
 from roompulse.session import tune
 from roompulse.sinks.kafka import kafka_writer, routed_messages
-from roompulse.sinks.tables import batch_table
+from roompulse.sinks.tables import BatchFn, batch_table
 from roompulse.sources import kafka
 from roompulse.sources.files import read_lines
 from roompulse.streaming import metrics
@@ -62,7 +62,7 @@ class Inputs:
 
 Job = tuple[Callable[[Inputs], DataFrame], str]
 
-# Result frame and output mode of each job that ends in a plain sink.
+# Frame and output mode of each job.
 JOBS: dict[str, Job] = {
     "quarantine": (lambda i: etl.clean_events(i.raw()).bad, "append"),
     "new-user-flags": (lambda i: users.user_event_rows(
@@ -76,26 +76,50 @@ JOBS: dict[str, Job] = {
     "gifts": (lambda i: gifts.gift_totals(
         i.events(), gifts.gift_dimension(i.lines("gifts", streaming=False))), "update"),
     "typed-events": (lambda i: kafka.typed_events(i.raw()), "append"),
-    "hot-products": (lambda i: metrics.hot_products_stream(i.events()), "append"),
+    "audience-rows": (lambda i: i.events_with_id(), "append"),
+    "hot-products": (lambda i: metrics.product_counts_stream(i.events()), "append"),
     "group-purchases": (lambda i: groupon.groupon_enriched(
         i.lines("groupon_detail"), i.lines("groupon_main"), i.lines("orders"), delay_ms=0), "append"),
 }
 
 
-def start(job: str, inputs: Inputs, **trigger) -> StreamingQuery:
-    """Start one job; results are printed, or written to the folder ``results`` if there is one."""
+# What some jobs do with each micro-batch of their frame, by batch operators, before the sink.
+STEPS: dict[str, Callable[[Inputs, BatchFn], BatchFn]] = {
+    "audience-rows": lambda i, sink: metrics.running_audience_batches(
+        i.checkpoint("audience-totals"), sink),
+    "hot-products": lambda i, sink: metrics.ranked_batches(sink),
+}
+
+
+def _show(batch: DataFrame, batch_id: int) -> None:
+    """Print the first rows. All rows are computed, or state of the others would not be saved."""
+    held = batch.persist()
+    try:
+        print(f"batch {batch_id}: {held.count()} rows")
+        held.show(truncate=False)
+    finally:
+        held.unpersist()
+
+
+def start(job: str, inputs: Inputs, sink: BatchFn | None = None, **trigger) -> StreamingQuery:
+    """Start one job.
+
+    Its results go to ``sink`` (``sinks.tables.jdbc_rows`` for a database), else to the folder
+    ``results`` if there is one, else the first rows of each micro-batch are printed. A ``sink`` must
+    read its whole micro-batch.
+    """
     tune(inputs.spark, streaming=True)
     trigger = trigger or inputs.config.trigger
     checkpoint = inputs.checkpoint(job)
     if job == "etl":
         routed = etl.etl_route(inputs.events_with_id())
         return kafka_writer(routed_messages(routed, inputs.config), inputs.config, checkpoint).start()
+    if sink is None:
+        sink = batch_table(inputs.folder("results")) if "results" in inputs.folders else _show
     frame, mode = JOBS[job]
-    writer = (frame(inputs).writeStream.outputMode(mode)
-              .option("checkpointLocation", checkpoint).trigger(**trigger))
-    if "results" in inputs.folders:
-        return writer.foreachBatch(batch_table(inputs.folder("results"))).start()
-    return writer.format("console").start()
+    step = STEPS.get(job, lambda _, plain: plain)
+    return (frame(inputs).writeStream.outputMode(mode).foreachBatch(step(inputs, sink))
+            .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
 def order_details(inputs: Inputs, size_ms: int = SIZE_MS, delay_ms: int = DELAY_MS,
