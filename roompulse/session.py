@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import atexit
+import contextlib
 import os
 import tempfile
+import uuid
 from pathlib import Path
 
 from pyspark.sql import DataFrame, SparkSession
@@ -64,18 +67,46 @@ _own_folder: dict[str, str] = {}
 def shared_folder(spark: SparkSession) -> str:
     """Folder for checkpoints, streaming progress and staged tables.
 
-    A cluster names it in ``spark.checkpoint.dir``; only where that is unset (local tests) a
-    temporary folder is taken, once per application.
+    A cluster names it in ``spark.checkpoint.dir``. Only a local master may leave that unset: its
+    executors live in this process and a temporary folder, one per application, serves them all.
     """
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        app = spark.sparkContext.applicationId
+        context = spark.sparkContext
+        if not context.master.split("[")[0] == "local":
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
+        app = context.applicationId
         if app not in _own_folder:
             _own_folder[app] = tempfile.mkdtemp(prefix="roompulse-")
         folder = _own_folder[app]
     return folder.rstrip("/")
 
 
+def staged(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written once as a Parquet table in the shared folder, and read again.
+
+    This cuts the lineage, survives lost executors, and tells the optimizer the true size. The tables of
+    an application lie in one folder, which goes when the driver's process ends.
+    """
+    spark = df.sparkSession
+    home = f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
+    if home not in _staged:
+        _staged.add(home)
+        atexit.register(_remove, spark, home)
+    path = f"{home}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+_staged: set[str] = set()
+
+
+def _remove(spark: SparkSession, folder: str) -> None:
+    with contextlib.suppress(Exception):  # the session may have ended
+        path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Compute a small intermediate table once and keep it in the shared folder."""
     context = df.sparkSession.sparkContext
