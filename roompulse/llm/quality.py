@@ -10,13 +10,14 @@ from pyspark.sql import functions as F
 
 from roompulse.llm.columns import SPACE, WORD, words
 
-# The line rules. Patterns run on a line without outer white space, in lower case.
+# The line rules. Patterns run on a line without outer white space, in lower case. Groups
+# repeat a fixed number of times only: open loops over groups overflow the stack on very long lines.
 BOILERPLATE = (r"(all rights reserved|copyright|\(c\) [12][0-9]{3}|terms of (use|service)|privacy policy|"
                r"cookie|javascript|licensed under|public license|subscribe|sign up|log ?in|"
                r"click here|read more|back to top|share this)")
-NAVIGATION = r"( [|»›·] .*){3,}"
-SHOUTING = r"([!?]{2,}[^!?]*){3,}"
-MARKED = r"([#*$%&|<>]{3,}[^#*$%&|<>]*){3,}"
+NAVIGATION = r"( [|»›·] [^|»›·]*){3}"
+SHOUTING = r"([!?]{2,}[^!?]*){3}"
+MARKED = r"([#*$%&|<>]{3,}[^#*$%&|<>]*){3}"
 LAST = r"[.!?…:;,)\"'”»]$"
 
 MIN_WORDS = 50          # of a document

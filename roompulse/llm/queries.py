@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roompulse.llm import exact_dedup, quality
+from roompulse.llm import exact_dedup, minhash, mixing, quality
 from roompulse.llm.sql import SQL
 from roompulse.session import tune
 from roompulse.tables import table
@@ -36,6 +36,17 @@ def query(fn: Query) -> Query:
     return run
 
 
+@query
+def op1_mixing(spark, sf_dir):
+    return mixing.mixed(table(spark, sf_dir, "documents")).select(
+        "doc_id", "size", "source_size", "target", "taken", "copies", "rate")
+
+
+@query
+def op2_minhash_dedup(spark, sf_dir):
+    return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")

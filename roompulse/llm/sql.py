@@ -18,9 +18,9 @@ marked AS (
     list_filter(ls, lambda l:
       NOT regexp_matches(lower(regexp_replace(l, '^[ \t-\r]+|[ \t-\r]+$', '', 'g')),
         '(all rights reserved|copyright|\(c\) [12][0-9]{3}|terms of (use|service)|privacy policy|cookie|javascript|licensed under|public license|subscribe|sign up|log ?in|click here|read more|back to top|share this)')
-      AND NOT regexp_matches(l, '( [|»›·] .*){3,}')
-      AND NOT regexp_matches(l, '([!?]{2,}[^!?]*){3,}')
-      AND NOT regexp_matches(l, '([#*$%&|<>]{3,}[^#*$%&|<>]*){3,}')
+      AND NOT regexp_matches(l, '( [|»›·] [^|»›·]*){3}')
+      AND NOT regexp_matches(l, '([!?]{2,}[^!?]*){3}')
+      AND NOT regexp_matches(l, '([#*$%&|<>]{3,}[^#*$%&|<>]*){3}')
       AND NOT (len(regexp_extract_all(l, '[^ \t-\r]+')) >= 12 AND
                NOT regexp_matches(regexp_replace(l, '[ \t-\r]+$', ''), '[.!?…:;,)"''”»]$'))
     ) AS clean,
@@ -38,3 +38,28 @@ counted AS (
   FROM marked m LEFT JOIN cover c USING (doc_id)),
 judged AS (SELECT *, n_words < 50 OR 100 * n_repeat_words > 50 * n_words AS base_failed FROM counted)
 SELECT *, NOT base_failed AND clean_chars * 100 >= word_chars * 50 AS kept FROM judged"""
+
+
+SQL["op2_minhash_dedup"] = r"""
+WITH RECURSIVE ws AS (
+  SELECT doc_id, list_filter(string_split_regex(coalesce(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), ''), '[ \t-\r]+'), lambda w: w <> '') AS w
+  FROM documents),
+sh AS (
+  SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 3 THEN [array_to_string(w, chr(10))]
+    ELSE [w[i] || chr(10) || w[i + 1] || chr(10) || w[i + 2] FOR i IN range(1, len(w) - 1)] END) AS s
+  FROM ws),
+n AS (SELECT doc_id, count(*) AS n FROM sh GROUP BY doc_id),
+shared AS (
+  SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS c FROM sh x JOIN sh y ON x.s = y.s AND x.doc_id <> y.doc_id
+  GROUP BY ALL),
+links AS (
+  SELECT a, b FROM shared JOIN n p ON p.doc_id = a JOIN n q ON q.doc_id = b
+  WHERE 100 * c >= 85 * (p.n + q.n - c)),
+reach AS (
+  SELECT a AS doc_id, a AS r FROM links
+  UNION
+  SELECT reach.doc_id, links.b FROM reach JOIN links ON links.a = reach.r),
+least_of AS (SELECT doc_id, min(r) AS c FROM reach GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n.n, 0)::BIGINT AS n_shingles, coalesce(c, d.doc_id) AS component_id,
+       d.doc_id = coalesce(c, d.doc_id) AS kept
+FROM documents d LEFT JOIN n USING (doc_id) LEFT JOIN least_of USING (doc_id)"""
