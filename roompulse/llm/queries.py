@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roompulse.llm import exact_dedup, minhash, mixing, quality
+from roompulse.llm import exact_dedup, html_text, minhash, mixing, quality, secrets
 from roompulse.llm.sql import SQL
 from roompulse.session import tune
 from roompulse.tables import table
@@ -60,3 +60,13 @@ def op6_quality_rules(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents")).select(
         F.col("doc.doc_id").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
         "n_repeat_words", "clean_chars", "base_failed", "kept")
+
+
+@query
+def op7_html_extraction(spark, sf_dir):
+    return html_text.extracted(table(spark, sf_dir, "pages"))
+
+
+@query
+def op8_secret_scans(spark, sf_dir):
+    return secrets.found_secrets(table(spark, sf_dir, "documents"))
