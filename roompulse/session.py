@@ -89,13 +89,18 @@ def staged(df: DataFrame, name: str) -> DataFrame:
     an application lie in one folder, which goes when the driver's process ends.
     """
     spark = df.sparkSession
+    path = f"{staging_folder(spark)}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
+def staging_folder(spark: SparkSession) -> str:
+    """The application's own folder for intermediate data in the shared folder."""
     home = f"{shared_folder(spark)}/staged-{spark.sparkContext.applicationId}"
     if home not in _staged:
         _staged.add(home)
         atexit.register(_remove, spark, home)
-    path = f"{home}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return home
 
 
 _staged: set[str] = set()
