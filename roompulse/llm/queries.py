@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roompulse.llm import exact_dedup, html_text, minhash, mixing, quality, secrets
+from roompulse.llm import exact_dedup, html_text, language_model, minhash, mixing, quality, secrets
 from roompulse.llm.sql import SQL
 from roompulse.session import tune
 from roompulse.tables import table
@@ -55,6 +55,11 @@ def op4_exact_dedup(spark, sf_dir):
         "doc_id", "keep_id", "group_size", "kept", "text_sha256")
 
 
+@query
+def op5_lm_scoring(spark, sf_dir):
+    return language_model.scored(table(spark, sf_dir, "documents"))
+
+
 @query
 def op6_quality_rules(spark, sf_dir):
     return quality.judged(table(spark, sf_dir, "documents")).select(
