@@ -8,7 +8,16 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from roompulse.llm import exact_dedup, html_text, language_model, minhash, mixing, quality, secrets
+from roompulse.llm import (
+    exact_dedup,
+    html_text,
+    language_id,
+    language_model,
+    minhash,
+    mixing,
+    quality,
+    secrets,
+)
 from roompulse.llm.sql import SQL
 from roompulse.session import tune
 from roompulse.tables import table
@@ -47,6 +56,11 @@ def op2_minhash_dedup(spark, sf_dir):
     return minhash.near_duplicates(table(spark, sf_dir, "documents"), words=3, percent=85)
 
 
+@query
+def op3_language_id(spark, sf_dir):
+    return language_id.identified(table(spark, sf_dir, "documents"))
+
+
 @query
 def op4_exact_dedup(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
