@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import os
 from collections.abc import Callable
 from functools import wraps
 
@@ -15,6 +16,8 @@ from roompulse.llm import (
     language_model,
     minhash,
     mixing,
+    passages,
+    pieces,
     quality,
     secrets,
 )
@@ -28,6 +31,8 @@ ORACLE: dict[str, str] = SQL
 
 # Rows that an Arrow batch brings to Python: bounds a task's memory where texts are long.
 BATCH_ROWS = "256"
+# A public piece table; read on the driver, which passes its pieces on.
+PIECE_MODEL = os.environ.get("PIECE_MODEL", "/opt/tokenizers/piece_bpe_32k.model")
 
 
 def prepared(spark: SparkSession) -> SparkSession:
@@ -89,3 +94,13 @@ def op7_html_extraction(spark, sf_dir):
 @query
 def op8_secret_scans(spark, sf_dir):
     return secrets.found_secrets(table(spark, sf_dir, "documents"))
+
+
+@query
+def op9_sentencepiece(spark, sf_dir):
+    return pieces.encoded(table(spark, sf_dir, "documents"), pieces.Pieces.read(PIECE_MODEL))
+
+
+@query
+def op10_suffix_array_dedup(spark, sf_dir):
+    return passages.repeated_passages(table(spark, sf_dir, "documents"))
