@@ -100,7 +100,7 @@ class Models:
         every = np.unique(np.concatenate([g for g, _ in grams]), axis=0) if grams else np.zeros((0, order))
         self.floor = 1.0 / (len(np.unique(every[:, -1])) + 1) if len(every) else 1.0
         self.tables: list[tuple[np.ndarray, ...]] = []
-        for n in range(1, order + 1):
+        for n in range(1, order + 1) if len(every) else ():
             tails = np.unique(every[:, order - n:], axis=0)
             keys = self._row_keys(tails, n)
             own = np.argsort(keys)

@@ -301,7 +301,7 @@ class Model:
         got, n = trie.look_up((keys >> U(32)).astype(np.int64), (keys & U(0xFFFFFFFF)).astype(np.int64))
         share[known], kinds[known] = got[back], n[back]
         rest = np.where(kinds > 0, kinds / np.maximum(before + kinds, 1), 1.0)
-        return share + rest * single
+        return np.minimum(share + rest * single, 1.0)     # codes are rounded
 
 
 def trained(texts: DataFrame, parts: int, folder: str) -> Model:

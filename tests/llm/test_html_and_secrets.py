@@ -1,0 +1,109 @@
+import hashlib
+import html
+import random
+import re
+
+from roompulse.llm import secrets
+from roompulse.llm.automata import Automaton, Background
+from roompulse.llm.html_text import extracted, main_text
+from tests.llm.conftest import with_clashes
+
+
+def test_pages_against_their_article_element(spark, sf_dir):
+    pages = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{sf_dir}/pages.parquet").collect()}
+    got = extracted(spark.read.parquet(f"{sf_dir}/pages.parquet")).collect()
+    assert len(got) == len(pages)
+    for r in got:
+        body = re.search(r"<article>(.*?)</article>", pages[r["page_id"]], re.S)[1].replace("<br>", " ")
+        blocks = [html.unescape(re.sub(r"<[^>]*>", "", b)) for b in re.split(r"</?(?:p|h1)>", body)]
+        assert r["text"] == "\n\n".join(x for x in (" ".join(b.split()) for b in blocks) if x)
+        assert r["n_chars"] == len(r["text"])
+
+
+def test_pages_without_an_article_element():
+    long = "This sentence is part of the story and goes on for quite a while, as sentences in stories do."
+    page = f"""<html><head><title>T</title></head><body><div><a href=1>Home</a> <a href=2>News</a></div>
+    <div class="cookie-notice">We use cookies.</div><div><p>{long}</p><p>Short.</p><p>{long} &amp; more&nbsp;so</p>
+    <form><p>{long}</p></form></div><div id="comments"><p>{long} says a reader</p></div>
+    <div><a href=3>Imprint</a></div><footer>{long}</footer></body></html>"""
+    assert main_text(page) == f"{long}\n\nShort.\n\n{long} & more so"
+
+
+def test_noise_inside_articles_and_broken_markup():
+    page = """<article><header><h1>Title</h1><p>By someone</p></header><p>One <b>two</b>
+    three<p>Four<div class="ad">Buy</div><aside>Also</aside><script>if (a < b) x("</p>")</script>
+    <section class=comments><p>Nice!</p></section><p>5 &lt; 6 &#233;</article><div class="sidebar">No"""
+    assert main_text(page) == "Title\n\nOne two three\n\nFour\n\n5 < 6 é"
+    for odd in (None, "", "   ", "<", "<p", "<!-- open", "<script>never closed", "<a href='x"):
+        assert main_text(odd) in ("", "<", "<p", "<a href='x")
+    assert main_text("just text, no markup") == "just text, no markup"
+    assert len(main_text("<p>" + "word " * 300_000 + "</p>")) == 1_499_999
+
+
+def test_pages_with_nulls_and_clashing_columns(spark):
+    rows = [(1, "u", None), (None, None, "<p>a</p>"), (2, "u", ""), (2, "u", "<p>b</p>"), (2, "u", "<p>b</p>")]
+    pages = with_clashes(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
+    got = sorted((tuple(r) for r in extracted(pages).collect()), key=repr)
+    assert got == sorted([(1, "u", "", 0), (None, None, "a", 1), (2, "u", "", 0), (2, "u", "b", 1), (2, "u", "b", 1)],
+                         key=repr)
+    assert extracted(pages.limit(0)).count() == 0
+
+
+PATTERNS = (("assign", r"""(?ai)(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""",
+             lambda m: len(m[2]) >= 8), ("access", "AKIA[A-Z0-9]+", lambda m: len(m[0]) >= 16),
+            ("hex", "[0-9a-f]+", lambda m: len(m[0]) >= 32))
+
+
+def brute_spans(text):
+    out = [(m.start(), i, m.end(), k) for i, (k, p, ok) in enumerate(PATTERNS) for m in re.finditer(p, text or "")
+           if ok(m)]
+    return [f"{k}:{s}:{e}" for s, _, e, k in sorted(out)]
+
+
+def random_text(rng):
+    parts = ["token", "PASSWORD", "api_key", "apikey", "secret", "=", ":", " ", '"', "'", "\n", "é", "ſecret", "K",
+             "AKIA", "AKIAX" + "Q" * 12, "AKIA" + "1" * 11, "deadbeef" * 4, "abc", "12345678", "-/", "password: token",
+             "f" * 31, "F" * 40, "0" * 32 + "g"]
+    return "".join(rng.choice(parts) for _ in range(rng.randrange(1, 30)))
+
+
+def test_base_spans_against_brute_force():
+    rng = random.Random(3)
+    for _ in range(4000):
+        text = random_text(rng)
+        assert [f"{k}:{s}:{e}" for s, e, k, _ in secrets.base_spans(text)] == brute_spans(text), text
+
+
+def test_secrets_of_tables(spark, sf_dir, edge_docs, no_docs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    for r in secrets.found_secrets(docs).collect():
+        want = brute_spans(texts[r["doc_id"]])
+        assert r["base_sha256"] == hashlib.sha256(",".join(want).encode()).hexdigest()
+        assert set(want) <= set(filter(None, r["spans"].split(",")))
+        assert (r["n_assign"], r["n_access"], r["n_hex"]) == tuple(
+            sum(w.startswith(k) for w in want) for k in ("assign", "access", "hex"))
+        assert want or not r["spans"]       # clean documents stay clean
+    assert secrets.found_secrets(edge_docs).count() == 15 and secrets.found_secrets(no_docs).count() == 0
+
+
+def test_learned_formats_find_what_no_pattern_names(spark):
+    rng = random.Random(9)
+    hexes = ["".join(rng.choices("0123456789abcdef", k=40)) for _ in range(300)]
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    key = "ghp_" + "".join(rng.choices(letters, k=36))
+    rows = [(i, f'token = "{h}" some ordinary words about documents follow here', None, None, 0)
+            for i, h in enumerate(hexes)]
+    rows += [(900, f"see {key} there", None, None, 0), (901, f"id {hexes[0][:30]} end", None, None, 0),
+             (902, "a very/long/path/with.words-and_names2 in it", None, None, 0)]
+    got = {r["doc_id"]: r["spans"] for r in secrets.found_secrets(spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    assert got[900] == "format:4:44" and got[901] == "format:3:33" and got[902] == ""
+
+
+def test_merging_generalises():
+    rng = random.Random(4)
+    seen = Automaton(["ID" + "".join(rng.choices("0123456789", k=8)) for _ in range(400)])
+    new, odd = "ID" + "90210773", "DI" + "90210773"
+    assert len(set(seen.next[0])) == 1 and seen.score(new) > seen.score(odd) + 5
+    assert Background(["plain", "words"]).score("plain") > Background(["plain", "words"]).score("x9q7z")
