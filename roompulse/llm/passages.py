@@ -115,10 +115,10 @@ def _comparer(least: int, window: int):
     run_length, side = least - window + 1, window - 1
 
     def run(batches):
-        table = pa.Table.from_batches(list(batches)) if batches else None
-        if table is None or not table.num_rows:
+        batches = [b for b in batches if b.num_rows]
+        if not batches:
             return
-        table = table.combine_chunks()
+        table = pa.Table.from_batches(batches).combine_chunks()
         seed, ids, pos, low = (table.column(k).to_numpy() for k in ("seed", "id", "pos", "low"))
         left, right = (_words(table.column(k), side) for k in ("left", "right"))
         n = len(seed)
@@ -186,7 +186,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
                     .filter("low < high").select("seed", "low"), "passages-shared")
     live = seeds.join(shared, "seed").groupBy("id").agg(
         F.collect_set(F.struct("seed", "pos", "low")).alias("live"))
-    rows = staged(plain.join(staged(live, "passages-live"), "id").select("id", "text", "live").mapInArrow(
+    rows = staged(plain.join(live, "id").select("id", "text", "live").mapInArrow(
         _fetcher(least, window), _ROW), "passages-rows")
 
     after = _compared(rows, ["seed", "right", "left", "id", "pos"], least, window)
@@ -197,7 +197,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     upto = Window.partitionBy("id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     line = Window.partitionBy("id").orderBy("start", "stop")
-    runs = spans.distinct().withColumn(
+    runs = spans.withColumn(
         "new", F.coalesce((F.col("start") > F.max("stop").over(upto)).cast("int"), F.lit(1)))
     runs = runs.withColumn("run", F.sum("new").over(line.rowsBetween(Window.unboundedPreceding, 0)))
     return runs.groupBy("id", "run").agg(
