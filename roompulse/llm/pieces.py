@@ -9,6 +9,7 @@ the two back. This is what merging by score, leftmost first, arrives at.
 
 from __future__ import annotations
 
+import hashlib
 import heapq
 from collections.abc import Iterable
 
@@ -18,8 +19,20 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 BLANK = "▁"
-KEPT = 1 << 19          # distinct words that a task remembers
-PAIRS = 1 << 18         # pairs of pieces that it remembers
+KEPT = 1 << 20          # distinct words that a worker remembers
+PAIRS = 1 << 21         # pairs of pieces that it remembers, and new ones before they are sorted in
+FRESH = 1 << 16
+
+
+_HELD: dict[str, Pieces] = {}
+
+
+def _held(token: str, table: tuple) -> Pieces:
+    """The pieces of this worker process, which keeps what earlier tasks have learned."""
+    if token not in _HELD:
+        _HELD.clear()
+        _HELD[token] = Pieces(*table)
+    return _HELD[token]
 
 
 class Pieces:
@@ -34,7 +47,10 @@ class Pieces:
         for b, i in enumerate(byte_ids):
             self.raw[i] = bytes([b])
         self.kind = np.uint16 if len(texts) <= 1 << 16 else np.uint32
-        self.follows: dict[tuple[str, str], bool] = {}
+        # Pairs of pieces and whether one may follow the other: sorted arrays, and what has come since.
+        self.pairs = np.zeros(0, np.int64), np.zeros(0, bool)
+        self.fresh: dict[int, bool] = {}
+        self.token = hashlib.sha256("\x00".join(texts).encode()).hexdigest()
         self.words: dict[str, bytes] = {}      # ids as an array of ``kind``
 
     @staticmethod
@@ -51,22 +67,23 @@ class Pieces:
             raise ValueError("a piece reaches across words")
         return pieces
 
-    def __getstate__(self):
-        return {**self.__dict__, "follows": {}, "words": {}}
+    def __reduce__(self):
+        return _held, (self.token, (self.texts, self.scores, self.byte_ids, [t in self.id for t in self.texts]))
 
     # --- edges -----------------------------------------------------------------------------------
 
-    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray]:
-        """``(start, end)`` of every occurrence of every piece in ``text``, by end and then by start."""
+    def edges(self, text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """``(start, end, id)`` of every occurrence of every piece in ``text``, by end and then by start."""
         order = suffix_array(text, self.longest)
         codes = _codes(text)
-        low, high, own = self._ranges(codes, order)
-        size = high - low
-        at = np.repeat(low - np.concatenate([[0], np.cumsum(size)])[:-1], size) + np.arange(size.sum())
+        low, high, sizes = self._ranges(codes, order)
+        count = high - low
+        at = np.repeat(low - np.concatenate([[0], np.cumsum(count)])[:-1], count) + np.arange(count.sum())
         start = order[at]
-        end = start + np.repeat(own, size)
+        end = start + np.repeat(sizes, count)
+        piece = np.repeat(np.fromiter(self.id.values(), np.int64, len(self.id)), count)
         sort = np.lexsort((start, end))
-        return start[sort], end[sort]
+        return start[sort], end[sort], piece[sort]
 
     def _ranges(self, codes: np.ndarray, order: np.ndarray):
         """Suffix range of each piece, found by one binary search for all pieces, character by character."""
@@ -128,46 +145,74 @@ class Pieces:
             offer(i)
         return [p for p in part if p is not None]
 
-    def may_follow(self, left: str, right: str) -> bool:
-        known = self.follows.get((left, right))
-        if known is None:
-            if len(self.follows) > PAIRS:
-                self.follows.clear()
-            known = self.merged(left + right) == [left, right]
-            self.follows[left, right] = known
-        return known
+    def may_follow(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """Whether pieces ``right`` may come after ``left`` (ids; -1 stands for a character without a piece)."""
+        keys, back = np.unique(left * len(self.texts) + right, return_inverse=True)
+        known, fits = self.pairs
+        at = np.minimum(np.searchsorted(known, keys), max(0, len(known) - 1))
+        hit = known[at] == keys if len(known) else np.zeros(len(keys), bool)
+        ok = np.ones(len(keys), bool)
+        ok[hit] = fits[at[hit]]
+        for i in np.flatnonzero(~hit & (keys >= 0)).tolist():
+            key = int(keys[i])
+            if key not in self.fresh:
+                a, b = (self.texts[x] for x in divmod(key, len(self.texts)))
+                self.fresh[key] = self.merged(a + b) == [a, b]
+            ok[i] = self.fresh[key]
+        if len(self.fresh) > FRESH:
+            every = np.concatenate([known[:PAIRS], np.fromiter(self.fresh, np.int64, len(self.fresh))])
+            good = np.concatenate([fits[:PAIRS], np.fromiter(self.fresh.values(), bool, len(self.fresh))])
+            sort = np.argsort(every)
+            self.pairs, self.fresh = (every[sort], good[sort]), {}
+        return ok[back.ravel()]
 
     # --- words -----------------------------------------------------------------------------------
 
     def learn(self, words: Iterable[str]) -> None:
         """Pieces of new words, all at once; single characters without a piece stand for themselves."""
-        words = sorted(words)
+        words = sorted(words, key=lambda w: (-len(w), w))
         text = "\x00".join(words)
-        start, end = self.edges(text)
+        start, end, piece = self.edges(text)
         cut = np.searchsorted(end, np.arange(len(text) + 2))
-        start, cut = start.tolist(), cut.tolist()
-        at = 0
-        for word in words:
-            last = [0] * (len(word) + 1)        # start of the last piece of each prefix
-            for stop in range(1, len(word) + 1):
-                last[stop] = stop - 1
-                for s in start[cut[at + stop]:cut[at + stop + 1]]:
-                    s -= at
-                    piece = word[s:stop]
-                    if s == 0 or self.may_follow(word[last[s]:s], piece):
-                        last[stop] = s
-                        break
+        size = np.array([len(w) for w in words])
+        first = np.cumsum(size + 1) - size - 1
+        # The last piece of each prefix: where it starts, and its id.
+        last, own = np.arange(-1, len(text)), np.full(len(text) + 1, -1)
+        for step in range(1, int(size[0]) + 1):
+            begin = first[:np.searchsorted(-size, -step, "right")]     # of the words that are that long
+            stop, edge = begin + step, cut[begin + step]
+            while True:
+                live = np.flatnonzero(edge < cut[stop + 1])
+                if not len(live):
+                    break
+                stop, edge, begin = stop[live], edge[live], begin[live]
+                s, right = start[edge], piece[edge]
+                fits = s == begin
+                ask = np.flatnonzero(s > begin)
+                fits[ask] = self.may_follow(own[s[ask]], right[ask])
+                last[stop[fits]], own[stop[fits]] = s[fits], right[fits]
+                stop, edge, begin = stop[~fits], edge[~fits] + 1, begin[~fits]
+        at, word, found = first + size, np.arange(len(words)), []
+        while len(at):
+            found.append((word, own[at], at))
+            at = last[at]
+            on = at > first[word]
+            at, word = at[on], word[on]
+        if not found:
+            return
+        depth = np.repeat(np.arange(len(found)), [len(f[0]) for f in found])
+        word, ids, at = (np.concatenate([f[k] for f in found]) for k in range(3))
+        sort = np.lexsort((-depth, word))
+        word, ids, at = word[sort], ids[sort], at[sort]
+        flat, ends = ids.astype(self.kind), np.searchsorted(word, np.arange(len(words) + 1))
+        width, raw = self.kind().itemsize, flat.tobytes()
+        bounds = (ends * width).tolist()
+        self.words.update((w, raw[x:y]) for w, x, y in zip(words, bounds, bounds[1:]))
+        for w in np.unique(word[ids < 0]).tolist():
             out: list[int] = []
-            stop = len(word)
-            while stop:
-                piece = word[last[stop]:stop]
-                if piece in self.id:
-                    out.append(self.id[piece])
-                else:
-                    out += [self.byte_ids[b] for b in reversed(piece.encode("utf-8", "replace"))]
-                stop = last[stop]
-            self.words[word] = np.array(out[::-1], self.kind).tobytes()
-            at += len(word) + 1
+            for i, stop in zip(ids[ends[w]:ends[w + 1]].tolist(), at[ends[w]:ends[w + 1]].tolist()):
+                out += [i] if i >= 0 else [self.byte_ids[b] for b in text[stop - 1].encode("utf-8", "replace")]
+            self.words[words[w]] = np.array(out, self.kind).tobytes()
 
     def encode(self, texts: list[str]) -> list[np.ndarray]:
         """Ids of each text: spaces are marks, and a mark goes before the first word."""

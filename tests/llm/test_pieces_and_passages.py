@@ -29,9 +29,9 @@ def test_suffix_array_and_edges(model):
     text = "the then\x00there"
     order = pieces.suffix_array(text, 16).tolist()
     assert order == sorted(range(len(text)), key=lambda i: text[i:])
-    start, end = model.edges(text)
-    assert {(s, e) for s, e in zip(start.tolist(), end.tolist())} == {
-        (i, j) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in model.id}
+    start, end, piece = model.edges(text)
+    assert {(s, e, p) for s, e, p in zip(start.tolist(), end.tolist(), piece.tolist())} == {
+        (i, j, model.id[text[i:j]]) for i in range(len(text)) for j in range(i + 1, len(text) + 1) if text[i:j] in model.id}
 
 
 def test_encoding_edge_cases(model, edge_docs, no_docs):
