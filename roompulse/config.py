@@ -16,6 +16,8 @@ PROPERTY_NAMES = {
     "starting_offsets": "auto.offset.reset",
     "checkpoint_interval_ms": "checkpoint.interval",
     "checkpoint_path": "checkpoint.path",
+    "max_offsets": "max.offsets.per.trigger",
+    "expected_devices": "bloom.expected.devices",
 }
 
 
@@ -30,10 +32,14 @@ class JobConfig:
     starting_offsets: str = "earliest"
     checkpoint_interval_ms: int = 60_000
     checkpoint_path: str | None = None
+    max_offsets: int | None = None          # records per micro-batch, or a first run reads all there is at once
+    expected_devices: int | None = None     # per device type, for the approximate new-user flags
+    client: tuple[tuple[str, str], ...] = ()    # all other properties, for the Kafka client
 
     @classmethod
     def from_properties(cls, path: str | Path) -> "JobConfig":
-        """Read a ``key=value`` (or ``key: value``) properties file; unknown keys are ignored."""
+        """Read a ``key=value`` (or ``key: value``) properties file; unknown keys go to the
+        Kafka client."""
         found: dict[str, str] = {}
         for line in Path(path).read_text(encoding="utf-8").splitlines():
             line = line.strip()
@@ -43,9 +49,11 @@ class JobConfig:
             if cut > 0:
                 found[line[:cut].strip()] = line[cut + 1:].strip()
         values = {f.name: found[PROPERTY_NAMES[f.name]] for f in fields(cls)
-                  if PROPERTY_NAMES[f.name] in found}
-        if "checkpoint_interval_ms" in values:
-            values["checkpoint_interval_ms"] = int(values["checkpoint_interval_ms"])
+                  if PROPERTY_NAMES.get(f.name) in found}
+        for name in ("checkpoint_interval_ms", "max_offsets", "expected_devices"):
+            if name in values:
+                values[name] = int(values[name])
+        values["client"] = tuple(sorted((k, v) for k, v in found.items() if k not in PROPERTY_NAMES.values()))
         return cls(**values)
 
     def require(self, name: str) -> str:

@@ -14,10 +14,11 @@ from pyspark.sql import functions as F
 class BloomShape:
     """Filter size from the usual formulas; ``buckets`` cuts one filter into independent parts.
 
-    A key belongs to one bucket, so a stream can keep each bucket's bits as a state of its own.
+    A key belongs to one bucket, so a stream can keep each bucket's bits as a state of its own. A stream cannot
+    know its keys beforehand, so ``expected`` must be given: with more keys than that, more new ones are missed.
     """
 
-    expected: int = 100_000
+    expected: int
     false_positives: float = 0.03
     buckets: int = 16
 
@@ -52,6 +53,15 @@ def bit_columns(key: Column, shape: BloomShape) -> Column:
         for i in range(shape.hashes)]))
 
 
+def sized_bit_columns(key: Column, keys: Column, false_positives: float) -> Column:
+    """Array of the bits a key owns in a filter that is sized for ``keys`` keys."""
+    digest = F.md5(key)
+    bits = F.ceil(keys * F.lit(-math.log(false_positives) / math.log(2) ** 2))
+    return F.array_distinct(F.array(*[
+        F.pmod(_part(digest, 0) + i * _part(digest, 1), bits)
+        for i in range(max(1, round(-math.log2(false_positives))))]))
+
+
 def bits_of(key: str, shape: BloomShape) -> list[int]:
     """Bits of a key inside its bucket."""
     digest = hashlib.md5(key.encode("utf-8")).hexdigest()

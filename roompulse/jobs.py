@@ -17,6 +17,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roompulse import schemas as S
 from roompulse.config import JobConfig
+from roompulse.functions.bloom import BloomShape
 from roompulse.operators.parsing import parse_changes, parse_events
 from roompulse.plans import audience, etl, gifts, groupon, users
 from roompulse.session import tune
@@ -65,16 +66,20 @@ Job = tuple[Callable[[Inputs], DataFrame], str]
 # Frame and output mode of each job.
 JOBS: dict[str, Job] = {
     "quarantine": (lambda i: etl.clean_events(i.raw()).bad, "append"),
+    "quarantine-details": (lambda i: parse_changes(
+        i.raw(i.config.require("detail_topic")), S.ORDER_DETAIL).bad, "append"),
+    "quarantine-orders": (lambda i: parse_changes(
+        i.raw(i.config.require("main_topic")), S.ORDER_MAIN).bad, "append"),
     "new-user-flags": (lambda i: users.user_event_rows(
         metrics.flag_new_users_stream(i.events_with_id())), "append"),
     "new-user-flags-approx": (lambda i: users.user_event_rows(
-        metrics.flag_new_users_approx_stream(i.events_with_id())), "append"),
+        metrics.flag_new_users_approx_stream(
+            i.events_with_id(), BloomShape(int(i.config.require("expected_devices"))))), "append"),
     "new-user-count": (lambda i: users.new_user_totals_exploded(i.events()), "update"),
     "audience": (lambda i: audience.audience_totals(i.events_with_id()), "update"),
     "audience-windows": (lambda i: metrics.audience_window_now_stream(i.events_with_id()), "update"),
     "audience-visits": (lambda i: metrics.audience_visits_stream(i.events_with_id()), "append"),
-    "gifts": (lambda i: gifts.gift_totals(
-        i.events(), gifts.gift_dimension(i.lines("gifts", streaming=False))), "update"),
+    "gifts": (lambda i: i.events(), "append"),
     "typed-events": (lambda i: kafka.typed_events(i.raw()), "append"),
     "audience-rows": (lambda i: i.events_with_id(), "append"),
     "hot-products": (lambda i: metrics.product_counts_stream(i.events()), "append"),
@@ -88,14 +93,17 @@ STEPS: dict[str, Callable[[Inputs, BatchFn], BatchFn]] = {
     "audience-rows": lambda i, sink: metrics.running_audience_batches(
         i.checkpoint("audience-totals"), sink),
     "hot-products": lambda i, sink: metrics.ranked_batches(sink),
+    "gifts": lambda i, sink: metrics.gift_total_batches(
+        lambda: gifts.gift_dimension(i.lines("gifts", streaming=False)), i.checkpoint("gift-totals"), sink),
 }
 
 
 def _show(batch: DataFrame, batch_id: int) -> None:
-    """Print the first rows. All rows are computed, or state of the others would not be saved."""
+    """Print the first rows. All rows are computed, or state of the others would not be saved; they go nowhere
+    else, which is said as well."""
     held = batch.persist()
     try:
-        print(f"batch {batch_id}: {held.count()} rows")
+        print(f"batch {batch_id}: {held.count()} rows, shown in part and kept nowhere: name a folder 'results'")
         held.show(truncate=False)
     finally:
         held.unpersist()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from roompulse.functions.columns import floor_to
@@ -12,7 +12,7 @@ from roompulse.functions.columns import floor_to
 
 def valid_visits(df: DataFrame, keys: Sequence[str], is_enter: str, ts: str, order: Sequence[str],
                  dwell_ms: int = 60_000, cell_ms: int = 0,
-                 as_of: int | None = None) -> DataFrame:
+                 as_of: int | Column | None = None) -> DataFrame:
     """Per key, in one or more rows, how many enters there were and how many of them were valid.
 
     An enter is valid when the next enter or leave of the same key is absent or comes more than

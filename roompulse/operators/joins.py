@@ -1,35 +1,13 @@
-"""Windowed left joins and dimension lookup."""
+"""Windowed left joins and the last version of dimension rows.
 
-from __future__ import annotations
+No join is hinted: the size that Spark knows, or meets at run time, decides between broadcast and shuffle.
+"""
 
-from collections.abc import Sequence
+from __future__ import annotations
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# A side is broadcast only below both limits.
-BROADCAST_ROWS = 200_000
-BROADCAST_BYTES = 64 * 1024 * 1024
-
-
-def fits_broadcast(df: DataFrame, rows: int = BROADCAST_ROWS, size: int = BROADCAST_BYTES) -> bool:
-    """Measure a table; reading stops one row beyond the limit."""
-    seen = df.limit(rows + 1).agg(
-        F.count("*").alias("n"),
-        F.coalesce(F.sum(F.octet_length(F.to_json(F.struct("*")))), F.lit(0)).alias("bytes"),
-    ).first()
-    return seen["n"] <= rows and seen["bytes"] <= size
-
-
-def sized_join(left: DataFrame, right: DataFrame, on: str | Sequence[str], how: str = "left",
-               rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Broadcast the right side when it was measured to be small, else leave the plan to Spark.
-
-    Beyond the limit it is a shuffle join whose skewed partitions adaptive execution splits.
-    """
-    return left.join(F.broadcast(right) if fits_broadcast(right, rows) else right, on, how)
-
-
 def latest_by(df: DataFrame, key: str, version: str) -> DataFrame:
     """Last written row of each key; rows of the same version are told apart by their values."""
     rest = [c for c in df.columns if c not in (key, version)]

@@ -10,9 +10,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roompulse.functions.columns import floor_to
-from roompulse.operators.joins import sized_join
 from roompulse.operators.running import running_totals
-from roompulse.session import materialize
 
 
 def is_late(ms: str, size_ms: int, watermark: Column) -> Column:
@@ -37,9 +35,7 @@ def flag_late(df: DataFrame, batch: str, ms: str, size_ms: int, delay_ms: int,
               flag: str = "late") -> DataFrame:
     """All rows with their lateness, for data that is tagged with its ingest batch.
 
-    The watermarks are one row per batch. They are computed once, so that measuring them for the
-    join does not read the data again.
+    The watermarks are one row per batch.
     """
-    marks = materialize(watermarks_by_batch(df, batch, ms, delay_ms))
-    return (sized_join(df, marks, batch)
+    return (df.join(watermarks_by_batch(df, batch, ms, delay_ms), batch, "left")
             .withColumn(flag, is_late(ms, size_ms, F.col("watermark"))).drop("watermark"))

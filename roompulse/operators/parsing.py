@@ -7,6 +7,7 @@ arrive as text, which change-logs send as a rule, and each refusal costs a parse
 from __future__ import annotations
 
 import re
+from collections.abc import Sequence
 from functools import reduce
 from operator import or_
 from typing import NamedTuple
@@ -17,7 +18,6 @@ from pyspark.sql import functions as F
 from roompulse import schemas as S
 from roompulse.functions.columns import record_id
 
-_CORRUPT = "_corrupt_record"
 _TEXTUAL = ("string", "map<string,string>")
 
 
@@ -51,17 +51,24 @@ def _text_layout(layout: dict[str, str]) -> dict[str, str]:
 
 
 def _json(text: str, layout: str) -> Column:
-    """Text to a record; null at once for text that does not end like an object.
+    """Text to a record; null for text that is anything but one object.
 
-    Text that breaks off is the usual damage, and a parser error costs far more than a parse.
+    The parser stops after the first object, so it is given the text as the only element of a list: what follows an
+    object then breaks the list or makes it longer. Text that does not end like an object is not parsed at
+    all: breaking off is the usual damage, and a parser error costs far more than a parse.
     """
+    one = F.concat(F.lit("["), F.col(text), F.lit("]"))
     return F.when(F.rtrim(F.col(text), F.lit(" \t\r\n")).endswith("}"),
-                  F.from_json(text, f"{layout}, `{_CORRUPT}` string",
-                              {"columnNameOfCorruptRecord": _CORRUPT}))
+                  F.from_json(one, f"array<struct<{layout}>>"))
+
+
+def _only(records: str) -> Column:
+    """The element of a list that holds one, else null."""
+    return F.when(F.size(records) == 1, F.get(F.col(records), F.lit(0)))
 
 
 def _broken(record: Column) -> Column:
-    return record.isNull() | record.getField(_CORRUPT).isNotNull()
+    return record.isNull()
 
 
 def _faults(record: Column, layout: dict[str, str]) -> dict[str, Column]:
@@ -87,7 +94,8 @@ def parse_events(raw: DataFrame, value: str = "value", with_record_id: bool = Fa
     """
     rec_id = record_id() if with_record_id else F.lit(None).cast("string")
     staged = (raw.select(F.col(value).cast("string").alias("raw"), rec_id.alias("record_id"))
-              .select("*", _once(_json("raw", S.ddl(_text_layout(S.BEHAVIOR)))).alias("e")))
+              .select("*", _once(_json("raw", S.ddl(_text_layout(S.BEHAVIOR)))).alias("list"))
+              .withColumn("e", _only("list")))
     event = F.col("e")
     broken, faulty = _broken(event), _faulty(event, S.BEHAVIOR)
 
@@ -117,7 +125,7 @@ def parse_changes(raw: DataFrame, layout: dict[str, str], value: str = "value",
     fields = ", ".join(f"`{n}`: {k}" for n, k in _text_layout(layout).items())
     staged = (raw.select(F.col(value).cast("string").alias("raw"))
               .select("*", _once(_json("raw", f"`type` string, `data` array<struct<{fields}>>"))
-                      .alias("e")))
+                      .alias("list")).withColumn("e", _only("list")))
     event, element = F.col("e"), F.col("element")
     types = [t for t in S.CHANGE_TYPES if keep_deletes or t != "DELETE"]
     kept = event.getField("type").isin(types)
@@ -137,17 +145,17 @@ def parse_changes(raw: DataFrame, layout: dict[str, str], value: str = "value",
 
 
 def parse_lines(raw: DataFrame, layout: dict[str, str], value: str = "value",
-                separator: str = ",") -> Parsed:
-    """Delimited text lines to typed columns, in the order of ``layout``."""
+                separator: str = ",", keep: Sequence[str] = ()) -> Parsed:
+    """Delimited text lines to typed columns, in the order of ``layout``; columns to ``keep`` are passed on."""
     text = F.col(value).cast("string")
-    staged = raw.select(text.alias("raw"), _once(F.split(text, re.escape(separator), -1)).alias("f"))
+    staged = raw.select(*keep, text.alias("raw"), _once(F.split(text, re.escape(separator), -1)).alias("f"))
     typed = {name: F.get(F.col("f"), F.lit(i)).try_cast(kind)
              for i, (name, kind) in enumerate(layout.items())}
     good = F.col("raw").isNotNull() & (F.size("f") >= len(layout))
     for name, kind in layout.items():
         if kind != "string":
             good = good & typed[name].isNotNull()
-    clean = staged.filter(good).select(*[c.alias(n) for n, c in typed.items()])
+    clean = staged.filter(good).select(*[c.alias(n) for n, c in typed.items()], *keep)
     bad = staged.filter(F.coalesce(~good, F.lit(True))).select(
         "raw", F.lit("unreadable line").alias("reason"))
     return Parsed(clean, bad)

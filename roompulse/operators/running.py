@@ -7,13 +7,6 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roompulse.functions.columns import floor_to
-
-# Rows of one key that a task may sort at once.
-ROWS_PER_TASK = 4_000_000
-# Cell widths in ms; each step holds at most 3,600 or 1,000 cells of the next.
-_WIDTHS = (3_600_000, 60_000, 1_000, 1)
-
 _COMBINE = {
     "sum": (F.sum, lambda here, before: F.coalesce(here, F.lit(0)) + F.coalesce(before, F.lit(0))),
     "max": (F.max, F.greatest),
@@ -28,8 +21,9 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     One window over a hot key would sort that key in a single task. Here the order is cut into
     ``cells``: numbers, coarse to fine, that never decrease along ``order`` (a minute of the event
     time, say). Rows are summed within ``keys + cells`` only, and each cell then receives the total
-    of the cells before it, which is a window over pre-aggregated cells. The largest task holds one
-    finest cell, or the list of cells inside one coarser cell, whichever is greater.
+    of the cells before it: windows over pre-aggregated cells, coarse to fine, added up there. Rows meet
+    these totals in one join. The largest task holds one finest cell, or the list of cells inside one
+    coarser cell, whichever is greater.
 
     ``keys`` must not be null. ``how`` is ``sum`` or ``max``.
     """
@@ -40,43 +34,29 @@ def running_totals(df: DataFrame, keys: Sequence[str], order: Sequence[str],
     numbers = [F.coalesce(c.cast("bigint"), F.lit(-2**63)) for c in cells]
     base = df.withColumns({**dict(zip(names, numbers)), **{parts[n]: c for n, c in totals.items()}})
 
-    within = (Window.partitionBy(*keys, *names).orderBy(*order)
-              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
-    out = base.withColumns({name: aggregate(parts[name]).over(within) for name in totals})
-
     summed = base.groupBy(*keys, *names).agg(
         *[aggregate(parts[name]).alias(parts[name]) for name in totals])
-    for depth in range(len(names) - 1, -1, -1):
+    offsets = None
+    tables = [summed]       # finest first; each coarser one is summed from the one below
+    for depth in range(len(names) - 1, 0, -1):
+        tables.append(tables[-1].groupBy(*keys, *names[:depth]).agg(
+            *[aggregate(parts[name]).alias(parts[name]) for name in totals]))
+    for depth, cells_of in enumerate(reversed(tables)):
         on = [*keys, *names[:depth + 1]]
         before = (Window.partitionBy(*on[:-1]).orderBy(on[-1])
                   .rowsBetween(Window.unboundedPreceding, -1))
-        offsets = summed.select(
-            *on, *[aggregate(parts[name]).over(before).alias(f"_before_{name}") for name in totals])
-        out = out.join(offsets, on, "left").withColumns(
-            {name: join_up(F.col(name), F.col(f"_before_{name}")) for name in totals}
-        ).drop(*[f"_before_{name}" for name in totals])
-        if depth:
-            summed = summed.groupBy(*on[:-1]).agg(
-                *[aggregate(parts[name]).alias(parts[name]) for name in totals])
-    return out.drop(*names, *parts.values())
-
-
-def cell_widths(df: DataFrame, keys: Sequence[str], ts: str,
-                rows_per_task: int | None = None) -> list[int]:
-    """Widths, coarse to fine, of the cells that the densest key needs; empty when it needs none.
-
-    Counts are combined before they are shuffled, so measuring costs a scan of the key and the time.
-    Cells that hold hardly a row would only add work, hence the measuring.
-    """
-    limit = rows_per_task or ROWS_PER_TASK
-    widths: list[int] = []
-    for width in _WIDTHS:
-        counted = df.groupBy(*keys, floor_to(ts, width).alias("_cell")).agg(F.count("*").alias("_n"))
-        seen = (counted.groupBy(*keys).agg(F.sum("_n").alias("_all"), F.max("_n").alias("_peak"))
-                .agg(F.max("_all").alias("all"), F.max("_peak").alias("peak")).first())
-        if not widths and (seen["all"] or 0) <= limit:
-            return []
-        widths.append(width)
-        if seen["peak"] <= limit:
-            break
-    return widths
+        here = cells_of.select(*on, *[aggregate(parts[n]).over(before).alias(f"_here_{n}") for n in totals])
+        if offsets is not None:
+            here = here.join(offsets, on[:-1])
+            here = here.select(*on, *[join_up(F.col(f"_here_{n}"), F.col(f"_before_{n}")).alias(f"_here_{n}")
+                                      for n in totals])
+        offsets = here.withColumnsRenamed({f"_here_{n}": f"_before_{n}" for n in totals})
+
+    # The window needs the rows as the join has dealt them: they are shuffled once.
+    within = (Window.partitionBy(*keys, *names).orderBy(*order)
+              .rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1))
+    if offsets is None:
+        return base.withColumns({n: aggregate(parts[n]).over(within) for n in totals}).drop(*parts.values())
+    return (base.join(offsets, [*keys, *names], "left")
+            .withColumns({n: join_up(aggregate(parts[n]).over(within), F.col(f"_before_{n}")) for n in totals})
+            .drop(*names, *parts.values(), *[f"_before_{n}" for n in totals]))

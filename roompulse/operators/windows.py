@@ -22,8 +22,16 @@ def with_event_time(df: DataFrame, ms: str, delay_ms: int | None = None,
 
 
 def with_window(df: DataFrame, size_ms: int, name: str = "event_time") -> DataFrame:
-    """Replace the event time by its tumbling window: a stream may carry only one of the two."""
-    return df.withColumn("window", F.window(name, interval(size_ms))).drop(name)
+    """Replace the event time by its tumbling window: a stream may carry only one of the two.
+
+    Rows of a table without an event time keep a null window; a stream drops them, so they belong to a
+    quarantine before that.
+    """
+    if df.isStreaming:
+        return df.withColumn("window", F.window(name, interval(size_ms))).drop(name)
+    start = floor_to(F.unix_millis(F.col(name)), size_ms)
+    window = F.struct(F.timestamp_millis(start).alias("start"), F.timestamp_millis(start + size_ms).alias("end"))
+    return df.withColumn("window", F.when(F.col(name).isNotNull(), window)).drop(name)
 
 
 def window_bounds(column: str = "window") -> list[Column]:
@@ -34,9 +42,9 @@ def window_bounds(column: str = "window") -> list[Column]:
 
 def tumbling_agg(df: DataFrame, keys: Sequence[str], ms: str, size_ms: int,
                  **aggregates: Column) -> DataFrame:
-    """Aggregates per key and tumbling window of an epoch-ms column."""
+    """Aggregates per key and tumbling window of an epoch-ms column; rows without a time have no window."""
     start = floor_to(ms, size_ms)
-    return (df.groupBy(start.alias("window_start"), *keys)
+    return (df.filter(F.col(ms).isNotNull()).groupBy(start.alias("window_start"), *keys)
             .agg(*[c.alias(n) for n, c in aggregates.items()])
             .withColumn("window_end", F.col("window_start") + size_ms))
 

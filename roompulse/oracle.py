@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import math
+
 from roompulse.functions.bloom import BloomShape
 
+SMALL_BLOOM = BloomShape(expected=6, false_positives=0.3, buckets=2)
 HOUR = 3_600_000
 DAY = 24 * HOUR
 
@@ -48,22 +51,29 @@ _USER_COLUMNS = """id, "deviceId", "eventId", {flag} AS "isNew", "osName" AS os,
   strftime(ts, '%Y%m%d') AS date, strftime(ts, '%H') AS hour"""
 
 
-def _cdc(table: str, key: str, first: str, second: str, columns: str) -> str:
+def _cdc(table: str, key: str, first: str, second: str, columns: str, bad: str = "false") -> str:
     kind = f"""CASE {key} % 5 WHEN 1 THEN 'UPDATE' WHEN 2 THEN 'DELETE' ELSE 'INSERT' END"""
     kept = f"{key} % 13 <> 0 AND {key} % 5 <> 3"
-    return f"""SELECT {first} {columns}, {kind} AS type FROM {table} WHERE {kept}
+    return f"""SELECT {first} {columns}, {kind} AS type FROM {table} WHERE {kept} AND NOT ({bad})
       UNION ALL
       SELECT {second} {columns}, {kind} AS type FROM {table} WHERE {kept} AND {key} % 3 = 0"""
 
 
-def _bloom(shape: BloomShape) -> str:
-    bits = ", ".join(
-        f"h2 % {shape.buckets} * {shape.bucket_bits} + (h0 + {i} * h1) % {shape.bucket_bits}"
-        for i in range(shape.hashes))
+def _bloom(shape: BloomShape | None, false_positives: float = 0.03) -> str:
+    """A filter of a given shape, or one per group sized for its devices."""
+    if shape is None:
+        factor = -math.log(false_positives) / math.log(2) ** 2
+        size = f"CAST(ceil(count(*) OVER (PARTITION BY \"deviceType\") * {factor!r}::DOUBLE) AS BIGINT)"
+        bits = ", ".join(f"(h0 + {i} * h1) % size" for i in range(round(-math.log2(false_positives))))
+    else:
+        size = "0"
+        bits = ", ".join(
+            f"h2 % {shape.buckets} * {shape.bucket_bits} + (h0 + {i} * h1) % {shape.bucket_bits}"
+            for i in range(shape.hashes))
     return f"""WITH {BEHAVIOR}, {_LAUNCH},
     first_rows AS (SELECT * FROM launch WHERE flag = 1),
     hashed AS (
-      SELECT "deviceType", "timestamp", id,
+      SELECT "deviceType", "timestamp", id, {size} AS size,
              CAST('0x' || substr(md5("deviceId"), 1, 8) AS BIGINT) AS h0,
              CAST('0x' || substr(md5("deviceId"), 9, 8) AS BIGINT) AS h1,
              CAST('0x' || substr(md5("deviceId"), 17, 8) AS BIGINT) AS h2
@@ -88,7 +98,7 @@ _SLIDING = f"""WITH {BEHAVIOR}, pv AS (
 
 _DETAIL = f"""detail AS (
   SELECT l_orderkey * 10 + l_linenumber AS id, l_orderkey AS order_id, l_partkey AS sku,
-         (epoch_us(l_shipdate) // 1000) AS detail_ms, l_orderkey // 1000 AS ingest_batch
+         (epoch_us(l_shipdate) // 1000) AS detail_ms, epoch_us(l_shipdate) // 1000 // 2592000000 + CASE l_orderkey % 3 WHEN 0 THEN 6 ELSE 0 END AS ingest_batch
   FROM lineitem)"""
 
 _MAIN = """main AS (
@@ -125,23 +135,35 @@ ORACLE: dict[str, str] = {
       SELECT 'behavior-' || event_id % 8 || '-' || event_id AS id, "deviceId", "deviceType",
              "eventId", "osName", "releaseChannel", province, "timestamp", anchor_id, product_id,
              CAST(0 AS INTEGER) AS "isNew"
-      FROM behavior WHERE event_id % 17 <> 0""",
+      FROM behavior WHERE event_id % 17 > 5""",
     "parse_events_quarantine": f"""WITH {BEHAVIOR}
       SELECT 'behavior-' || event_id % 8 || '-' || event_id AS id,
-             '{{"deviceId":"' || "deviceId" || '","eventId":' AS raw,
-             'not a JSON object' AS reason
-      FROM behavior WHERE event_id % 17 = 0""",
+             CASE event_id % 17 WHEN 0 THEN '{{"deviceId":"' || "deviceId" || '","eventId":'
+               WHEN 1 THEN '{{"deviceId":"' || "deviceId" || '"}}{{"deviceId":"' || "deviceId" || '"}}'
+               WHEN 2 THEN '{{"deviceId":"' || "deviceId" || '","timestamp":"soon"}}'
+               WHEN 3 THEN 'null' ELSE '' END AS raw,
+             CASE event_id % 17 WHEN 2 THEN 'unreadable: timestamp' ELSE 'not a JSON object' END AS reason
+      FROM behavior WHERE event_id % 17 < 5""",
+    "events_lacking_property": f"""WITH {BEHAVIOR}
+      SELECT 'behavior-' || event_id % 8 || '-' || event_id AS id, "deviceId"
+      FROM behavior WHERE event_id % 17 = 5""",
+    "lines_quarantine": """SELECT (epoch_us(o_orderdate) // 1000) || ',' || o_orderkey || ',' || o_orderstatus ||
+        CASE o_orderkey % 11 WHEN 0 THEN ',n/a' ELSE '' END AS raw, 'unreadable line' AS reason
+      FROM orders WHERE o_orderkey % 11 < 2""",
+    "cdc_quarantine": """SELECT CASE WHEN o_orderkey % 13 = 0 THEN 'not a JSON object' ELSE 'unreadable element' END AS reason,
+        CAST(count(*) AS BIGINT) AS n FROM orders
+      WHERE o_orderkey % 13 = 0 OR (o_orderkey % 5 <> 3 AND o_orderkey % 11 = 5) GROUP BY 1""",
     "cdc_order_main": _cdc(
         "orders", "o_orderkey", "CAST(101 AS INTEGER) AS status,", "CAST(102 AS INTEGER) AS status,",
         "o_orderkey AS oid, o_totalprice AS total_money, o_orderpriority AS province, "
-        "(epoch_us(o_orderdate) // 1000) AS update_ms"),
+        "(epoch_us(o_orderdate) // 1000) AS update_ms", bad="o_orderkey % 11 = 5"),
     "cdc_order_detail": _cdc(
         "lineitem", "l_orderkey", "CAST(l_quantity AS INTEGER) AS amount,",
         "CAST(l_quantity AS INTEGER) + 1 AS amount,",
         "l_orderkey * 10 + l_linenumber AS id, l_orderkey AS order_id, l_partkey AS sku, "
         "l_extendedprice AS money, (epoch_us(l_shipdate) // 1000) AS update_ms"),
     "delimited_lines": """SELECT (epoch_us(o_orderdate) // 1000) AS ts, CAST(o_orderkey AS VARCHAR) AS order_id,
-      o_orderstatus AS status, o_totalprice AS amount FROM orders""",
+      o_orderstatus AS status, o_totalprice AS amount FROM orders WHERE o_orderkey % 11 > 1""",
     "event_date_hour": """SELECT CAST(event_id AS VARCHAR) AS id, strftime(ts, '%Y%m%d') AS date,
       strftime(ts, '%H') AS hour FROM events""",
     "filter_equals": f"""WITH {BEHAVIOR}
@@ -189,13 +211,15 @@ ORACLE: dict[str, str] = {
     "audience_valid": f"""WITH {BEHAVIOR}, {_LIVE}, stepped AS (
         SELECT anchor_id, e, "timestamp" AS t,
                lead("timestamp") OVER (PARTITION BY anchor_id, live_session
-                                       ORDER BY "timestamp", id) AS n FROM live)
-      SELECT anchor_id, CAST(sum(CASE WHEN n IS NULL OR n - t > {DAY} THEN 1 ELSE 0 END) AS BIGINT)
+                                       ORDER BY "timestamp", id) AS n,
+               max("timestamp") OVER () AS newest FROM live)
+      SELECT anchor_id, CAST(sum(CASE WHEN coalesce(n, newest) - t > {DAY} THEN 1 ELSE 0 END) AS BIGINT)
              AS valid_total
       FROM stepped WHERE e = 1 GROUP BY anchor_id""",
     "new_user_flag": f"""WITH {BEHAVIOR}, {_LAUNCH}
       SELECT {_USER_COLUMNS.format(flag="CAST(flag AS INTEGER)")} FROM launch""",
-    "new_user_flag_bloom": _bloom(BloomShape()),
+    "new_user_flag_bloom": _bloom(None),
+    "new_user_flag_bloom_small": _bloom(SMALL_BLOOM),
     "new_by_device_type": f"""WITH {BEHAVIOR}, {_LAUNCH}
       SELECT "deviceType", CAST(sum(flag) AS BIGINT) AS new_users FROM launch GROUP BY ALL""",
     "new_by_channel": f"""WITH {BEHAVIOR}, {_LAUNCH}

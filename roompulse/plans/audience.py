@@ -9,11 +9,12 @@ from roompulse import schemas as S
 from roompulse.functions.columns import floor_to, live_delta
 from roompulse.operators.dwell import valid_visits
 from roompulse.operators.filters import only_events, with_props
-from roompulse.operators.running import cell_widths, running_totals
+from roompulse.operators.running import running_totals
 from roompulse.operators.windows import tumbling_agg
 
 MINUTE = 60_000
 HOUR = 60 * MINUTE
+CELLS = (HOUR, MINUTE)    # a task holds a minute of a room, an hour's minutes, or its hours
 
 
 def live_events(events: DataFrame, *props: str) -> DataFrame:
@@ -23,13 +24,12 @@ def live_events(events: DataFrame, *props: str) -> DataFrame:
 def audience_running(events: DataFrame, *cells_ms: int) -> DataFrame:
     """Online and cumulative viewers of the room after each enter or leave.
 
-    ``cells_ms`` are the cell widths, coarse to fine; unless given, the densest room is measured.
+    ``cells_ms`` are the cell widths, coarse to fine.
     """
     rows = live_events(events, S.ANCHOR).select(S.ANCHOR, "id", "timestamp", "eventId")
-    widths = cells_ms or cell_widths(rows, [S.ANCHOR], "timestamp")
     return running_totals(
         rows, [S.ANCHOR], ["timestamp", "id"], live_delta(),
-        [floor_to("timestamp", width) for width in widths],
+        [floor_to("timestamp", width) for width in cells_ms or CELLS],
     ).select(S.ANCHOR, "id", "timestamp", "online", "total")
 
 
@@ -59,19 +59,18 @@ def audience_windowed(events: DataFrame, size_ms: int = 2_000,
     ).select(S.ANCHOR, "window_start", "window_end", "online", "total")
 
 
-def audience_valid(events: DataFrame, dwell_ms: int = MINUTE, cell_ms: int | None = None,
+def audience_valid(events: DataFrame, dwell_ms: int = MINUTE, cell_ms: int = HOUR,
                    as_of: int | None = None) -> DataFrame:
     """Viewers per room who stayed longer than ``dwell_ms``; rooms never entered are left out.
 
-    ``cell_ms`` is the cell width; unless given, the densest room, which bounds its sessions, is
-    measured.
+    ``cell_ms`` is the cell width. Without ``as_of``, the newest time of the events says how long an enter
+    that is still open has lasted.
     """
     rows = live_events(events, S.ANCHOR, S.SESSION).withColumn(
         "entered", F.col("eventId") == S.LIVE_ENTER)
-    if cell_ms is None:
-        cell_ms = min(cell_widths(rows, [S.ANCHOR], "timestamp"), default=0)
+    now = rows.agg(F.max("timestamp")).scalar() if as_of is None else as_of
     visits = valid_visits(rows, [S.ANCHOR, S.SESSION], "entered", "timestamp",
-                          ["timestamp", "id"], dwell_ms, cell_ms, as_of)
+                          ["timestamp", "id"], dwell_ms, cell_ms, now)
     return (visits.groupBy(S.ANCHOR)
             .agg(F.sum("enters").alias("_enters"), F.sum("valid").alias("valid_total"))
             .filter("_enters > 0").drop("_enters"))

@@ -7,20 +7,22 @@ from pyspark.sql import functions as F
 
 from roompulse import schemas as S
 from roompulse.operators.filters import only_event, with_props
-from roompulse.operators.joins import fits_broadcast, latest_by, sized_join
+from roompulse.operators.joins import latest_by
 from roompulse.operators.parsing import parse_lines
 
 
 def gift_dimension(lines: DataFrame, version: str | None = None) -> DataFrame:
     """Gift lines to ``id, name, score``; the line with the greatest ``version`` wins.
 
-    ``version`` names a further field of the lines. Without it ids must be unique.
+    ``version`` names a further field of the lines. Without it the last line of an id wins: lines are taken in the
+    order of the time and name of their files, where ``lines`` tells them (``written``), and of their place.
     """
     layout = dict(S.GIFT_LINE)
-    if version is None:
-        return parse_lines(lines, layout).clean
-    return latest_by(parse_lines(lines, {**layout, version: "bigint"}).clean,
-                     "id", version).drop(version)
+    if version is not None:
+        return latest_by(parse_lines(lines, {**layout, version: "bigint"}).clean, "id", version).drop(version)
+    read = F.struct(F.col("written") if "written" in lines.columns else F.lit(0), F.monotonically_increasing_id())
+    parsed = parse_lines(lines.withColumn("_read", read), layout, keep=["_read"]).clean
+    return latest_by(parsed, "id", "_read").drop("_read")
 
 
 def _rewards(events: DataFrame) -> DataFrame:
@@ -34,25 +36,20 @@ def _keyed(dimension: DataFrame) -> DataFrame:
 def gift_facts(events: DataFrame, dimension: DataFrame) -> DataFrame:
     """Each gift with its name and score, null where the gift is unknown. Also for streams."""
     facts = _rewards(events).select("id", S.ANCHOR, S.GIFT, F.lit(1).alias("gifts"))
-    return sized_join(facts, _keyed(dimension), S.GIFT)
+    return facts.join(_keyed(dimension), S.GIFT, "left")
 
 
 def gift_totals(events: DataFrame, dimension: DataFrame) -> DataFrame:
     """Gifts and points per room; unknown gifts count but bring no points.
 
-    With a small dimension the facts never move: they are looked up in place and combined per room
-    before the shuffle. With a large one they are first counted per room and gift, so that a
-    popular gift does not gather in one task of the join.
+    Gifts are counted per room and gift before the lookup, so that a popular gift does not gather in one task of
+    the join. A stream in update mode can hold one aggregation only and looks each gift up.
     """
     dim = _keyed(dimension).drop("gift_name")
-    small = fits_broadcast(dim)
-    if small or events.isStreaming:
-        joined = _rewards(events).select(S.ANCHOR, S.GIFT).join(
-            F.broadcast(dim) if small else dim, S.GIFT, "left")
-        joined = joined.select(S.ANCHOR, F.lit(1).cast("bigint").alias("n"), "score")
-    else:
-        counted = _rewards(events).groupBy(S.ANCHOR, S.GIFT).agg(F.count("*").alias("n"))
-        joined = counted.join(dim, S.GIFT, "left")
+    counted = _rewards(events).select(S.ANCHOR, S.GIFT, F.lit(1).cast("bigint").alias("n"))
+    if not events.isStreaming:
+        counted = counted.groupBy(S.ANCHOR, S.GIFT).agg(F.sum("n").alias("n"))
+    joined = counted.join(dim, S.GIFT, "left")
     return joined.groupBy(S.ANCHOR).agg(
         F.sum("n").alias("gifts"),
         F.coalesce(F.sum(F.col("score") * F.col("n")), F.lit(0.0)).alias("points"))

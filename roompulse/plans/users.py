@@ -19,8 +19,11 @@ def flag_new_users(events: DataFrame) -> DataFrame:
     return flag_first_seen(only_event(events, S.APP_LAUNCH), "deviceId", ORDER, "id")
 
 
-def flag_new_users_approx(events: DataFrame, shape: BloomShape = BloomShape()) -> DataFrame:
-    """As :func:`flag_new_users`, by one Bloom filter per device type: it may miss a new device."""
+def flag_new_users_approx(events: DataFrame, shape: BloomShape | None = None) -> DataFrame:
+    """As :func:`flag_new_users`, by one Bloom filter per device type: it may miss a new device.
+
+    Filters are sized for the devices that the events hold, unless a ``shape`` is given.
+    """
     return flag_first_seen_bloom(only_event(events, S.APP_LAUNCH), "deviceType", "deviceId",
                                  ORDER, "id", shape)
 

@@ -10,9 +10,10 @@ from pyspark.sql import functions as F
 
 from roompulse import schemas as S
 from roompulse import tables as D
+from roompulse.functions.bloom import BloomShape
 from roompulse.functions.columns import event_date, event_hour
 from roompulse.functions.protobuf import decode_events, encode_events
-from roompulse.operators.filters import only_event, only_events, only_prefix, with_props
+from roompulse.operators.filters import lacking, only_event, only_events, only_prefix, with_props
 from roompulse.operators.joins import latest_by
 from roompulse.operators.parsing import parse_changes, parse_lines
 from roompulse.operators.windows import window_bounds
@@ -24,27 +25,8 @@ QUERIES: dict[str, Query] = {}
 
 HOUR = 3_600_000
 DAY = 24 * HOUR
-PRODUCT_VIEW = D.EVENT_IDS["view"]
-
-
-def _launches(spark, sf_dir):
-    return D.behavior(spark, sf_dir, S.APP_LAUNCH)
-
-
-def _live(spark, sf_dir):
-    return D.behavior(spark, sf_dir, S.LIVE_ENTER, S.LIVE_LEAVE)
-
-
-def _views(spark, sf_dir):
-    return D.behavior(spark, sf_dir, PRODUCT_VIEW)
-
-
-def _rewards(spark, sf_dir):
-    return D.behavior(spark, sf_dir, S.LIVE_REWARD)
-
-
-def _routable(spark, sf_dir):
-    return D.behavior(spark, sf_dir, PRODUCT_VIEW, S.LIVE_REWARD)
+# Small enough to take some new devices for known ones.
+SMALL_BLOOM = BloomShape(expected=6, false_positives=0.3, buckets=2)
 
 
 def query(fn: Query) -> Query:
@@ -87,7 +69,23 @@ def cdc_order_detail(spark, sf_dir):
 
 @query
 def delimited_lines(spark, sf_dir):
-    return parse_lines(D.order_lines(spark, sf_dir), S.ORDER_LINE).clean
+    return parse_lines(D.order_lines(spark, sf_dir, damaged=True), S.ORDER_LINE).clean
+
+
+@query
+def lines_quarantine(spark, sf_dir):
+    return parse_lines(D.order_lines(spark, sf_dir, damaged=True), S.ORDER_LINE).bad
+
+
+@query
+def cdc_quarantine(spark, sf_dir):
+    return (parse_changes(D.raw_order_main(spark, sf_dir), S.ORDER_MAIN).bad
+            .groupBy("reason").agg(F.count(F.lit(1)).alias("n")))
+
+
+@query
+def events_lacking_property(spark, sf_dir):
+    return lacking(etl.clean_events(D.raw_behavior(spark, sf_dir)).clean, S.ANCHOR).select("id", "deviceId")
 
 
 @query
@@ -100,29 +98,29 @@ def event_date_hour(spark, sf_dir):
 
 @query
 def filter_equals(spark, sf_dir):
-    return only_event(_launches(spark, sf_dir), S.APP_LAUNCH).select("id", "eventId", "deviceId")
+    return only_event(D.behavior(spark, sf_dir), S.APP_LAUNCH).select("id", "eventId", "deviceId")
 
 
 @query
 def filter_in(spark, sf_dir):
-    return only_events(_live(spark, sf_dir), S.LIVE_ENTER, S.LIVE_LEAVE).select(
+    return only_events(D.behavior(spark, sf_dir), S.LIVE_ENTER, S.LIVE_LEAVE).select(
         "id", "eventId", "deviceId")
 
 
 @query
 def filter_prefix(spark, sf_dir):
-    return only_prefix(_views(spark, sf_dir), S.PRODUCT_PREFIX).select(
+    return only_prefix(D.behavior(spark, sf_dir), S.PRODUCT_PREFIX).select(
         "id", "eventId", "deviceId")
 
 
 @query
 def etl_route(spark, sf_dir):
-    return etl.etl_route(_routable(spark, sf_dir)).select("id", "eventId", "route")
+    return etl.etl_route(D.behavior(spark, sf_dir)).select("id", "eventId", "route")
 
 
 @query
 def proto_roundtrip(spark, sf_dir):
-    sent = encode_events(etl.etl_route(_routable(spark, sf_dir)), keep=["route"])
+    sent = encode_events(etl.etl_route(D.behavior(spark, sf_dir)), keep=["route"])
     got = decode_events(sent, keep=["route"])
     return with_props(got, S.ANCHOR, S.GIFT).select(
         "id", "deviceId", "eventId", "timestamp", "releaseChannel", S.ANCHOR, S.GIFT, "route")
@@ -141,55 +139,60 @@ def gift_dim_latest(spark, sf_dir):
 
 @query
 def gift_join(spark, sf_dir):
-    return gifts.gift_facts(_rewards(spark, sf_dir), _gift_dimension(spark, sf_dir))
+    return gifts.gift_facts(D.behavior(spark, sf_dir), _gift_dimension(spark, sf_dir))
 
 
 @query
 def gift_totals(spark, sf_dir):
-    return gifts.gift_totals(_rewards(spark, sf_dir), _gift_dimension(spark, sf_dir))
+    return gifts.gift_totals(D.behavior(spark, sf_dir), _gift_dimension(spark, sf_dir))
 
 
 # --- audience ----------------------------------------------------------------------------------
 
 @query
 def audience_running(spark, sf_dir):
-    return audience.audience_running(_live(spark, sf_dir))
+    return audience.audience_running(D.behavior(spark, sf_dir))
 
 
 @query
 def audience_totals(spark, sf_dir):
-    return audience.audience_totals(_live(spark, sf_dir))
+    return audience.audience_totals(D.behavior(spark, sf_dir))
 
 
 @query
 def audience_window_delta(spark, sf_dir):
-    return audience.audience_window_delta(_live(spark, sf_dir), HOUR)
+    return audience.audience_window_delta(D.behavior(spark, sf_dir), HOUR)
 
 
 @query
 def audience_windowed(spark, sf_dir):
-    return audience.audience_windowed(_live(spark, sf_dir), HOUR)
+    return audience.audience_windowed(D.behavior(spark, sf_dir), HOUR)
 
 
 @query
 def audience_valid(spark, sf_dir):
-    return audience.audience_valid(_live(spark, sf_dir), dwell_ms=DAY)
+    return audience.audience_valid(D.behavior(spark, sf_dir), dwell_ms=DAY)
 
 
 # --- new users ---------------------------------------------------------------------------------
 
 @query
 def new_user_flag(spark, sf_dir):
-    return users.user_event_rows(users.flag_new_users(_launches(spark, sf_dir)))
+    return users.user_event_rows(users.flag_new_users(D.behavior(spark, sf_dir)))
 
 
 @query
 def new_user_flag_bloom(spark, sf_dir):
-    return users.user_event_rows(users.flag_new_users_approx(_launches(spark, sf_dir)))
+    return users.user_event_rows(users.flag_new_users_approx(D.behavior(spark, sf_dir)))
+
+
+@query
+def new_user_flag_bloom_small(spark, sf_dir):
+    return users.user_event_rows(users.flag_new_users_approx(D.behavior(spark, sf_dir), SMALL_BLOOM))
 
 
 def _flagged(spark, sf_dir):
-    return users.flag_new_users(_launches(spark, sf_dir)).withColumn("isNew", F.col("isN"))
+    return users.flag_new_users(D.behavior(spark, sf_dir)).withColumn("isNew", F.col("isN"))
 
 
 @query
@@ -216,12 +219,12 @@ def new_user_totals(spark, sf_dir):
 
 @query
 def sliding_counts(spark, sf_dir):
-    return products.product_window_counts(_views(spark, sf_dir), 10 * HOUR, HOUR)
+    return products.product_window_counts(D.behavior(spark, sf_dir), 10 * HOUR, HOUR)
 
 
 @query
 def hot_products(spark, sf_dir):
-    return products.hot_products(_views(spark, sf_dir), 10 * HOUR, HOUR)
+    return products.hot_products(D.behavior(spark, sf_dir), 10 * HOUR, HOUR)
 
 
 # --- orders ------------------------------------------------------------------------------------

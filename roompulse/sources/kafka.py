@@ -15,12 +15,14 @@ def kafka_options(config: JobConfig, topics: str | None = None,
     """Reader options; several topics are separated by commas."""
     names = [t.strip() for t in (topics or config.require("input_topics")).split(",")]
     options = {
+        **{f"kafka.{k.removeprefix('kafka.')}": v for k, v in config.client},
         "kafka.bootstrap.servers": config.require("bootstrap_servers"),
         "subscribe": ",".join(n for n in names if n),
         "startingOffsets": config.starting_offsets,
     }
-    if max_offsets is not None:
-        options["maxOffsetsPerTrigger"] = str(max_offsets)
+    limit = max_offsets or config.max_offsets
+    if limit is not None:
+        options["maxOffsetsPerTrigger"] = str(limit)
     return options
 
 

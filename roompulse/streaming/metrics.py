@@ -7,19 +7,15 @@ they are; here is what needs more than that.
 
 from __future__ import annotations
 
-import heapq
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Row
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
 from roompulse import schemas as S
 from roompulse.functions.bloom import BloomShape
 from roompulse.functions.columns import live_delta
 from roompulse.operators.filters import only_event
-from roompulse.operators.joins import sized_join
 from roompulse.operators.ranking import top_k
 from roompulse.operators.windows import interval, window_bounds, with_event_time
 from roompulse.plans import gifts
@@ -41,7 +37,7 @@ def flag_new_users_stream(events: DataFrame, salts: int = 1,
     return first_seen_stream(rows, "deviceId", ORDER, "id", salts=salts, ttl_ms=ttl_ms)
 
 
-def flag_new_users_approx_stream(events: DataFrame, shape: BloomShape = BloomShape()) -> DataFrame:
+def flag_new_users_approx_stream(events: DataFrame, shape: BloomShape) -> DataFrame:
     rows = only_event(events, S.APP_LAUNCH).select(*USER_FIELDS)
     return bloom_seen_stream(rows, "deviceType", "deviceId", ORDER, shape)
 
@@ -77,45 +73,16 @@ def valid_totals(visits: DataFrame) -> DataFrame:
 
 def product_counts_stream(events: DataFrame, size_ms: int = 600_000, slide_ms: int = 60_000,
                           delay_ms: int = 0) -> DataFrame:
-    """Closed sliding windows with their counts. Append mode; late rows are dropped."""
+    """Closed sliding windows with their counts. Append mode; late rows are dropped.
+
+    Append mode hands out all counts of a window in the micro-batch that closes it: :func:`ranked_batches` ranks them.
+    """
     rows = with_event_time(product_events(events), "timestamp", delay_ms)
     return (rows.groupBy(F.window("event_time", interval(size_ms), interval(slide_ms)), *KEYS)
             .agg(F.count("*").alias("count"))
             .select(*KEYS, "count", *window_bounds()))
 
 
-class BestOfGroup(StatefulProcessor):
-    """First ``k`` rows of a group by count and id; needs no state, see :func:`hot_products_stream`."""
-
-    def __init__(self, k: int):
-        self.k = k
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        pass
-
-    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        best = heapq.nsmallest(self.k, rows, key=lambda r: (-r["count"], r[S.PRODUCT]))
-        for place, row in enumerate(best, 1):
-            yield Row(*row.__fields__, "sort")(*row, place)
-
-    def close(self) -> None:
-        pass
-
-
-def hot_products_stream(events: DataFrame, size_ms: int = 600_000, slide_ms: int = 60_000,
-                        k: int = 3, delay_ms: int = 0) -> DataFrame:
-    """Top products of each window once it has closed. Append mode.
-
-    Append mode hands out all counts of a window in the micro-batch that closes it, so the ranking
-    needs no state of its own and keeps no more than ``k`` rows per group in memory. To stay inside
-    the JVM altogether, write :func:`product_counts_stream` through :func:`ranked_batches`.
-    """
-    counts = product_counts_stream(events, size_ms, slide_ms, delay_ms)
-    out = T.StructType([*counts.schema.fields, T.StructField("sort", T.IntegerType())])
-    return counts.groupBy("window_start", S.CATEGORY, "eventId").transformWithState(
-        BestOfGroup(k), out, "Append", "None")
-
-
 def ranked_batches(sink: BatchFn, k: int = 3) -> BatchFn:
     """``foreachBatch`` function that ranks closed windows with the batch operator."""
     def rank(batch: DataFrame, batch_id: int) -> None:
@@ -131,6 +98,23 @@ def gift_batches(load_dimension: Callable[[], DataFrame], sink: BatchFn) -> Batc
     return look_up
 
 
+def gift_total_batches(load_dimension: Callable[[], DataFrame], folder: str, sink: BatchFn) -> BatchFn:
+    """``foreachBatch`` function: gifts and points of all rooms so far, each gift at the points it had when it came.
+
+    The dimension is read anew each time. Totals of earlier batches come from the version that the batch
+    before has written under ``folder``, so a batch that is run again counts once.
+    """
+    def run(batch: DataFrame, batch_id: int) -> None:
+        now = gifts.gift_totals(batch, load_dimension())
+        if batch_id > 0:
+            before = batch.sparkSession.read.parquet(f"{folder}/batch_id={batch_id - 1}")
+            now = before.unionByName(now).groupBy(S.ANCHOR).agg(
+                F.sum("gifts").alias("gifts"), F.sum("points").alias("points"))
+        write_batch(now, batch_id, folder)
+        sink(batch.sparkSession.read.parquet(f"{folder}/batch_id={batch_id}"), batch_id)
+    return run
+
+
 def running_audience_batches(folder: str, sink: BatchFn, *cells_ms: int) -> BatchFn:
     """``foreachBatch`` function: one row per enter or leave with the running totals of its room.
 
@@ -147,9 +131,8 @@ def running_audience_batches(folder: str, sink: BatchFn, *cells_ms: int) -> Batc
             running = audience_running(rows, *cells_ms)
             if batch_id > 0:
                 before = spark.read.parquet(f"{folder}/batch_id={batch_id - 1}")
-                running = sized_join(
-                    running, before.withColumnsRenamed({"online": "_online", "total": "_total"}),
-                    S.ANCHOR,
+                running = running.join(
+                    before.withColumnsRenamed({"online": "_online", "total": "_total"}), S.ANCHOR, "left",
                 ).select(S.ANCHOR, "id", "timestamp", *[
                     (F.col(c) + F.coalesce(F.col("_" + c), F.lit(0))).alias(c)
                     for c in ("online", "total")])

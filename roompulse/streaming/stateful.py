@@ -172,7 +172,7 @@ def first_rows_stream(events: DataFrame, key: str, row_id: str, salts: int = 4)
 
 
 def bloom_seen_stream(events: DataFrame, group: str, key: str, order: Sequence[str],
-                      shape: BloomShape = BloomShape(), flag: str = "isN") -> DataFrame:
+                      shape: BloomShape, flag: str = "isN") -> DataFrame:
     """As :func:`first_seen_stream`, approximately: one Bloom filter per ``group``, kept in
     ``shape.buckets`` parts so that a large group is shared by as many tasks."""
     events = (events.drop(flag).filter(F.col(group).isNotNull() & F.col(key).isNotNull())

@@ -20,20 +20,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir.rstrip('/')}/{name}.parquet")
 
 
-def behavior(spark: SparkSession, sf_dir: str, *event_ids: str) -> DataFrame:
-    """``events`` as behaviour events; fields the table cannot fill are left out.
-
-    A query that needs a few event ids only may name them: the condition on the computed event id
-    cannot reach the scan, one on the stored event type can.
-    """
+def behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``events`` as behaviour events; fields the table cannot fill are left out."""
     k = F.get_json_object("props", "$.k").cast("int")
     event = F.lit(None).cast("string")
     for theirs, ours in EVENT_IDS.items():
         event = F.when(F.col("event_type") == theirs, ours).otherwise(event)
     rows = table(spark, sf_dir, "events")
-    if event_ids:
-        rows = rows.filter(F.col("event_type").isin(
-            [theirs for theirs, ours in EVENT_IDS.items() if ours in event_ids]))
     return rows.select(
         F.col("event_id").cast("string").alias("id"),
         F.col("user_id").cast("string").alias("deviceId"),
@@ -54,13 +47,19 @@ def behavior(spark: SparkSession, sf_dir: str, *event_ids: str) -> DataFrame:
 
 
 def raw_behavior(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Behaviour events as Kafka records of JSON text; every 17th text breaks off."""
+    """Behaviour events as Kafka records of JSON text, of which every 17th is damaged in each of six ways."""
     number = F.col("id").cast("bigint")
     whole = F.to_json(F.struct("deviceId", "deviceType", "eventId", "osName", "releaseChannel",
                                "timestamp", "province", "properties"))
     cut = F.concat(F.lit('{"deviceId":"'), "deviceId", F.lit('","eventId":'))
+    start = F.concat(F.lit('{"deviceId":"'), "deviceId")
+    kind = number % 17
+    text = (F.when(kind == 0, cut).when(kind == 1, F.concat(start, F.lit('"}'), start, F.lit('"}')))
+            .when(kind == 2, F.concat(start, F.lit('","timestamp":"soon"}'))).when(kind == 3, F.lit("null"))
+            .when(kind == 4, F.lit(""))
+            .when(kind == 5, F.concat(start, F.lit('","properties":{"product_id":"1"}}'))).otherwise(whole))
     return behavior(spark, sf_dir).select(
-        F.when(number % 17 == 0, cut).otherwise(whole).cast("binary").alias("value"),
+        text.cast("binary").alias("value"),
         F.lit("behavior").alias("topic"),
         F.pmod(number, F.lit(8)).cast("int").alias("partition"),
         number.alias("offset"),
@@ -95,14 +94,18 @@ def order_detail(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("l_orderkey") * 10 + F.col("l_linenumber")).alias("id"),
         F.col("l_orderkey").alias("order_id"), F.col("l_partkey").alias("sku"),
         F.col("l_extendedprice").alias("money"), F.col("l_quantity").cast("int").alias("amount"),
-        when.alias("update_time"), F.expr("l_orderkey div 1000").alias("ingest_batch"))
+        when.alias("update_time"), F.expr(
+            "unix_millis(cast(l_shipdate AS timestamp)) div 2592000000 + if(l_orderkey % 3 = 0, 6, 0)"
+        ).alias("ingest_batch"))
 
 
 def raw_order_main(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Change-log of ``orders``: every third record holds two rows, every 13th breaks off."""
+    """Change-log of ``orders``: every third record holds two rows, every 13th breaks off, every 11th has a
+    status in its first row that is no number."""
     row = F.struct(
         F.col("o_orderkey").alias("oid"), _text_time("o_orderdate").alias("create_time"),
-        F.col("o_totalprice").alias("total_money"), F.lit("101").alias("status"),
+        F.col("o_totalprice").alias("total_money"), F.when(
+            F.pmod("o_orderkey", F.lit(11)) == 5, "soon").otherwise("101").alias("status"),
         _text_time("o_orderdate").alias("update_time"), F.col("o_orderpriority").alias("province"))
     paid = row.withField("status", F.lit("102"))
     return _envelopes(table(spark, sf_dir, "orders"), "o_orderkey", row, paid)
@@ -152,8 +155,10 @@ def groupon_main_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
         "o_orderstatus", "o_orderpriority").alias("value"))
 
 
-def order_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """``orders`` as lines ``ts,order,status,amount``."""
+def order_lines(spark: SparkSession, sf_dir: str, damaged: bool = False) -> DataFrame:
+    """``orders`` as lines ``ts,order,status,amount``; if ``damaged``, every 11th has no number or no field there."""
+    kind = F.pmod("o_orderkey", F.lit(11)) if damaged else F.lit(-1)
+    amount = F.when(kind == 0, "n/a").when(kind != 1, F.col("o_totalprice").cast("string"))
     return table(spark, sf_dir, "orders").select(F.concat_ws(
         ",", epoch_ms("o_orderdate").cast("string"), F.col("o_orderkey").cast("string"),
-        "o_orderstatus", F.col("o_totalprice").cast("string")).alias("value"))
+        "o_orderstatus", amount).alias("value"))

@@ -13,6 +13,7 @@ from roompulse.functions.protobuf import encode_events
 from roompulse.plans import audience, etl, gifts
 from roompulse.sinks.tables import read_table
 from roompulse.sources.files import read_staged
+from roompulse.streaming.metrics import gift_total_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -44,7 +45,7 @@ def world(spark):
 
 def inputs(spark, base, topic="behavior"):
     config = JobConfig(input_topics=topic, main_topic="main", detail_topic="detail",
-                       checkpoint_path=tempfile.mkdtemp())
+                       checkpoint_path=tempfile.mkdtemp(), expected_devices=1_000)
     names = ("gifts", "groupon_detail", "groupon_main", "orders", "order_table")
     return jobs.Inputs(spark, config, {**{n: f"{base}/{n}" for n in names}, "results": tempfile.mkdtemp()},
                        lambda topics: read_staged(spark, f"{base}/{topics or topic}"))
@@ -102,7 +103,23 @@ def test_gift_job_equals_table_form(spark, world):
     given = inputs(spark, world)
     want = gifts.gift_totals(etl.clean_events(D.raw_behavior(spark, SF)).clean,
                              gifts.gift_dimension(given.lines("gifts", streaming=False)))
-    assert sorted(map(tuple, results(spark, "gifts", given).collect())) == sorted(map(tuple, want.collect()))
+    got = results(spark, "gifts", given)
+    assert sorted(map(tuple, got.collect())) == sorted(map(tuple, want.collect()))
+
+
+def test_gift_totals_follow_a_dimension_that_changes(spark):
+    """A line written twice counts once; a new score holds for later gifts only."""
+    lines, folder, seen = ["7,rose,1.0", "7,rose,2.0"], tempfile.mkdtemp(), []
+    step = gift_total_batches(
+        lambda: gifts.gift_dimension(spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1)),
+        folder, lambda df, n: seen.append([tuple(r) for r in df.select("anchor_id", "gifts", "points").collect()]))
+    batch = spark.createDataFrame([("1", S.LIVE_REWARD, {S.ANCHOR: "a", S.GIFT: "7"})],
+                                  "id string, eventId string, properties map<string,string>")
+    step(batch, 0)
+    lines.append("7,rose,5.0")
+    step(batch, 1)
+    step(batch, 1)
+    assert seen == [[("a", 1, 2.0)], [("a", 2, 7.0)], [("a", 2, 7.0)]]
 
 
 def test_order_job(spark, world):

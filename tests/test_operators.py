@@ -6,8 +6,8 @@ import pytest
 from pyspark.sql import functions as F
 
 from roompulse import schemas as S
+from roompulse import tables
 from roompulse.functions.bloom import BloomShape, bit_columns, bits_of, bucket_column
-from roompulse.operators import joins, running
 from roompulse.operators.dwell import valid_visits
 from roompulse.operators.firstseen import flag_first_seen, flag_first_seen_bloom
 from roompulse.operators.late import flag_late
@@ -104,8 +104,8 @@ def test_dwell_limits(spark, cell_ms):
               ("+", 0, "a", "u2"), ("-", 60_001, "a", "u2"),               # 1 ms more: yes
               ("+", 0, "a", "u3"), ("+", 10, "a", "u3"),                   # replaced, then open
               ("-", 0, "a", "u4"), ("+", 0, "b", "u5"), ("-", 1, "b", "u5"), ("-", 0, "c", "u6"))
-    assert result(audience.audience_valid(df, cell_ms=cell_ms), S.ANCHOR, "valid_total") == [
-        ("a", 2), ("b", 0)]
+    cell_ms = audience.HOUR if cell_ms is None else cell_ms
+    assert result(audience.audience_valid(df, cell_ms=cell_ms), S.ANCHOR, "valid_total") == [("a", 1), ("b", 0)]
     assert result(audience.audience_valid(df, cell_ms=cell_ms, as_of=60_010), S.ANCHOR, "valid_total") \
         == [("a", 1), ("b", 0)]
     assert result(audience.audience_valid(df, cell_ms=cell_ms, as_of=60_011), S.ANCHOR, "valid_total") \
@@ -159,7 +159,7 @@ def test_bloom_equals_filling_a_filter_in_order(spark):
 
 
 def test_bloom_shape_and_bits():
-    shape = BloomShape()
+    shape = BloomShape(100_000)
     assert shape.hashes == 5 and 729_844 <= shape.bits < 729_844 + 32
     assert all(0 <= b < shape.bucket_bits for b in bits_of("device", shape))
 
@@ -172,6 +172,52 @@ def test_bloom_misses_stay_within_the_wanted_rate(spark):
     assert 5_000 * 0.97 < flagged <= 5_000
 
 
+def test_bloom_is_sized_for_its_keys(spark):
+    """Two million devices of one type beside a small one."""
+    df = spark.range(2_000_000).select(
+        F.when(F.col("id") < 50, "small").otherwise("large").alias("g"), F.concat(F.lit("d"), "id").alias("d"),
+        F.col("id").alias("ts"), F.col("id").cast("string").alias("id"))
+    got = dict(result(flag_first_seen_bloom(df, "g", "d", ["ts", "id"], "id").groupBy("g").agg(
+        F.sum("isN").alias("n")), "g", "n"))
+    assert got["small"] >= 45 and 1_999_950 * 0.97 < got["large"] <= 1_999_950
+
+
+def test_first_launch_with_null_and_repeated_ids(spark):
+    df = spark.createDataFrame([("d1", 5, None), ("d1", 7, "b"), ("d2", 1, "x"), ("d2", 1, "x"), ("d3", 1, "x")],
+                               "deviceId string, timestamp bigint, id string")
+    for got in (flag_first_seen(df, "deviceId", ["timestamp", "id"], "id"),
+                flag_first_seen_bloom(df.withColumn("g", F.lit("g")), "g", "deviceId", ["timestamp", "id"], "id")):
+        flags = {}
+        for r in got.collect():
+            flags.setdefault(r["deviceId"], []).append(r["isN"])
+        assert {k: sorted(v) for k, v in flags.items()} == {"d1": [0, 1], "d2": [0, 1], "d3": [1]}
+
+
+def test_null_times_stay_in_joins_and_out_of_windows(spark):
+    detail = spark.createDataFrame([(1, 7, None), (2, 7, "1970-01-01 00:00:01"), (3, 8, None)],
+                                   "id bigint, order_id bigint, t string").withColumn(
+        "update_time", F.to_timestamp("t")).drop("t").withColumn("ingest_batch", F.lit(0))
+    main = spark.createDataFrame([(7, "1970-01-01 00:00:02")], "oid bigint, t string").withColumn(
+        "update_time", F.to_timestamp("t")).drop("t")
+    assert result(orders.order_window_join(detail, main), "id", "main_oid") == [(1, None), (2, 7), (3, None)]
+    got = orders.order_detail_enriched(detail, main, main)
+    assert result(got, "id", "main_oid", "found_by") == [(1, 7, "lookup"), (2, 7, "window"), (3, None, None)]
+    df = live(spark, ("+", None, "a", "u1"), ("+", 5, "a", "u2"))
+    assert result(audience.audience_windowed(df), S.ANCHOR, "window_start", "total") == [("a", 0, 1)]
+
+
+def test_open_enters_count_once_they_have_lasted(spark):
+    df = live(spark, ("+", 0, "a", "u1"), ("+", 60_000, "a", "u2"), ("+", 60_001, "a", "u3"))
+    assert result(audience.audience_valid(df), S.ANCHOR, "valid_total") == [("a", 1)]
+
+
+def test_gift_lines_without_version(spark, tmp_path):
+    lines = spark.createDataFrame([(v,) for v in ("7,rose,1.0", "8,car,3.0", "7,rose,2.0")], "value string").coalesce(1)
+    assert result(gifts.gift_dimension(lines), "id", "name", "score") == [("7", "rose", 2.0), ("8", "car", 3.0)]
+    df = events(spark, [("1", S.LIVE_REWARD, 1, {S.ANCHOR: "a", S.GIFT: "7"}, "d")])
+    assert result(gifts.gift_totals(df, gifts.gift_dimension(lines)), S.ANCHOR, "gifts", "points") == [("a", 1, 2.0)]
+
+
 def test_python_bits_equal_column_bits(spark):
     shape = BloomShape(expected=500, buckets=3)
     df = spark.createDataFrame([("a",), ("device-ü",), ("",)], "k string")
@@ -287,7 +333,7 @@ def test_flag_late_by_watermark_rule(spark):
         (0, 10_000, False), (1, 4_999, True), (1, 5_000, False), (1, 10_001, False)]
 
 
-def test_gifts_with_small_and_large_dimension(spark, monkeypatch):
+def test_gifts_and_their_dimension(spark):
     rows = [(f"{i}", S.LIVE_REWARD, i, {S.ANCHOR: "a" if i % 3 else "b", S.GIFT: f"{i % 4}"}, "d")
             for i in range(30)] + [("x", S.LIVE_REWARD, 1, {S.ANCHOR: "a"}, "d")]
     df = events(spark, rows)
@@ -297,9 +343,6 @@ def test_gifts_with_small_and_large_dimension(spark, monkeypatch):
     small = result(gifts.gift_totals(df, dim), S.ANCHOR, "gifts", "points")
     facts = gifts.gift_facts(df, dim)
     assert facts.count() == 30 and facts.filter("gift_name is null").count() == 14
-    monkeypatch.setattr(gifts, "fits_broadcast", lambda d: False)
-    large = gifts.gift_totals(df, dim)
-    assert result(large, S.ANCHOR, "gifts", "points") == small
     want = {}
     for r in rows[:30]:
         n, p = want.get(r[3][S.ANCHOR], (0, 0.0))
@@ -307,17 +350,6 @@ def test_gifts_with_small_and_large_dimension(spark, monkeypatch):
     assert {a: (n, p) for a, n, p in small} == want
 
 
-def test_broadcast_only_below_the_limit(spark):
-    small, large = spark.range(50), spark.range(500)
-    assert joins.fits_broadcast(small, rows=100) and not joins.fits_broadcast(large, rows=100)
-    assert not joins.fits_broadcast(small, size=10)
-    facts = spark.range(2000)
-    hinted = joins.sized_join(facts, small, "id", rows=100)._jdf.queryExecution().logical().toString()
-    plain = joins.sized_join(facts, large, "id", rows=100)._jdf.queryExecution().logical().toString()
-    assert "ResolvedHint" in hinted or "UnresolvedHint" in hinted
-    assert "Hint" not in plain
-
-
 def test_hot_order_is_split_in_the_join(spark):
     """A third of all details belong to one order: adaptive execution splits its partition."""
     settings = {"spark.sql.autoBroadcastJoinThreshold": "-1",
@@ -354,20 +386,32 @@ def test_rows_without_time_come_first(spark):
         ("0000", 1), ("0001", 2)]
 
 
-def test_cells_are_as_fine_as_the_densest_key_needs(spark, monkeypatch):
+def test_cells_do_not_change_the_totals(spark):
     rng = random.Random(8)
     rows = [("+", 7_200_000 + rng.randrange(3_000), "hot", f"u{i}") for i in range(90)]
     rows += [("-", rng.randrange(9_000_000), f"r{i % 5}", f"u{i}") for i in range(60)]
     df = live(spark, *rows)
-    flat = audience.live_events(df, S.ANCHOR)
-    widths = lambda limit: running.cell_widths(flat, [S.ANCHOR], "timestamp", limit)
-    assert widths(90) == [] and widths(None) == []
-    assert widths(60) == [3_600_000, 60_000, 1_000]
-    assert widths(1)[-1] == 1
-    whole = result(audience.audience_running(df), S.ANCHOR, "id", "online", "total")
-    stayed = result(audience.audience_valid(df), S.ANCHOR, "valid_total")
-    monkeypatch.setattr(running, "ROWS_PER_TASK", 20)
-    assert result(audience.audience_running(df), S.ANCHOR, "id", "online", "total") == whole
-    assert result(audience.audience_valid(df), S.ANCHOR, "valid_total") == stayed
-    empty = df.filter("false")
-    assert audience.audience_running(empty).count() == 0
+    want = {}
+    for r in sorted(audience.live_events(df, S.ANCHOR).collect(), key=lambda r: (r["timestamp"], r["id"])):
+        online, total = want.get(r[S.ANCHOR], (0, 0))
+        enter = r["eventId"] == S.LIVE_ENTER
+        want[r[S.ANCHOR]] = (online + (1 if enter else -1), total + enter)
+        want[r["id"]] = want[r[S.ANCHOR]]
+    for cells in ((), (3_600_000,), (3_600_000, 60_000, 1_000, 1)):
+        got = audience.audience_running(df, *cells).collect()
+        assert {r["id"]: (r["online"], r["total"]) for r in got} == {k: v for k, v in want.items() if k in {
+            r["id"] for r in got}} and len(got) == 150
+    assert audience.audience_running(df.filter("false")).count() == 0
+
+
+def test_rows_are_shuffled_once(spark, sf_dir):
+    """Besides the cell tables, the plan moves the rows of a room in one exchange."""
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        df = audience.audience_running(tables.behavior(spark, sf_dir))
+        df.collect()
+        plan = df._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+        moved = [x for x in plan.split("\n") if "Exchange hashpartitioning" in x and "_cell1" in x]
+        assert len(moved) <= 4      # the rows, the finest cells for themselves and their hours, the totals before
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

@@ -40,7 +40,7 @@ def test_config(config):
 
 def test_kafka_options(config):
     assert kafka.kafka_options(config, max_offsets=5) == {
-        "kafka.bootstrap.servers": "h1:9092,h2:9092", "subscribe": "a,b",
+        "kafka.some.other": "1", "kafka.bootstrap.servers": "h1:9092,h2:9092", "subscribe": "a,b",
         "startingOffsets": "earliest", "maxOffsetsPerTrigger": "5"}
     assert kafka.kafka_options(config, "x")["subscribe"] == "x"
 

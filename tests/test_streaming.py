@@ -5,6 +5,7 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
+from roompulse.functions.bloom import BloomShape
 from roompulse import schemas as S
 from roompulse import tables as D
 from roompulse.operators.filters import with_props
@@ -43,8 +44,9 @@ def test_first_seen(spark, events, source, salts):
 
 
 def test_first_seen_bloom(spark, events, source):
-    got = run(M.flag_new_users_approx_stream(stream(spark, source)))
-    want = users.flag_new_users_approx(events)
+    shape = BloomShape(expected=12, false_positives=0.2)
+    got = run(M.flag_new_users_approx_stream(stream(spark, source), shape))
+    want = users.flag_new_users_approx(events, shape)
     assert bag(got, ["id", "isN"]) == bag(want, ["id", "isN"])
 
 
@@ -166,15 +168,11 @@ def test_visits(spark, events, source):
     assert bag(visits) == bag(want)
 
 
-@pytest.mark.parametrize("form", ["query", "batches"])
-def test_hot_products(spark, events, source, form):
-    if form == "query":
-        got = run(M.hot_products_stream(stream(spark, source), 10 * HOUR, HOUR))
-    else:
-        folder = tempfile.mkdtemp()
-        run_batches(M.product_counts_stream(stream(spark, source), 10 * HOUR, HOUR),
-                    M.ranked_batches(batch_table(folder)))
-        got = read_table(spark, folder).drop("batch_id")
+def test_hot_products(spark, events, source):
+    folder = tempfile.mkdtemp()
+    run_batches(M.product_counts_stream(stream(spark, source), 10 * HOUR, HOUR),
+                M.ranked_batches(batch_table(folder)))
+    got = read_table(spark, folder).drop("batch_id")
     newest = events.filter(F.col("eventId").startswith("product")).agg(F.max("timestamp")).first()[0]
     want = products.hot_products(events, 10 * HOUR, HOUR).filter(F.col("window_end") <= newest)
     assert got.count() > 0
