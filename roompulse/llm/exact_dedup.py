@@ -8,7 +8,7 @@ hot key.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from roompulse.session import staged
@@ -17,9 +17,11 @@ PREFIX = 64
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                 prefix: int = PREFIX) -> DataFrame:
+                 prefix: int = PREFIX, carry: dict[str, Column] | None = None) -> DataFrame:
     """One row ``(key, keep_id, group_size, kept)`` for each row of ``docs``; other columns are ignored.
 
+    ``carry`` names expressions of the row that the result shall hold as well.
+
     Texts are equal when identical; null counts as empty. Of equal texts the row with the largest key
     stays. Rows that repeat key and text all count in ``group_size`` and all stay or go; a null key is smaller
     than any other. An empty table gives an empty result.
@@ -29,6 +31,9 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     3. The texts of rows that still share both are hashed in full (SHA-256) and grouped.
     """
     body = F.coalesce(F.col(text), F.lit(""))
+    carry = carry or {}
+    more = F.struct(F.lit(0).alias("none"), *[c.alias(n) for n, c in carry.items()]).alias("more")
+    out = [F.col(f"more.{n}").alias(n) for n in carry]
     size = F.octet_length(body).alias("size")
     head = F.xxhash64(F.substring(body, 1, prefix)).alias("head")
     lengths = staged(docs.select(size).groupBy("size").agg(F.count(F.lit(1)).alias("n"))
@@ -36,18 +41,18 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = staged(docs.select(size, head).join(lengths, "size", "left_semi")
                     .groupBy("size", "head").agg(F.count(F.lit(1)).alias("n"))
                     .filter("n > 1").select("size", "head", F.lit(True).alias("alive")), "dedup-heads")
-    rows = staged(docs.select(F.col(key).alias("key"), size, head, body.alias("body"))
+    rows = staged(docs.select(F.col(key).alias("key"), size, head, body.alias("body"), more)
                   .join(shared, ["size", "head"], "left")
-                  .select("key", "size", F.when(F.col("alive"), F.unhex(F.sha2("body", 256)))
+                  .select("key", "size", "more", F.when(F.col("alive"), F.unhex(F.sha2("body", 256)))
                           .alias("full")), "dedup-rows")
     groups = staged(rows.filter("full IS NOT NULL").groupBy("size", "full").agg(
         F.max("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     alone = rows.filter("full IS NULL").select(
         F.col("key").alias(key), F.col("key").alias("keep_id"),
-        F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"))
+        F.lit(1).cast("bigint").alias("group_size"), F.lit(True).alias("kept"), *out)
     grouped = rows.filter("full IS NOT NULL").join(groups, ["size", "full"]).select(
         F.col("key").alias(key), "keep_id", "group_size",
-        F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"))
+        F.col("key").eqNullSafe(F.col("keep_id")).alias("kept"), *out)
     return alone.unionByName(grouped)
 
 

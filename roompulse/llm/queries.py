@@ -68,10 +68,8 @@ def op3_language_id(spark, sf_dir):
 
 @query
 def op4_exact_dedup(spark, sf_dir):
-    docs = table(spark, sf_dir, "documents")
-    digest = docs.select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("text_sha256"))
-    return exact_dedup.exact_groups(docs).join(digest, "doc_id").select(
-        "doc_id", "keep_id", "group_size", "kept", "text_sha256")
+    return exact_dedup.exact_groups(table(spark, sf_dir, "documents"), carry={
+        "text_sha256": F.sha2(F.coalesce("text", F.lit("")), 256)})
 
 
 @query
