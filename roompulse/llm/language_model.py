@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from roompulse.llm import mapped
 from roompulse.llm.columns import crc_fold
 from roompulse.llm.eliasfano import EliasFano, encode
-from roompulse.llm.wordhash import U, Words
+from roompulse.llm.wordhash import U, Words, part_of
 from roompulse.session import staging_folder
 
 START, END = U(0x517CC1B727220A95), U(0x2545F4914F6CDD1D)   # hashes of the two marks
@@ -33,11 +33,6 @@ FLUSH = 1 << 21             # distinct entries that a task combines before it pa
 PIECE = 1 << 18             # tokens looked up at a time
 
 
-def part_of(h: np.ndarray, parts: int) -> np.ndarray:
-    """Part of a hash: ranges of equal width, in order."""
-    return ((h >> U(32)) * U(parts) >> U(32)).astype(np.int64)
-
-
 class _Counts:
     """Counts of 64-bit keys combined over the batches of a task."""
 

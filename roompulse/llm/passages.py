@@ -2,25 +2,32 @@
 
 Only suffixes at content-selected places are retained: the word where the smallest hash of ``GRAM`` words begins, in
 every window of ``window`` such places. Two copies of a passage select the same places, and the first of them leaves
-at least ``least - window + 1`` of the passage's words to its right. Suffixes are first counted by the hash of
-that many words; those that more than one document shares are fetched with some words of context on both sides,
-sorted across the cluster by what follows, compared with their neighbours, and extended to the right and left.
-Where that leaves a suffix short, its group is sorted by what stands before and compared once more.
+at least ``least - window + 1`` of the passage's words to its right. Suffixes are first grouped by the hash of
+that many words; groups of more than one document are written out as sorted hash arrays, with the first and last document
+of each, and mapped into memory by a second scan. There, suffixes that follow each other at the same distance in the
+document and in its partner prove a long copy at once. What is left, the ends of long copies, and whatever shares a seed
+with these are fetched with some words on both sides, sorted across the cluster by what follows, compared with their neighbours, and extended to the
+right and left. Where that leaves a suffix short, its group is sorted by what stands before and compared once more.
 """
 
 from __future__ import annotations
 
+import uuid
+
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from roompulse.llm.wordhash import _BASE, U, Words, mix, ngrams
-from roompulse.session import staged
+from roompulse.llm import mapped
+from roompulse.llm.wordhash import _BASE, U, Words, mix, ngrams, part_of
+from roompulse.session import staged, staging_folder
 
 LEAST = 50      # words of a passage
 WINDOW = 24     # places from which one is selected
 GRAM = 8        # words hashed to select a place
+FLUSH = 1 << 21 # seeds that a task combines before it passes them on
 
 
 def _run_hashes(h: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
@@ -41,53 +48,182 @@ def selected(h: np.ndarray, least: int = LEAST, window: int = WINDOW, gram: int
     return at[at + least - window + 1 <= len(h)]
 
 
-def _seeder(least: int, window: int):
+def _seeds(words: Words, ids: np.ndarray, least: int, window: int):
+    """``(seed, id, place)`` of all retained suffixes, and the document (row) of each."""
+    seeds, rows, places = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+    for row, h in enumerate(words.rows()):
+        at = selected(h, least, window)
+        seeds.append(_run_hashes(h, at, least - window + 1))
+        rows.append(np.full(len(at), row))
+        places.append(at)
+    row = np.concatenate(rows)
+    return np.concatenate(seeds), ids[row], np.concatenate(places), row
+
+
+def _ends(seed: np.ndarray, owner: np.ndarray, place: np.ndarray):
+    """Of each seed, sorted, its first and last owner with their places."""
+    order = np.lexsort((place, owner, seed))
+    seed, owner, place = seed[order], owner[order], place[order]
+    cut = seed[1:] != seed[:-1]
+    first = np.flatnonzero(np.concatenate([[True], cut])) if len(seed) else np.zeros(0, np.int64)
+    last = np.flatnonzero(np.concatenate([cut, [True]])) if len(seed) else first
+    return seed, owner, place, first, last
+
+
+def _planes(x: np.ndarray, n: int) -> bytes:
+    return b"".join(((x >> U(8 * k)) & U(255)).astype(np.uint8).tobytes() for k in range(n))
+
+
+def _pack(seed: np.ndarray, owner: np.ndarray, place: np.ndarray) -> bytes:
+    return zstandard.ZstdCompressor(level=1).compress(
+        np.int64(len(seed)).tobytes() + _planes(np.diff(seed, prepend=U(0)), 8) + _planes(owner.view(U), 8)
+        + _planes(place.astype(U), 4))
+
+
+def _unpack(blob: bytes):
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    n = int(raw[:8].view(np.int64)[0])
+    wide = raw[8:].reshape(20, n)
+    get = lambda a, b: sum((wide[a + k].astype(U) << U(8 * k) for k in range(b)), np.zeros(n, U))
+    return np.cumsum(get(0, 8), dtype=U), get(8, 8).view(np.int64), get(16, 4).astype(np.int64)
+
+
+def _seeder(least: int, window: int, parts: int):
+    """Seeds by part, of each no more than its first and last owner in what a task has combined."""
+    def blobs(held):
+        seed, owner, place, first, last = _ends(*held)
+        keep = np.unique(np.concatenate([first, last]))
+        seed, owner, place = seed[keep], owner[keep], place[keep]
+        cut = np.searchsorted(part_of(seed, parts), np.arange(parts + 1))
+        full = [p for p in range(parts) if cut[p] < cut[p + 1]]
+        return pa.RecordBatch.from_arrays([pa.array(full, pa.int32()), pa.array([
+            _pack(*(x[cut[p]:cut[p + 1]] for x in (seed, owner, place))) for p in full], pa.binary())],
+            ["part", "blob"])
+
     def run(batches):
+        held, size = [], 0
         for batch in batches:
             ids = batch.column(0).to_numpy(zero_copy_only=False)
-            seeds, owners, places = [np.zeros(0, U)], [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
-            for i, h in zip(ids, Words(batch.column(1), lower=False).rows()):
-                at = selected(h, least, window)
-                seeds.append(_run_hashes(h, at, least - window + 1))
-                owners.append(np.full(len(at), i))
-                places.append(at)
-            yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(seeds).view(np.int64)), pa.array(np.concatenate(owners)),
-                pa.array(np.concatenate(places).astype(np.int32))], ["seed", "id", "pos"])
+            held.append(_seeds(Words(batch.column(1), lower=False), ids, least, window)[:3])
+            size += len(held[-1][0])
+            if size > FLUSH:
+                yield blobs([np.concatenate(x) for x in zip(*held)])
+                held, size = [], 0
+        if size:
+            yield blobs([np.concatenate(x) for x in zip(*held)])
     return run
 
 
-def _fetcher(least: int, window: int):
-    """Words around each live place, as 32-bit hashes: those before it, last first, and those after its run."""
+def _sharer(folder: str):
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        seed, owner, place, first, last = _ends(*(np.concatenate(x) for x in zip(
+            *(_unpack(b.as_py()) for b in table.column("blob")))))
+        two = owner[first] != owner[last]
+        first, last = first[two], last[two]
+        mapped.write(folder, f"shared-{part}", {
+            "seed": seed[first], "low": owner[first], "low_at": place[first],
+            "high": owner[last], "high_at": place[last]})
+        return pa.table({"part": pa.array([part], pa.int32()), "size": pa.array([len(first)], pa.int64())})
+    return run
+
+
+class _Shared:
+    """Seeds that more than one document holds, in parts that are mapped as needed."""
+
+    def __init__(self, folder: str, parts: int, full: frozenset[int], name: str = "shared",
+                 values: tuple[str, ...] = ("low", "low_at", "high", "high_at")):
+        self.folder, self.parts, self.full, self.name, self.values = folder, parts, full, name, values
+        self.files: dict[int, list[np.ndarray]] = {}
+
+    def look_up(self, seed: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Which seeds are held, and one row per value of them."""
+        order = np.argsort(seed)
+        want = seed[order]
+        hit, rows = np.zeros(len(seed), bool), np.zeros((len(self.values), len(seed)), np.int64)
+        cut = np.searchsorted(part_of(want, self.parts), np.arange(self.parts + 1))
+        for p in np.flatnonzero(np.diff(cut)).tolist():
+            if p not in self.full:
+                continue
+            if p not in self.files:
+                self.files[p] = [mapped.read(self.folder, f"{self.name}-{p}", k, U if k == "seed" else np.int64)
+                                 for k in ("seed", *self.values)]
+            keys, *values = self.files[p]
+            mine = order[cut[p]:cut[p + 1]]
+            at = np.minimum(np.searchsorted(keys, seed[mine]), len(keys) - 1)
+            hit[mine] = keys[at] == seed[mine]
+            for k, v in enumerate(values):
+                rows[k, mine] = v[at]
+        return hit, rows
+
+
+def _writer(folder: str):
+    """Seeds of suffixes that are sorted, as sorted arrays by part."""
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        mapped.write(folder, f"sorted-{part}", {"seed": np.sort(table.column("seed").to_numpy().view(U))})
+        return pa.table({"part": pa.array([part], pa.int32())})
+    return run
+
+
+def _fetcher(folder: str, parts: int, full: frozenset[int], least: int, window: int,
+             again: frozenset[int] | None = None):
+    """Spans that chains of suffixes prove, and the suffixes that must be sorted, with 32-bit hashes of the words
+    around them: those before, last first, and those after their run. ``again`` names the parts of the seeds that
+    are sorted, and asks for the suffixes that were left out before and share one of these."""
     run_length, side = least - window + 1, window - 1
 
     def run(batches):
+        shared = _Shared(folder, parts, full)
+        sorted_ = _Shared(folder, parts, again or frozenset(), "sorted", ())
         for batch in batches:
-            out = {k: [] for k in ("seed", "id", "pos", "low", "left", "right")}
+            ids = batch.column(0).to_numpy(zero_copy_only=False)
             words = Words(batch.column(1), lower=False)
-            for i, h, live in zip(batch.column(0).to_pylist(), words.rows(), batch.column(2).to_pylist()):
-                seed = np.array([x["seed"] for x in live], np.int64)
-                at = np.array([x["pos"] for x in live], np.int64)
-                ok = at + run_length <= len(h)
-                ok[ok] = _run_hashes(h, at[ok], run_length).view(np.int64) == seed[ok]
-                # Ends of a document match nothing: zeros on its left, ones on its right never meet a hash twice.
-                short = np.concatenate([np.zeros(side, np.uint32), (h >> U(33)).astype(np.uint32) + np.uint32(2),
-                                        np.ones(side, np.uint32)])
-                at, seed = at[ok], seed[ok]
-                before = short[at[:, None] + np.arange(side - 1, -1, -1)]
-                after = short[at[:, None] + np.arange(side) + side + run_length]
-                out["seed"].append(seed)
-                out["pos"].append(at)
-                out["id"].append(np.full(len(at), i))
-                out["low"].append(np.array([x["low"] for x in live], np.int64)[ok])
-                out["left"] += [x.tobytes() for x in before]
-                out["right"] += [x.tobytes() for x in after]
-            if not out["seed"]:
+            seed, owner, place, row = _seeds(words, ids, least, window)
+            hit, (low, low_at, high, high_at) = shared.look_up(seed)
+            live = np.flatnonzero(hit)
+            if not len(live):
                 continue
+            seed, owner, place, row, low = (x[live] for x in (seed, owner, place, row, low))
+            other = np.where(low != owner, low, high[live])
+            shift = np.where(low != owner, low_at[live], high_at[live]) - place
+            new = np.concatenate([[True], (row[1:] != row[:-1]) | (other[1:] != other[:-1])
+                                  | (shift[1:] != shift[:-1]) | (np.diff(place) > run_length)])
+            first = np.flatnonzero(new)
+            last = np.concatenate([first[1:], [len(new)]]) - 1
+            of = np.cumsum(new) - 1
+            long = place[last] + run_length - place[first] >= least
+            # Of a long chain, two suffixes at each end: one of them sees whatever goes on beyond it.
+            n = np.arange(len(of))
+            sort = ~long[of] | (n - first[of] < 2) | (last[of] - n < 2)
+            if again is not None:
+                sort = ~sort & sorted_.look_up(seed)[0]
+                long = np.zeros_like(long)
+            sort = np.flatnonzero(sort)
+            # Marks of a document's ends, which agree with nothing: 0 on its left, 1 on its right.
+            left, right = np.zeros((len(sort), side), np.uint32), np.ones((len(sort), side), np.uint32)
+            short = (words.hash >> U(33)).astype(np.uint32) + np.uint32(2)
+            begin, end = words.at[:-1][row[sort]], words.at[1:][row[sort]]
+            back = (begin + place[sort])[:, None] - 1 - np.arange(side)
+            on = (begin + place[sort] + run_length)[:, None] + np.arange(side)
+            inside = back >= begin[:, None]
+            left[inside] = short[back[inside]]
+            inside = on < end[:, None]
+            right[inside] = short[on[inside]]
+            k = np.flatnonzero(long)
+            lows = np.minimum.reduceat(low, first)[k]
+            none = pa.nulls
             yield pa.RecordBatch.from_arrays([
-                pa.array(np.concatenate(out["seed"])), pa.array(np.concatenate(out["id"])),
-                pa.array(np.concatenate(out["pos"]).astype(np.int32)), pa.array(np.concatenate(out["low"])),
-                pa.array(out["left"], pa.binary()), pa.array(out["right"], pa.binary())], list(out))
+                pa.concat_arrays([pa.array(seed[sort].view(np.int64)), none(len(k), pa.int64())]),
+                pa.array(np.concatenate([owner[sort], owner[first[k]]])),
+                pa.concat_arrays([pa.array(place[sort].astype(np.int32)), none(len(k), pa.int32())]),
+                pa.array(np.concatenate([low[sort], lows])),
+                pa.concat_arrays([pa.array([x.tobytes() for x in left], pa.binary()), none(len(k), pa.binary())]),
+                pa.concat_arrays([pa.array([x.tobytes() for x in right], pa.binary()), none(len(k), pa.binary())]),
+                pa.concat_arrays([none(len(sort), pa.int32()), pa.array(place[first[k]].astype(np.int32))]),
+                pa.concat_arrays([none(len(sort), pa.int32()), pa.array(
+                    (place[last[k]] + run_length).astype(np.int32))])],
+                ["seed", "id", "pos", "low", "left", "right", "start", "stop"])
     return run
 
 
@@ -181,19 +317,28 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
         raise ValueError("the window is too wide for passages that short")
     plain = docs.filter(F.col(key).isNotNull()).select(
         F.col(key).cast("bigint").alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    seeds = staged(plain.mapInArrow(_seeder(least, window), "seed bigint, id bigint, pos int"), "passages-seeds")
-    shared = staged(seeds.groupBy("seed").agg(F.min("id").alias("low"), F.max("id").alias("high"))
-                    .filter("low < high").select("seed", "low"), "passages-shared")
-    live = seeds.join(shared, "seed").groupBy("id").agg(
-        F.collect_set(F.struct("seed", "pos", "low")).alias("live"))
-    rows = staged(plain.join(live, "id").select("id", "text", "live").mapInArrow(
-        _fetcher(least, window), _ROW), "passages-rows")
+    spark = docs.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    folder = f"{staging_folder(spark)}/passages-{uuid.uuid4().hex}"
+    sizes = plain.mapInArrow(_seeder(least, window, parts), "part int, blob binary").groupBy("part").applyInArrow(
+        _sharer(folder), "part int, size bigint").collect()
+    full = frozenset(r["part"] for r in sizes if r["size"])
+    fetched = staged(plain.mapInArrow(_fetcher(folder, parts, full, least, window),
+                                      f"{_ROW}, start int, stop int"), "passages-rows")
+    proved = fetched.filter("start IS NOT NULL").select("id", "start", "stop", "low")
+    rows = fetched.filter("start IS NULL").drop("start", "stop")
+    part = F.expr(f"CAST(shiftrightunsigned(shiftrightunsigned(seed, 32) * {parts}, 32) AS int)")
+    wanted = rows.select("seed").distinct().select(part.alias("part"), "seed").groupBy("part").applyInArrow(
+        _writer(folder), "part int").collect()
+    rest = plain.mapInArrow(_fetcher(folder, parts, full, least, window, frozenset(r["part"] for r in wanted)),
+                            f"{_ROW}, start int, stop int").drop("start", "stop")
+    rows = rows.unionByName(staged(rest, "passages-rest"))
 
     after = _compared(rows, ["seed", "right", "left", "id", "pos"], least, window)
     short = staged(after.filter("short IS NOT NULL").select(F.col("short").alias("seed")).distinct(), "passages-short")
     before = _compared(staged(rows.join(short, "seed"), "passages-again"),
                        ["seed", "left", "right", "id", "pos"], least, window)
-    spans = after.unionByName(before).filter("id IS NOT NULL").select("id", "start", "stop", "low")
+    spans = after.unionByName(before).filter("id IS NOT NULL").select("id", "start", "stop", "low").unionByName(proved)
 
     upto = Window.partitionBy("id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     line = Window.partitionBy("id").orderBy("start", "stop")
