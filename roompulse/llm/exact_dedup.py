@@ -63,4 +63,5 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
     """
     gone = (exact_groups(docs, key, text).groupBy(F.col(key).alias("__gone"))
             .agg(F.max("kept").alias("__kept")).filter("NOT __kept").select("__gone"))
+    gone = staged(gone, "dedup-gone")
     return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")

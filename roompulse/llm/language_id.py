@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from roompulse.llm.columns import crc_fold
 from roompulse.llm.wordhash import U, mix
+from roompulse.session import staged
 
 ORDER = 5
 SAMPLE = 1500           # labelled rows per language that models are fitted on, as expected by their share
@@ -184,7 +185,8 @@ def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 def fitted(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Models:
     """Models from rows ``(key, lang, text)``. About ``sample`` rows per language, chosen by a hash of the key, are
     counted by Spark; their distinct n-grams, bounded by that sample, make the tables."""
-    sizes = labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("all"))
+    # Written out, so that Spark knows how small it is and need not move the texts for the join.
+    sizes = staged(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("all")), "language-sizes")
     grid = 1 << 20
     draw = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(grid))
     chosen = labelled.join(sizes, "lang").filter(draw < F.lit(sample * grid) / F.col("all"))
