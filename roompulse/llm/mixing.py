@@ -97,20 +97,19 @@ def tilts(counts: DataFrame, goals: DataFrame, limit: int = LIMIT, steps: int =
         sums = counts.alias("c").join(now.alias("g"), same).groupBy(
             "g.source", "target", "low", "high", "tilt", "done").agg(
             F.sum(words * rate).alias("took"),
-            F.sum(words * F.col("size") * free).alias("slope"))
+            F.sum(words * F.col("size") * free).alias("rise"))
         gap = F.col("took").cast("double") / ONE - F.col("target")
-        slope = F.col("slope").cast("double") / ONE
+        slope = F.col("rise").cast("double") / ONE
         low = F.when(gap < 0, F.col("tilt")).otherwise(F.col("low"))
         high = F.when(gap < 0, F.col("high")).otherwise(F.col("tilt"))
-        step = F.col("tilt") - F.when(slope > 0, gap / slope)
+        step = F.when(slope > 0, F.col("tilt") - gap / slope)
         near = F.abs(gap) <= F.greatest(F.lit(0.01), F.col("target") * 1e-9)
         stuck = (F.col("high") - F.col("low")) <= 1e-15
         # Where a Newton step would leave the bracket: its middle, but at most four times as far as now.
         middle = (F.greatest("low", F.least(F.col("tilt") * 4, F.lit(-1e-3)))
                   + F.least("high", F.greatest(F.col("tilt") * 4, F.lit(1e-3)))) / 2
         now = staged(
-            sums.withColumns({"gap": gap, "slope": slope})
-            .withColumns({"low": low, "high": high, "next": step})
+            sums.withColumn("next", step).withColumns({"low": low, "high": high})
             .withColumn("done", F.col("done") | near | stuck)
             .withColumn("tilt", F.when(F.col("done"), F.col("tilt")).when(
                 (F.col("next") > F.col("low")) & (F.col("next") < F.col("high")), F.col("next"))

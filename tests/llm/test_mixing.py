@@ -89,3 +89,12 @@ def test_repeated_rows_follow_the_copies(spark, edge_docs, no_docs):
     assert mixing.repeated(no_docs).count() == 0 and mixing.mixed(no_docs).count() == 0
     assert mixing.repeated(edge_docs).columns == edge_docs.columns
     assert mixing.repeated(edge_docs).filter("doc_id IS NULL").count() == 2
+
+
+def test_newton_needs_few_steps(spark, sf_dir, monkeypatch):
+    """Bisection would take some thirty steps to reach this precision."""
+    steps = []
+    real = mixing.staged
+    monkeypatch.setattr(mixing, "staged", lambda df, name: (steps.append(name), real(df, name))[1])
+    mixing.mixed(spark.read.parquet(f"{sf_dir}/documents.parquet"))
+    assert 3 < steps.count("mix-tilts") < 15
