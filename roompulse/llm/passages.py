@@ -5,9 +5,10 @@ every window of ``window`` such places. Two copies of a passage select the same
 at least ``least - window + 1`` of the passage's words to its right. Suffixes are first grouped by the hash of
 that many words; groups of more than one document are written out as sorted hash arrays, with the first and last document
 of each, and mapped into memory by a second scan. There, suffixes that follow each other at the same distance in the
-document and in its partner prove a long copy at once. What is left, the ends of long copies, and whatever shares a seed
-with these are fetched with some words on both sides, sorted across the cluster by what follows, compared with their neighbours, and extended to the
-right and left. Where that leaves a suffix short, its group is sorted by what stands before and compared once more.
+document and in its partner prove a long copy at once. What is left, what stands near the ends of long copies, and whatever
+shares a seed with these are fetched with some words on both sides, sorted across the cluster by what follows, compared with
+their neighbours, and extended to the right and left. Neighbours need not be the best partners, so every window of ``least``
+words around each suffix is then looked up among all the others that share its seed: no passage is missed.
 """
 
 from __future__ import annotations
@@ -193,9 +194,10 @@ def _fetcher(folder: str, parts: int, full: frozenset[int], least: int, window:
             last = np.concatenate([first[1:], [len(new)]]) - 1
             of = np.cumsum(new) - 1
             long = place[last] + run_length - place[first] >= least
-            # Of a long chain, two suffixes at each end: one of them sees whatever goes on beyond it.
-            n = np.arange(len(of))
-            sort = ~long[of] | (n - first[of] < 2) | (last[of] - n < 2)
+            # Of a long chain, all suffixes around which a passage may reach beyond it.
+            size = (words.at[1:] - words.at[:-1])[row]
+            sort = (~long[of] | (np.maximum(place - side, 0) < place[first][of])
+                    | (np.minimum(place + run_length + side, size) > place[last][of] + run_length))
             if again is not None:
                 sort = ~sort & sorted_.look_up(seed)[0]
                 long = np.zeros_like(long)
@@ -228,8 +230,7 @@ def _fetcher(folder: str, parts: int, full: frozenset[int], least: int, window:
 
 
 _ROW = "seed bigint, id bigint, pos int, low bigint, left binary, right binary"
-_FOUND = "id bigint, start int, stop int, low bigint, short bigint, edge struct<" + _ROW.replace(" ", ":").replace(
-    ",:", ",") + ">"
+_FOUND = "id bigint, start int, stop int, low bigint, window bigint, last bigint"
 
 
 def _words(column: pa.Array, side: int) -> np.ndarray:
@@ -242,11 +243,21 @@ def _agree(x: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.logical_and.accumulate(same, axis=1).sum(axis=1)
 
 
+def _runs_of(x: np.ndarray) -> np.ndarray:
+    """Hashes of the first 0, 1, 2, ... words of each row, one row per length; words of 0 and 1 are none."""
+    total = np.zeros((x.shape[1] + 1, len(x)), U)
+    with np.errstate(over="ignore"):
+        for k in range(x.shape[1]):
+            total[k + 1] = mix(total[k] * U(_BASE) + x[:, k])
+    return total
+
+
 def _comparer(least: int, window: int):
-    """Each row of a sorted part against the nearest rows of other documents before and after it.
+    """Each row of a sorted part against the nearest rows of other documents before and after it, and then each window
+    of ``least`` words around it against all others of the part.
 
-    Emits spans of at least ``least`` words, the seeds of rows that stay short, and the rows at the part's ends, which
-    have neighbours in other parts.
+    Emits spans of at least ``least`` words, and the windows that other parts may hold too: ``window`` is the hash, ``id``
+    and ``last`` are the smallest and the largest document with it. Where the part has only one, ``start`` is the place.
     """
     run_length, side = least - window + 1, window - 1
 
@@ -272,36 +283,67 @@ def _comparer(least: int, window: int):
             rows, a, b = rows[good], a[good], b[good]
             best[rows] = a + b
             start[rows], stop[rows] = pos[rows] - a, pos[rows] + run_length + b
-        full = best + run_length >= least
-        out = np.flatnonzero(full)
-        lone = np.unique(seed[~full])
-        edge = np.flatnonzero((of == of[0]) | (of == of[-1]))
-        none = pa.nulls
-        shape = pa.struct([("seed", pa.int64()), ("id", pa.int64()), ("pos", pa.int32()), ("low", pa.int64()),
-                           ("left", pa.binary()), ("right", pa.binary())])
-        edges = table.take(pa.array(edge)).to_struct_array().combine_chunks().cast(shape) if len(edge) else none(
-            0, shape)
+        short = best + run_length < least
+        start[short], stop[short] = np.iinfo(np.int64).max, -1
+
+        # Words that may follow in other parts too: rows are sorted by what follows, so what another part shares with a
+        # row, this part's first or last row shares as well.
+        beyond = np.full(n, -1)
+        for edge in (0, n - 1):
+            rows = np.flatnonzero(seed == seed[edge])
+            beyond[rows] = np.maximum(beyond[rows], _agree(right, rows, np.full(len(rows), edge)))
+        before, after = _runs_of(left), _runs_of(right)
+        has_left = np.logical_and.accumulate(left > 1, axis=1).sum(axis=1)
+        has_right = np.logical_and.accumulate(right > 1, axis=1).sum(axis=1)
+        out = []
+        for a in range(side + 1):
+            b = side - a
+            rows = np.flatnonzero((has_left >= a) & (has_right >= b))
+            if not len(rows):
+                continue
+            with np.errstate(over="ignore"):
+                key = mix(mix(mix(seed[rows].view(U) + U(a)) + before[a, rows]) * U(_BASE) + after[b, rows])
+            order = np.lexsort((ids[rows], key))
+            rows, key = rows[order], key[order]
+            head = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+            tail = np.concatenate([head[1:], [len(key)]]) - 1
+            two = ids[rows[head]] != ids[rows[tail]]
+            held = np.repeat(two, tail - head + 1)
+            mine = rows[held]
+            start[mine] = np.minimum(start[mine], pos[mine] - a)
+            stop[mine] = np.maximum(stop[mine], pos[mine] + run_length + b)
+            far = beyond[rows] >= b
+            lone = np.flatnonzero(far & ~held)
+            both = np.flatnonzero(two & far[head])
+            out.append((key[lone], ids[rows[lone]], ids[rows[lone]], pos[rows[lone]] - a, low[rows[lone]],
+                        np.ones(len(lone), bool)))
+            out.append((key[head[both]], ids[rows[head[both]]], ids[rows[tail[both]]], np.zeros(len(both), np.int64),
+                        low[rows[head[both]]], np.zeros(len(both), bool)))
+        spans = np.flatnonzero(stop >= 0)
+        none = pa.nulls(len(spans), pa.int64())
         yield pa.RecordBatch.from_arrays([
-            pa.concat_arrays([pa.array(ids[out]), none(len(lone) + len(edge), pa.int64())]),
-            pa.concat_arrays([pa.array(start[out].astype(np.int32)), none(len(lone) + len(edge), pa.int32())]),
-            pa.concat_arrays([pa.array(stop[out].astype(np.int32)), none(len(lone) + len(edge), pa.int32())]),
-            pa.concat_arrays([pa.array(low[out]), none(len(lone) + len(edge), pa.int64())]),
-            pa.concat_arrays([none(len(out), pa.int64()), pa.array(lone), none(len(edge), pa.int64())]),
-            pa.concat_arrays([none(len(out) + len(lone), shape), edges])],
-            ["id", "start", "stop", "low", "short", "edge"])
+            pa.array(ids[spans]), pa.array(start[spans].astype(np.int32)), pa.array(stop[spans].astype(np.int32)),
+            pa.array(low[spans]), none, none], _FOUND_NAMES)
+        for key, one, last, at, lows, lone in out:
+            yield pa.RecordBatch.from_arrays([
+                pa.array(one), pa.array(at.astype(np.int32), mask=~lone),
+                pa.array((at + least).astype(np.int32), mask=~lone), pa.array(lows), pa.array(key.view(np.int64)),
+                pa.array(last)], _FOUND_NAMES)
     return run
 
 
+_FOUND_NAMES = [x.split(" ")[0] for x in _FOUND.split(", ")]
+
+
 def _compared(rows: DataFrame, order: list[str], least: int, window: int) -> DataFrame:
-    """What ``_comparer`` finds in one sorted order, and between the parts of that order."""
+    """The spans that ``_comparer`` finds in the sorted order, and those whose windows are held by several of its parts."""
     parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    compare = _comparer(least, window)
-    found = staged(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(compare, _FOUND),
-                   "passages-compared")
-    # A few rows per part: where parts meet, neighbours are compared in one small sorted table.
-    seams = found.filter("edge IS NOT NULL").select("edge.*").coalesce(1).sortWithinPartitions(*order)
-    return found.filter("edge IS NULL").unionByName(
-        staged(seams.mapInArrow(compare, _FOUND), "passages-seams").filter("edge IS NULL AND id IS NOT NULL"))
+    found = staged(rows.repartitionByRange(parts, *order).sortWithinPartitions(*order).mapInArrow(
+        _comparer(least, window), _FOUND), "passages-compared")
+    windows = found.filter("window IS NOT NULL")
+    two = windows.groupBy("window").agg(F.min("id").alias("one"), F.max("last").alias("other")).filter("one < other")
+    across = windows.filter("start IS NOT NULL").join(two.select("window"), "window")
+    return found.filter("window IS NULL").unionByName(across).select("id", "start", "stop", "low")
 
 
 def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text", least: int = LEAST,
@@ -334,11 +376,7 @@ def repeated_passages(docs: DataFrame, key: str = "doc_id", text: str = "text",
                             f"{_ROW}, start int, stop int").drop("start", "stop")
     rows = rows.unionByName(staged(rest, "passages-rest"))
 
-    after = _compared(rows, ["seed", "right", "left", "id", "pos"], least, window)
-    short = staged(after.filter("short IS NOT NULL").select(F.col("short").alias("seed")).distinct(), "passages-short")
-    before = _compared(staged(rows.join(short, "seed"), "passages-again"),
-                       ["seed", "left", "right", "id", "pos"], least, window)
-    spans = after.unionByName(before).filter("id IS NOT NULL").select("id", "start", "stop", "low").unionByName(proved)
+    spans = _compared(rows, ["seed", "right", "left", "id", "pos"], least, window).unionByName(proved)
 
     upto = Window.partitionBy("id").orderBy("start", "stop").rowsBetween(Window.unboundedPreceding, -1)
     line = Window.partitionBy("id").orderBy("start", "stop")

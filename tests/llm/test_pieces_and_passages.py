@@ -91,6 +91,32 @@ def test_planted_passages(spark):
     assert not {3, 4, 6, 8, 9, 10} & {d for d, *_ in got}
 
 
+def test_shorter_pieces_hide_no_passage(spark):
+    """Pieces of 49 words, shifted, sort between the two documents that share a passage of 50 to 72 words."""
+    rng = random.Random(12)
+    pool = ["w%d" % i for i in range(20_000)]
+    new = lambda n: sentence(rng, n, pool)
+    docs = []
+    for n in [50] * 120 + [*range(51, 73)] * 2:
+        passage = new(n).split()
+        docs += [new(30) + " " + " ".join(passage) + " " + new(30) for _ in range(2)]
+        for at in rng.sample(range(-25, n - 24), 6):
+            piece = passage[max(at, 0):at + 49] if at >= 0 else passage[:49 + at]
+            docs.append(new(30) + " " + " ".join(piece) + " " + new(30))
+        # Two partners of 50 words, one on each side of the same place.
+        docs += [new(30) + " " + " ".join(passage[:49]) + " " + new(30), new(30) + " " + " ".join(passage[1:]) + " " + new(9)]
+    rows = [(i, t, None, None, 0) for i, t in enumerate(docs)]
+    df = spark.createDataFrame(rows, DOCS)
+    want = brute_runs([r[:2] for r in rows], 50)
+    assert spans(passages.repeated_passages(df)) == want and len(want) > 300
+    parts = spark.conf.get("spark.sql.shuffle.partitions")
+    try:  # so that seeds lie across parts
+        spark.conf.set("spark.sql.shuffle.partitions", "300")
+        assert spans(passages.repeated_passages(df.limit(300))) == brute_runs([r[:2] for r in rows[:300]], 50)
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", parts)
+
+
 def test_passage_edge_cases(edge_docs, no_docs):
     got = spans(passages.repeated_passages(edge_docs))
     assert got == {(6, 0, 120), (7, 0, 120), (8, 0, 120)}
