@@ -101,6 +101,38 @@ def test_learned_formats_find_what_no_pattern_names(spark):
     assert got[900] == "format:4:44" and got[901] == "format:3:33" and got[902] == ""
 
 
+def test_learned_formats_behind_names_in_urls_and_paths(spark):
+    rng = random.Random(10)
+    letters = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    new = lambda n: "".join(rng.choices(letters, k=n))
+    formats = secrets.Formats({}, [])
+    # Keys that their formats claim when they stand alone.
+    keys = [next(k for k in (prefix + new(n) for _ in range(100)) if formats.claims(k))
+            for prefix, n in (("ghp_", 36), ("AIza", 35), ("sk_live_", 24), ("npm_", 36))] + ["AKIA" + "Q7" * 8]
+    shapes = ["see GITHUB={} there", "get https://example.com/maps?key={}&x=1 now", "cat /srv/keys/{} | wc",
+              "NPM_AUTH={}", "at /path/{}/more/of.it it ends", "It was {}.", "a:{}", "x.{}-y", "{}/tail"]
+    rows, want = [], {}
+    for i, (shape, key) in enumerate((s, k) for s in shapes for k in keys[:4]):
+        rows.append((i, shape.format(key), None, None, 0))
+        want[i] = f"format:{shape.index('{}')}:{shape.index('{}') + len(key)}"
+    # Beside a base span in the same run.
+    rows.append((900, keys[4] + "/" + keys[0], None, None, 0))
+    want[900] = "access:0:20,format:21:61"
+    rows.append((901, "/usr/share/doc/package-1.2.3/examples/readme_v2.txt.gz and mail2.example.com", None, None, 0))
+    want[901] = ""
+    got = {r["doc_id"]: r["spans"] for r in secrets.found_secrets(spark.createDataFrame(
+        rows, "doc_id bigint, text string, lang string, source string, n_chars bigint")).collect()}
+    assert got == want
+
+
+def test_long_runs_with_many_separators_are_scanned_in_time():
+    formats = secrets.Formats({}, ["ordinary", "words"])
+    rng = random.Random(11)
+    blob = "".join(rng.choices("ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789/-_", k=50_000))
+    key = "ghp_" + "".join(rng.choices("abcXYZ0123456789", k=36))
+    assert (50_001, 50_041) in formats.spans(blob + "/" + key)
+
+
 def test_merging_generalises():
     rng = random.Random(4)
     seen = Automaton(["ID" + "".join(rng.choices("0123456789", k=8)) for _ in range(400)])
