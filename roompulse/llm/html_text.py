@@ -34,6 +34,9 @@ TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^
                  re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
+STATE = re.compile(r"(?:^|[_-])(?:has|with|without|no|not|hide|hides)[_-]|[_-](?:open|opened|closed|collapsed|enabled|disabled)$",
+                   re.I)    # a token that says what an element has or lacks, not what it is
+REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies)(?:$|[\s_-])", re.I)
 SPACES = re.compile(r"\s+")
 
 WINDOW = 3      # lines summed
@@ -41,7 +44,22 @@ SURGE = 80      # characters outside links in a window where an article without
 
 
 def _lines(page: str) -> list[tuple[str, int]]:
-    """``(text, weight)`` of each block in page order; weight 0 is never the article."""
+    """``(text, weight)`` of each block in page order; weight 0 is never the article.
+
+    A class, id or role marks no noise where its element holds most of the page's text outside links and the page names
+    no article: such a name belongs to the layout. Readers' replies may be longer than the article and stay marked.
+    """
+    layout: set[int] = set()
+    while True:
+        lines, wrong = _weighted(page, layout)
+        if wrong is None:
+            return lines
+        layout.add(wrong)
+
+
+def _weighted(page: str, layout: set[int]) -> tuple[list[tuple[str, int]], int | None]:
+    """The lines, and where an element begins that is marked as noise but holds most of the text; ``layout`` are
+    places of elements whose marks do not count."""
     lines: list[tuple[str, int]] = []
     parts: list[str] = []
     linked = 0
@@ -50,12 +68,21 @@ def _lines(page: str) -> list[tuple[str, int]]:
     heads: list[str] = []       # open header elements inside the article
     in_link = False
     heading = False
+    total = 0                   # characters outside links
+    named = False               # whether an article or main element holds text
+    marked_at = None            # where the outermost element on ``skip`` begins, if only a name marks it
+    held: dict[int, int] = {}   # characters outside links in each of these
 
     def flush() -> None:
-        nonlocal linked
+        nonlocal linked, total, named
         if parts:
             text = SPACES.sub(" ", html.unescape("".join(parts))).strip()
             if text:
+                plain = max(0, len(text) - linked)
+                total += plain
+                if skip and marked_at is not None:
+                    held[marked_at] = held.get(marked_at, 0) + plain
+                named = named or bool(article and not skip and plain)
                 if skip or (heads and not heading):
                     weight = 0
                 elif article:
@@ -93,7 +120,9 @@ def _lines(page: str) -> list[tuple[str, int]]:
         if name == "br":
             parts.append(" ")
         if name not in BLOCKS and name not in OUTSIDE:
-            if not closing and not skip and name not in VOID and _marked(m[3]):
+            if not closing and not skip and name not in VOID and _marked(m[3], m.start() in layout):
+                flush()
+                marked_at = m.start() if _named(m[3]) else None
                 skip.append(name)
             elif closing and skip and name in skip:
                 flush()
@@ -118,27 +147,41 @@ def _lines(page: str) -> list[tuple[str, int]]:
             continue
         if skip and skip[-1] in SOFT and (name == skip[-1] or skip[-1] == "p"):
             skip.pop()
-        if name in ("article", "main") and not _marked(m[3]):
+        mark = _marked(m[3], m.start() in layout)
+        if name in ("article", "main") and not mark:
             skip.clear()
             article += 1
         elif skip:
             if name in skip and name not in VOID:
                 skip.append(name)
-        elif name in OUTSIDE or (name == "header" and not article) or _marked(m[3]):
+        elif name in OUTSIDE or (name == "header" and not article) or mark:
             if name not in VOID and name not in ("html", "body"):
+                by_name = name not in OUTSIDE and name != "header" and _named(m[3])
+                marked_at = m.start() if by_name else None
                 skip.append(name)
         elif name == "header":
             heads.append(name)
     parts.append(page[at:])
     flush()
-    return lines
+    most = max(held, key=held.get, default=None)
+    return lines, most if most is not None and not named and 2 * held[most] > total else None
 
 
-def _marked(attributes: str) -> bool:
+def _noise_names(attributes: str) -> list[str]:
+    """The tokens of class, id and role that name noise."""
+    return [x for a, b, c in NAMED.findall(attributes) for x in (a or b or c).split()
+            if MARKS.search(x) and not STATE.search(x)]
+
+
+def _marked(attributes: str, layout: bool = False) -> bool:
     if not attributes:
         return False
-    return (HIDDEN.search(attributes) is not None
-            or any(MARKS.search(a or b or c) for a, b, c in NAMED.findall(attributes)))
+    return HIDDEN.search(attributes) is not None or (not layout and bool(_noise_names(attributes)))
+
+
+def _named(attributes: str) -> bool:
+    """Whether only names mark an element, and none of them names readers' replies."""
+    return HIDDEN.search(attributes) is None and not any(REPLIES.search(x) for x in _noise_names(attributes))
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:

@@ -29,6 +29,21 @@ def test_pages_without_an_article_element():
     assert main_text(page) == f"{long}\n\nShort.\n\n{long} & more so"
 
 
+def test_layout_names_do_not_hide_the_page():
+    long = "This sentence is part of the story and goes on for quite a while, as sentences in stories do."
+    noise = f'<div class="cookie-notice">{long[:60]}</div><ul class="main-nav"><li><a href=1>Home</a></ul>'
+    for name in ("content with-sidebar", "no-sidebar", "has-banner", "menu-open", "page no-comments", "page--with-sidebar",
+                 "sidebar", "page-banner content", "content_has-menu", "page-header wrap"):
+        for tag in ("div", "section", "span"):
+            page = f'<body>{noise}<{tag} class="{name}"><p>{long}</p><p>{long} Yes.</p></{tag}></body>'
+            assert main_text(page) == f"{long}\n\n{long} Yes.", (name, tag)
+    # Within a layout element, noise is still noise; so are replies longer than the story, and anything beside an article.
+    assert main_text(f'<div class="menu wrap"><p>{long}</p><p>{long} Yes.</p><div class="sidebar">{long}</div></div>') == (
+        f"{long}\n\n{long} Yes.")
+    assert main_text(f'<div><p>{long}</p></div><div class="comments"><p>{long}</p><p>{long}</p></div>') == long
+    assert main_text(f'<article><p>{long}</p></article><div class="related"><p>{long}</p><p>{long}</p></div>') == long
+
+
 def test_noise_inside_articles_and_broken_markup():
     page = """<article><header><h1>Title</h1><p>By someone</p></header><p>One <b>two</b>
     three<p>Four<div class="ad">Buy</div><aside>Also</aside><script>if (a < b) x("</p>")</script>
