@@ -5,6 +5,8 @@ Only DataFrame functions; every row is judged by itself, so nothing is shuffled.
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -20,9 +22,21 @@ SHOUTING = r"([!?]{2,}[^!?]*){3}"
 MARKED = r"([#*$%&|<>]{3,}[^#*$%&|<>]*){3}"
 LAST = r"[.!?…:;,)\"'”»]$"
 
+# The same rules for text whose paragraphs are not broken into lines: what they find must be a good part of the line.
+PHRASES = (r"(?<![\p{L}\p{N}_])(all rights reserved|copyright|\(c\) [12][0-9]{3}|terms of (use|service)|privacy policy|"
+           r"cookies?|javascript|licensed under|public license|subscribe|sign up|log ?in|click here|read more|"
+           r"back to top|share this)(?![\p{L}\p{N}_])")
+SEPARATOR = r" [|»›·] "
+SHOUT = r"[!?]{2,}"
+SYMBOLS = r"[#*$%&|<>]{3,}"
+SENTENCE_END = r"""[.!?…:;][)"\'”’»\]]*(?=[ \t-\r]|$)|[。！？；．।॥؟؛۔։።፧၊။៕᠃]"""
+
 MIN_WORDS = 50          # of a document
 MAX_REPEATED = 50       # per cent of words in repeated three-word windows
 UNENDED_WORDS = 12      # a line of so many words must end with punctuation
+SHORT_WORDS = 20        # a shorter line fails by one phrase
+PHRASE_SHARE = 20       # per cent of a longer line's characters that phrases must fill
+HIT_WORDS = 10          # three separators, shouts or groups of symbols count if there is one in so many words
 MIN_LEFT = 50           # per cent of the characters in words that clean lines must hold
 
 
@@ -61,13 +75,28 @@ def failing_line(line: Column) -> Column:
             | ((F.regexp_count(low, F.lit(WORD)) >= UNENDED_WORDS) & ~low.rlike(LAST)))
 
 
-def clean_lines(text: Column) -> Column:
+def failing_share(line: Column) -> Column:
+    """Whether what breaks a rule is a good part of the line, so that a whole text on one line does not fail by one hit."""
+    low = F.lower(F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", ""))
+    n = F.regexp_count(low, F.lit(WORD))
+
+    def dense(pattern: str) -> Column:
+        hits = F.regexp_count(low, F.lit(pattern))
+        return (hits >= 3) & (hits * HIT_WORDS >= n)
+    filled = F.length(low) - F.length(F.regexp_replace(low, PHRASES, ""))
+    return ((low.rlike(PHRASES) & ((n < SHORT_WORDS) | (filled * 100 >= F.length(low) * PHRASE_SHARE)))
+            | dense(SEPARATOR) | dense(SHOUT) | dense(SYMBOLS)
+            | ((n >= UNENDED_WORDS) & ~low.rlike(LAST) & ~low.rlike(SENTENCE_END)))
+
+
+def clean_lines(text: Column, failing: Callable[[Column], Column] = failing_line) -> Column:
     """The text without the lines that break a rule; null stays null."""
-    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~failing_line(x)), "\n")
+    return F.array_join(F.filter(F.split(text, "\n"), lambda x: ~failing(x)), "\n")
 
 
 def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
-           max_repeated: int = MAX_REPEATED, min_left: int = MIN_LEFT) -> DataFrame:
+           max_repeated: int = MAX_REPEATED, min_left: int = MIN_LEFT,
+           failing: Callable[[Column], Column] = failing_line) -> DataFrame:
     """``docs`` with its columns in a struct ``doc`` and the verdict beside it, row by row.
 
     Columns: ``doc, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, clean_chars,
@@ -86,7 +115,7 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
         "doc", F.col("w.n_words").alias("n_words"), _chars(F.col("body")).alias("word_chars"),
         F.length(F.regexp_replace("body", r"[^#*$%&|<>]+", "")).cast("bigint").alias("n_symbols"),
         "n_dup_lines", F.col("w.n_repeat_words").alias("n_repeat_words"),
-        _chars(clean_lines(F.col("body"))).alias("clean_chars"))
+        _chars(clean_lines(F.col("body"), failing)).alias("clean_chars"))
     failed = ((F.col("n_words") < min_words)
               | (F.col("n_repeat_words") * 100 > F.col("n_words") * max_repeated))
     return rows.select("*", failed.alias("base_failed")).select("*", (
@@ -95,5 +124,6 @@ def judged(docs: DataFrame, text: str = "text", min_words: int = MIN_WORDS,
 
 
 def good_documents(docs: DataFrame, text: str = "text") -> DataFrame:
-    """``docs`` with all its columns, without the documents that ``judged`` rejects."""
-    return judged(docs, text).filter("kept").select("doc.*")
+    """``docs`` with all its columns, without the documents that ``judged`` rejects when it judges lines by the share of
+    them that breaks a rule."""
+    return judged(docs, text, failing=failing_share).filter("kept").select("doc.*")

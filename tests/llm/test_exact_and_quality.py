@@ -73,6 +73,25 @@ def test_documents_that_lose_too_much_go_and_clean_ones_stay(spark):
     assert kept.columns == docs.columns and sorted(r[0] for r in kept.collect()) == [1, 3]
 
 
+def test_clean_articles_on_one_line_stay(spark):
+    rng = random.Random(2)
+    words = ["w%d" % i for i in range(900)]
+    prose = lambda n: " ".join(sentence(rng, 12, words).capitalize() + "." for _ in range(n))
+    phrases = ["all rights reserved", "copyright", "(c) 2019", "terms of use", "terms of service", "privacy policy", "cookie",
+               "cookies", "JavaScript", "licensed under", "public license", "subscribe", "sign up", "log in", "login",
+               "click here", "read more", "back to top", "share this", "blog in", "catalog in", "a | b | c | d", "No!! No!! No!!",
+               "### *** %%%"]
+    good = [f"{prose(20)} We saw {p} there. {prose(20)}" for p in phrases]
+    good += [prose(20) + " and so it goes on without an end", prose(20) + " " + sentence(rng, 30, words),
+             " ".join(sentence(rng, 12, words) + "।" for _ in range(9)), sentence(rng, 60, words) + "؟"]
+    bad = ["Log in. Sign up. Privacy policy. Terms of use. Cookies. Read more. " * 2 + sentence(rng, 40, words) + ". "
+           + "Subscribe. Click here. Back to top. Share this. All rights reserved. " * 6, sentence(rng, 80, words),
+           " | ".join(sentence(rng, 2, words) for _ in range(40)) + ".", "\n".join(
+               f"{sentence(rng, 6, words)} privacy policy." for _ in range(12))]
+    df = spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(good + bad)], DOCS)
+    assert sorted(r[0] for r in quality.good_documents(df).collect()) == list(range(len(good)))
+
+
 def test_no_python_in_native_plans(spark, sf_dir):
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for df in (quality.judged(docs), exact_dedup.exact_groups(docs)):
