@@ -117,6 +117,17 @@ def test_shorter_pieces_hide_no_passage(spark):
         spark.conf.set("spark.sql.shuffle.partitions", parts)
 
 
+def test_a_passage_repeated_thousands_of_times_is_gathered_nowhere(spark, monkeypatch):
+    rng = random.Random(13)
+    pool = ["w%d" % i for i in range(5000)]
+    passage = sentence(rng, 60, pool)
+    rows = [(0, " ".join([passage] * 2000), None, None, 0), (1, sentence(rng, 30, pool) + " " + passage, None, None, 0),
+            (2, passage + " " + sentence(rng, 30, pool), None, None, 0), (3, sentence(rng, 300, pool), None, None, 0)]
+    df = spark.createDataFrame(rows, DOCS)
+    monkeypatch.setattr(type(df), "coalesce", None)     # no step brings what lies between parts to one task
+    assert spans(passages.repeated_passages(df)) == brute_runs([r[:2] for r in rows], 50)
+
+
 def test_passage_edge_cases(edge_docs, no_docs):
     got = spans(passages.repeated_passages(edge_docs))
     assert got == {(6, 0, 120), (7, 0, 120), (8, 0, 120)}
