@@ -21,6 +21,7 @@ from roompulse.session import staged
 ORDER = 5
 SAMPLE = 1500           # labelled rows per language that models are fitted on, as expected by their share
 CHECKED = 5             # of the sampled rows, one in so many sets the thresholds and fits no model
+FEW = 50                # a language with fewer sampled rows is fitted on all of them and has no threshold
 QUANTILE = 0.995        # share of unseen labelled rows that a threshold accepts
 PIECE = 1 << 19         # characters scored at a time
 PAD = 1                 # stands before a text's first character
@@ -184,13 +185,15 @@ def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 def fitted(labelled: DataFrame, sample: int = SAMPLE, order: int = ORDER) -> Models:
     """Models from rows ``(key, lang, text)``. About ``sample`` rows per language, chosen by a hash of the key, are
-    counted by Spark; their distinct n-grams, bounded by that sample, make the tables."""
+    counted by Spark; their distinct n-grams, bounded by that sample, make the tables. Languages with fewer than ``FEW``
+    of these rows are fitted on all of them."""
     # Written out, so that Spark knows how small it is and need not move the texts for the join.
     sizes = staged(labelled.groupBy("lang").agg(F.count(F.lit(1)).alias("all")), "language-sizes")
     grid = 1 << 20
     draw = F.pmod(F.xxhash64("key", F.lit(3)), F.lit(grid))
     chosen = labelled.join(sizes, "lang").filter(draw < F.lit(sample * grid) / F.col("all"))
-    check = F.pmod(F.xxhash64("key", F.lit(5)), F.lit(CHECKED)) == 0
+    many = F.least(F.col("all"), F.lit(sample)) >= FEW
+    check = many & (F.pmod(F.xxhash64("key", F.lit(5)), F.lit(CHECKED)) == 0)
     fit = chosen.filter(~check).select("lang", "text")
     rows = fit.mapInArrow(_count(order), "lang string, gram string, n bigint").groupBy("lang", "gram").agg(
         F.sum("n").alias("n")).toArrow()

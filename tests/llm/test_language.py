@@ -100,3 +100,11 @@ def test_strange_language_is_rejected(spark, sf_dir):
     odd = spark.createDataFrame([(10**6 + i, "zq xk vvv qqz kx " * 40, None, None, 0) for i in range(5)], DOCS)
     got = language_id.identified(docs.unionByName(odd)).filter("doc_id >= 1000000").collect()
     assert len(got) == 5 and all(r["rejected"] for r in got)
+
+
+def test_languages_with_few_labelled_rows_are_learned(spark):
+    """Whatever the keys, a language with one or two rows has a model."""
+    rows = [(key, f"z{key:02}", "qwxjq vzkx qqzw xkjv") for key in range(60)]
+    rows += [(100 + key, f"y{key // 2:02}", "kivumbi zanula petrok") for key in range(60)]
+    labelled = spark.createDataFrame(rows, "key bigint, lang string, text string")
+    assert language_id.fitted(labelled).langs == sorted({r[1] for r in rows})
