@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from roompulse.llm import (
     exact_dedup,
     html_text,
+    infill,
     language_id,
     language_model,
     minhash,
@@ -102,3 +103,11 @@ def op9_sentencepiece(spark, sf_dir):
 @query
 def op10_suffix_array_dedup(spark, sf_dir):
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_fill_in_middle(spark, sf_dir):
+    cut = infill.transformed(table(spark, sf_dir, "documents"))
+    return cut.select(
+        "doc_id", "n", "form", "prefix_chars", "middle_chars", F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+        F.sha2(infill.restored(F.col("output"), F.col("form")).cast("binary"), 256).alias("restored_sha256"))

@@ -6,6 +6,7 @@ import __spark_entry__
 import corpus_pipeline
 from roompulse.llm import mixing
 from roompulse.llm.queries import PIECE_MODEL
+from roompulse.llm.sql import SQL
 from roompulse.session import staged
 from tests.llm.test_exact_and_quality import brute_quality
 from tests.llm.test_near_duplicates import brute
@@ -59,12 +60,12 @@ def test_pieces_of_the_result(stages):
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
-    for n in range(1, 11):
+    for n in range(1, 14):
         assert sum(x.startswith(f"op{n}_") for x in names) == 1
     assert {"op2_minhash_dedup", "op4_exact_dedup", "op6_quality_rules"} <= set(__spark_entry__.oracle_sql())
 
 
-@pytest.mark.parametrize("name", ["op2_minhash_dedup", "op4_exact_dedup", "op6_quality_rules"])
+@pytest.mark.parametrize("name", sorted(SQL))
 def test_query_equals_sql(name, spark, duck, sf_dir):
     df = __spark_entry__.queries()[name](spark, sf_dir)
     cur = duck.execute(__spark_entry__.oracle_sql()[name])
