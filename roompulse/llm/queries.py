@@ -15,6 +15,7 @@ from roompulse.llm import (
     infill,
     language_id,
     language_model,
+    lexical,
     minhash,
     mixing,
     passages,
@@ -105,6 +106,11 @@ def op10_suffix_array_dedup(spark, sf_dir):
     return passages.repeated_passages(table(spark, sf_dir, "documents"))
 
 
+@query
+def op11_ranked_search(spark, sf_dir):
+    return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     cut = infill.transformed(table(spark, sf_dir, "documents"))
