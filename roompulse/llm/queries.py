@@ -22,6 +22,7 @@ from roompulse.llm import (
     pieces,
     quality,
     secrets,
+    warc,
 )
 from roompulse.llm.sql import SQL
 from roompulse.session import tune
@@ -111,6 +112,13 @@ def op11_ranked_search(spark, sf_dir):
     return lexical.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+@query
+def op12_warc(spark, sf_dir):
+    pages = table(spark, sf_dir, "pages")
+    return warc.read_back(warc.archived(pages), pages).select(
+        F.col("id").alias("page_id"), "payload_bytes", "payload_digest", "record_type", "refers_to")
+
+
 @query
 def op13_fill_in_middle(spark, sf_dir):
     cut = infill.transformed(table(spark, sf_dir, "documents"))
