@@ -20,6 +20,7 @@ BOILERPLATE = (r"(all rights reserved|copyright|\(c\) [12][0-9]{3}|terms of (use
 NAVIGATION = r"( [|»›·] [^|»›·]*){3}"
 SHOUTING = r"([!?]{2,}[^!?]*){3}"
 MARKED = r"([#*$%&|<>]{3,}[^#*$%&|<>]*){3}"
+BLANKS = " \t\n\x0b\x0c\r"
 LAST = r"[.!?…:;,)\"'”»]$"
 
 # The same rules for text whose paragraphs are not broken into lines: what they find must be a good part of the line.
@@ -70,14 +71,14 @@ def _chars(text: Column) -> Column:
 
 def failing_line(line: Column) -> Column:
     """Whether a line breaks a rule; lines without a word never do."""
-    low = F.lower(F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", ""))
+    low = F.lower(F.trim(line, F.lit(BLANKS)))
     return (low.rlike(BOILERPLATE) | low.rlike(NAVIGATION) | low.rlike(SHOUTING) | low.rlike(MARKED)
             | ((F.regexp_count(low, F.lit(WORD)) >= UNENDED_WORDS) & ~low.rlike(LAST)))
 
 
 def failing_share(line: Column) -> Column:
     """Whether what breaks a rule is a good part of the line, so that a whole text on one line does not fail by one hit."""
-    low = F.lower(F.regexp_replace(line, r"^[ \t-\r]+|[ \t-\r]+$", ""))
+    low = F.lower(F.trim(line, F.lit(BLANKS)))
     n = F.regexp_count(low, F.lit(WORD))
 
     def dense(pattern: str) -> Column:

@@ -1,6 +1,9 @@
 import hashlib
 import random
 
+import pytest
+from pyspark.sql import functions as F
+
 from roompulse.llm import exact_dedup, quality
 from tests.llm.conftest import DOCS, sentence, table
 
@@ -104,3 +107,16 @@ def test_digest_is_of_the_text(spark, sf_dir):
     texts = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{sf_dir}/documents.parquet").collect()}
     for r in QUERIES["op4_exact_dedup"](spark, sf_dir).limit(50).collect():
         assert r["text_sha256"] == hashlib.sha256(texts[r["doc_id"]].encode()).hexdigest()
+
+
+@pytest.mark.parametrize("filler", [" ", "\t", "\r", "!", "?", "#", "|", ". ", "| ", ".)", "a", "cookie"])
+def test_lines_of_a_megabyte_take_seconds(spark, filler):
+    """Patterns are linear in a line, whatever it is full of."""
+    import time
+    docs = spark.range(1).select(F.col("id").alias("doc_id"), F.concat(
+        F.lit("a"), F.repeat(F.lit(filler), 1_000_000 // len(filler)), F.lit("b")).alias("text"))
+    for failing in (quality.failing_line, quality.failing_share):
+        start = time.perf_counter()
+        assert quality.judged(docs, failing=failing).count() == 1
+        quality.judged(docs, failing=failing).write.format("noop").mode("overwrite").save()
+        assert time.perf_counter() - start < 10
