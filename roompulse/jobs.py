@@ -26,7 +26,7 @@ from roompulse.sinks.tables import BatchFn, batch_table
 from roompulse.sources import kafka
 from roompulse.sources.files import read_lines
 from roompulse.streaming import metrics
-from roompulse.streaming.orders import DELAY_MS, SIZE_MS, enrich_orders
+from roompulse.streaming.orders import lookup_batches, order_details_stream
 
 
 @dataclass
@@ -49,6 +49,9 @@ class Inputs:
     def events_with_id(self) -> DataFrame:
         return etl.clean_events(self.raw()).clean
 
+    def changes(self, topic: str, layout: dict[str, str]) -> DataFrame:
+        return parse_changes(self.raw(self.config.require(topic)), layout).clean
+
     def folder(self, name: str) -> str:
         if name not in self.folders:
             raise ValueError(f"folder '{name}' is missing")
@@ -85,6 +88,8 @@ JOBS: dict[str, Job] = {
     "hot-products": (lambda i: metrics.product_counts_stream(i.events()), "append"),
     "group-purchases": (lambda i: groupon.groupon_enriched(
         i.lines("groupon_detail"), i.lines("groupon_main"), i.lines("orders"), delay_ms=0), "append"),
+    "order-details": (lambda i: order_details_stream(i.changes("detail_topic", S.ORDER_DETAIL),
+                                                     i.changes("main_topic", S.ORDER_MAIN)), "append"),
 }
 
 
@@ -95,6 +100,8 @@ STEPS: dict[str, Callable[[Inputs, BatchFn], BatchFn]] = {
     "hot-products": lambda i, sink: metrics.ranked_batches(sink),
     "gifts": lambda i, sink: metrics.gift_total_batches(
         lambda: gifts.gift_dimension(i.lines("gifts", streaming=False)), i.checkpoint("gift-totals"), sink),
+    "order-details": lambda i, sink: lookup_batches(
+        lambda: i.spark.read.parquet(i.folder("order_table")), sink),
 }
 
 
@@ -130,28 +137,12 @@ def start(job: str, inputs: Inputs, sink: BatchFn | None = None, **trigger) -> S
             .option("checkpointLocation", checkpoint).trigger(**trigger).start())
 
 
-def order_details(inputs: Inputs, size_ms: int = SIZE_MS, delay_ms: int = DELAY_MS,
-                  seconds: int | None = None) -> None:
-    """One round of the order job: read both change-logs, enrich, write under ``results``."""
-    tune(inputs.spark, streaming=True)
-    config = inputs.config
-    detail = parse_changes(inputs.raw(config.require("detail_topic")), S.ORDER_DETAIL).clean
-    main = parse_changes(inputs.raw(config.require("main_topic")), S.ORDER_MAIN).clean
-    enrich_orders(
-        detail, main, lambda: inputs.spark.read.parquet(inputs.folder("order_table")),
-        lambda kind: batch_table(f"{inputs.folder('results')}/{kind}"),
-        inputs.checkpoint("order-details"), size_ms, delay_ms, seconds)
-
-
 def main(arguments: list[str]) -> None:
     job, properties, *folders = arguments
     spark = SparkSession.builder.appName(job).getOrCreate()
     inputs = Inputs(spark, JobConfig.from_properties(properties),
                     dict(f.split("=", 1) for f in folders))
-    if job == "order-details":
-        order_details(inputs)
-    else:
-        start(job, inputs).awaitTermination()
+    start(job, inputs).awaitTermination()
 
 
 if __name__ == "__main__":

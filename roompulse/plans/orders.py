@@ -50,6 +50,18 @@ def fill_main(rows: DataFrame, orders: DataFrame) -> DataFrame:
             .withColumns({**filled, "found_by": by}).drop(*["_" + c for c in columns]))
 
 
+def fill_missed(rows: DataFrame, orders: DataFrame) -> DataFrame:
+    """:func:`fill_main` for a held micro-batch: only rows that met no order take part in the lookup.
+
+    The range of their ids is pushed into the scan of ``orders``; where that table is large Spark adds a Bloom filter of its own.
+    """
+    missed = F.col("main_oid").isNull()
+    met = rows.filter(~missed).withColumn("found_by", F.lit("window"))
+    low, high = rows.filter(missed).agg(F.min("order_id"), F.max("order_id")).first()
+    near = orders.filter(F.lit(False)) if low is None else orders.filter(F.col("oid").between(low, high))
+    return met.unionByName(fill_main(rows.filter(missed), near))
+
+
 def order_late_split(detail: DataFrame, size_ms: int = SIZE_MS, delay_ms: int = DELAY_MS,
                      batch: str = "ingest_batch") -> DataFrame:
     rows = detail.withColumn("update_time", F.unix_millis(F.col("update_time").cast("timestamp")))

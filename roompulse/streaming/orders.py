@@ -1,107 +1,139 @@
-"""Order details on a stream: on-time rows join in their window, late rows are looked up.
+"""Order details on a stream: on-time rows join in their window, late and missed rows are looked up, in one query.
 
-The split and the join must not judge lateness separately: their watermarks differ by a micro-batch
-and a row could come out twice or not at all. So the split comes first and writes both kinds to a
-staging folder; only on-time rows reach the join, whose watermark never runs ahead of the split's.
+Built-in stream joins drop rows behind the watermark without a trace. Here one stateful operator takes details and
+orders together, reads the watermark itself and routes: a late detail leaves at once without an order, any
+other waits for its window to close and leaves with the orders of that window. Each detail comes out once, in one table.
 """
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Row
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import DataStreamWriter
-from pyspark.sql.types import StructType
+from pyspark.sql import types as T
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from roompulse.functions.columns import epoch_ms
-from roompulse.operators.late import is_late
-from roompulse.plans.orders import DELAY_MS, SIZE_MS, fill_main, order_window_join, pad_main
-from roompulse.sinks.tables import BatchFn, write_batch
+from roompulse.functions.columns import epoch_ms, floor_to
+from roompulse.operators.windows import with_event_time
+from roompulse.plans.orders import DELAY_MS, SIZE_MS, fill_missed
+from roompulse.sinks.tables import BatchFn
 
+PREFIX = "main_"
+# Tasks that may share the details of one order and window; each of them holds that window's orders.
+SALTS = 8
+# Orders of one window that are held in memory while its details pass by.
+CHUNK = 1024
 
-def late_split_batches(folder: str, time: str = "update_time", size_ms: int = SIZE_MS,
-                       delay_ms: int = DELAY_MS) -> BatchFn:
-    """``foreachBatch`` function that stages rows under ``late=true`` and ``late=false``.
 
-    Each batch leaves one row with the newest time seen so far; the next batch's watermark is made
-    of it. Running a batch again gives the same split, for it reads the mark of the batch before.
-    """
-    def split(batch: DataFrame, batch_id: int) -> None:
-        spark = batch.sparkSession
-        newest = None
-        if batch_id > 0:
-            newest = spark.read.parquet(f"{folder}/marks/batch_id={batch_id - 1}").first()["newest"]
-        watermark = F.lit(None if newest is None else newest - delay_ms - 1).cast("bigint")
-        rows = batch.withColumn("_ms", epoch_ms(time)).persist()
-        try:
-            (rows.withColumn("late", is_late("_ms", size_ms, watermark)).drop("_ms")
-             .write.mode("overwrite").partitionBy("late")
-             .parquet(f"{folder}/rows/batch_id={batch_id}"))
-            mark = rows.agg(F.greatest(F.max("_ms"), F.lit(newest).cast("bigint")).alias("newest"))
-            write_batch(mark, batch_id, f"{folder}/marks")
-        finally:
-            rows.unpersist()
-    return split
-
-
-def staged_rows(spark: SparkSession, folder: str, schema: StructType, late: bool,
-                streaming: bool = True) -> DataFrame:
-    """One kind of the staged rows. Read the on-time kind without a file limit per trigger."""
-    path = f"{folder}/rows/batch_id=*/late={str(late).lower()}"
-    return (spark.readStream if streaming else spark.read).schema(schema).parquet(path)
-
-
-def on_time_join(spark: SparkSession, folder: str, schema: StructType, main: DataFrame,
-                 size_ms: int = SIZE_MS, delay_ms: int = DELAY_MS) -> DataFrame:
-    """Staged on-time details left join order main, in windows. Append mode."""
-    detail = staged_rows(spark, folder, schema, late=False)
-    return order_window_join(detail, main, size_ms, delay_ms).drop("window")
+class WindowRouter(StatefulProcessor):
+    """Left join of details and orders of one (order, window), with late details passed on unjoined.
 
+    ``detail`` and ``main`` are the schemas of the two sides. Rows wait in list states and are never gathered; a window
+    closes when the watermark has reached its end.
+    """
 
-def padded_late(spark: SparkSession, folder: str, schema: StructType, like: DataFrame) -> DataFrame:
-    """Staged late details with null order columns, shaped ``like`` the join's result."""
-    rows = staged_rows(spark, folder, schema, late=True).withColumn(
-        "update_time", epoch_ms("update_time"))
-    return pad_main(rows, like).select(like.columns)
+    def __init__(self, detail: T.StructType, main: T.StructType, size_ms: int):
+        self.detail, self.main, self.size_ms = detail, main, size_ms
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.details = handle.getListState("details", self.detail)
+        self.mains = handle.getListState("mains", self.main)
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        start = key[1]
+        closed = start is None or start + self.size_ms <= timerValues.getCurrentWatermarkInMs()
+        for row in rows:
+            detail = row.detail and tuple(row.detail[n] for n in self.detail.names)
+            if detail is None:
+                if not closed:      # an order that comes after its window joins nothing
+                    self.mains.appendValue(tuple(row.main[n] for n in self.main.names))
+            elif closed:
+                yield self._out(detail, None, True)
+            else:
+                self.details.appendValue(detail)
+        if not closed:
+            self.handle.registerTimer(start + self.size_ms - 1)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        none = True
+        for mains in _chunks(self.mains.get(), CHUNK):
+            none = False
+            for detail in self.details.get():
+                for main in mains:
+                    yield self._out(detail, main, False)
+        if none:
+            for detail in self.details.get():
+                yield self._out(detail, None, False)
+        self.details.clear()
+        self.mains.clear()
+
+    def _out(self, detail, main, late: bool) -> Row:
+        return Row(detail=dict(zip(self.detail.names, detail)),
+                   main=None if main is None else dict(zip(self.main.names, main)), late=late)
+
+    def close(self) -> None:
+        pass
+
+
+def _chunks(rows: Iterator, size: int) -> Iterator[list]:
+    chunk: list = []
+    for row in rows:
+        chunk.append(row)
+        if len(chunk) == size:
+            yield chunk
+            chunk = []
+    if chunk:
+        yield chunk
+
+
+def _plain(df: DataFrame) -> tuple[list, T.StructType]:
+    """Columns that state can hold as they are: timestamps become microseconds."""
+    times = [f.name for f in df.schema if isinstance(f.dataType, T.TimestampType)]
+    columns = [F.unix_micros(c).alias(c) if c in times else F.col(c) for c in df.columns]
+    return columns, T.StructType([T.StructField(f.name, T.LongType() if f.name in times else f.dataType) for f in df.schema])
+
+
+def _again(side: str, df: DataFrame, prefix: str = "") -> list:
+    return [(F.timestamp_micros(F.col(f"{side}.{f.name}")) if isinstance(f.dataType, T.TimestampType)
+             else F.col(f"{side}.{f.name}")).alias(prefix + f.name) for f in df.schema]
+
+
+def order_details_stream(detail: DataFrame, main: DataFrame, size_ms: int = SIZE_MS, delay_ms: int = DELAY_MS,
+                         salts: int = SALTS, time: str = "update_time") -> DataFrame:
+    """Every detail with each order of its window, or with nulls; ``late`` tells which came after their window. Append mode.
+
+    The watermark is the newest time of earlier details less ``delay_ms``; a detail is late when its window has ended by
+    then, so a silent order stream holds nothing back. Details without a time cannot wait for a window and count as
+    late; those without an order id meet none. Details of one (order, window) are spread over ``salts`` tasks, so a very hot order does not
+    gather in one; orders are copied to all of them for as long as their window is open.
+    """
+    detail = detail.withColumn(time, epoch_ms(time))
+    main = main.withColumn(time, epoch_ms(time)).filter(F.col(time).isNotNull() & F.col("oid").isNotNull())
+    (own, held), (theirs, kept) = _plain(detail), _plain(main)
+    nothing = F.lit(None)
+    start = floor_to(time, size_ms).alias("start")
+    left = with_event_time(detail, time, delay_ms).select(
+        F.col("order_id").alias("order_key"), start, F.pmod(F.xxhash64(*detail.columns), F.lit(salts)).cast("int").alias("salt"),
+        F.struct(*own).alias("detail"), nothing.cast(kept).alias("main"))
+    right = main.select(
+        F.col("oid").alias("order_key"), start, F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"),
+        nothing.cast(held).alias("detail"), F.struct(*theirs).alias("main"))
+    # The event time stays behind: rows without it are not dropped when they are late.
+    routed = left.unionByName(right).groupBy("order_key", "start", "salt").transformWithState(
+        WindowRouter(held, kept, size_ms),
+        T.StructType([T.StructField("detail", held), T.StructField("main", kept), T.StructField("late", T.BooleanType())]),
+        "Append", "EventTime")
+    return routed.select(*_again("detail", detail), *_again("main", main, PREFIX), "late")
 
 
 def lookup_batches(load_orders: Callable[[], DataFrame], sink: BatchFn) -> BatchFn:
-    """``foreachBatch`` function that fills orders which the window did not bring."""
+    """``foreachBatch`` function that looks up the orders which the window did not bring; other rows stay where they are."""
     def fill(batch: DataFrame, batch_id: int) -> None:
-        sink(fill_main(batch, load_orders()), batch_id)
+        held = batch.persist()
+        try:
+            sink(fill_missed(held, load_orders()), batch_id)
+        finally:
+            held.unpersist()
     return fill
-
-
-def drain(writer: DataStreamWriter, checkpoint: str, seconds: int | None = None) -> None:
-    """Process what has arrived, then stop."""
-    query = (writer.option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    try:
-        if seconds is None:
-            query.awaitTermination()
-        elif not query.awaitTermination(seconds):
-            raise TimeoutError("the stream did not end in time")
-    finally:
-        query.stop()
-
-
-def enrich_orders(detail: DataFrame, main: DataFrame, load_orders: Callable[[], DataFrame],
-                  sink: Callable[[str], BatchFn], folder: str, size_ms: int = SIZE_MS,
-                  delay_ms: int = DELAY_MS, seconds: int | None = None) -> None:
-    """One round: split what has arrived, join the on-time rows, look up the rest.
-
-    The steps follow each other, so that the join never sees half a batch of the split. Call it on a
-    schedule; every step goes on from its own checkpoint under ``folder``. ``sink`` makes the
-    ``foreachBatch`` function for each of the two outputs, ``on_time`` and ``late``.
-    """
-    spark = detail.sparkSession
-    schema = detail.schema
-    drain(detail.writeStream.foreachBatch(late_split_batches(folder, size_ms=size_ms,
-                                                             delay_ms=delay_ms)),
-          f"{folder}/progress/split", seconds)
-    joined = on_time_join(spark, folder, schema, main, size_ms, delay_ms)
-    drain(joined.writeStream.foreachBatch(lookup_batches(load_orders, sink("on_time"))),
-          f"{folder}/progress/join", seconds)
-    late = padded_late(spark, folder, schema, joined)
-    drain(late.writeStream.foreachBatch(lookup_batches(load_orders, sink("late"))),
-          f"{folder}/progress/late", seconds)

@@ -9,7 +9,6 @@ from roompulse.functions.bloom import BloomShape
 from roompulse import schemas as S
 from roompulse import tables as D
 from roompulse.operators.filters import with_props
-from roompulse.operators.late import flag_late
 from roompulse.plans import audience, etl, gifts, groupon, orders, products, users
 from roompulse.sinks.tables import batch_table, read_table, routed_tables
 from roompulse.streaming import metrics as M
@@ -214,30 +213,80 @@ def staged_by_time(df, files=4, time="update_time"):
     return folder, df.schema
 
 
-def test_late_split_and_enrichment(spark):
-    main = D.order_main(spark, SF).filter("oid % 2 = 0")
-    # Batches are ranges of order ids, so that times are mixed and many rows come late.
-    detail = D.order_detail(spark, SF)
-    batches = detail.withColumn("ingest_batch", F.expr("order_id div 500"))
-    folder, schema = staged(batches, "ingest_batch", 3)
-    edges = sorted({r[0] for r in batches.select("ingest_batch").distinct().collect()})
-    assert len(edges) == 3
+KEYS = ["id", "sku", "order_id", "money", "update_time"]
+
+
+@pytest.fixture(scope="module")
+def late_orders(spark):
+    """Details in three files, ranges of order ids, so that times are mixed and many rows come late; orders of even ids."""
+    detail = D.order_detail(spark, SF).withColumn("ingest_batch", F.expr("order_id div 500"))
+    folder, schema = staged(detail, "ingest_batch", 3)
+    assert detail.select("ingest_batch").distinct().count() == 3
+    return detail, D.order_main(spark, SF).filter("oid % 2 = 0"), (folder, schema)
+
+
+def _enriched(spark, source, main, salts, work, out, per_trigger=1):
+    details = O.order_details_stream(stream(spark, source, per_trigger), stream(spark, main), 90 * DAY, 2_000, salts)
+    run_batches(details, O.lookup_batches(lambda: D.order_main(spark, SF), batch_table(out)), checkpoint=work)
+    return read_table(spark, out).drop("batch_id")
+
+
+@pytest.mark.parametrize("salts", [1, 5])
+def test_order_details_in_one_query(spark, late_orders, salts):
+    """One table, each detail once, equal to the table form; windows that are still open wait."""
+    detail, main, source = late_orders
     work, out = tempfile.mkdtemp(), tempfile.mkdtemp()
-    O.enrich_orders(stream(spark, (folder, schema)), stream(spark, staged_by_time(main, 2)),
-                    lambda: D.order_main(spark, SF), lambda kind: batch_table(f"{out}/{kind}"),
-                    work, 90 * DAY, 2_000, seconds=120)
-    want = flag_late(batches.withColumn("_ms", F.unix_millis("update_time")), "ingest_batch", "_ms",
-                     90 * DAY, 2_000)
-    keys = ["id", "sku", "order_id", "ingest_batch"]
-    got_late = O.staged_rows(spark, work, schema, True, streaming=False)
-    got_on_time = O.staged_rows(spark, work, schema, False, streaming=False)
-    assert bag(got_late, keys) == bag(want.filter("late"), keys)
-    assert bag(got_on_time, keys) == bag(want.filter("not late"), keys)
-    late = read_table(spark, f"{out}/late")
-    assert bag(late, keys) == bag(want.filter("late"), keys)
-    assert late.filter("found_by is null or found_by != 'lookup'").count() == 0
-    joined = read_table(spark, f"{out}/on_time")
-    assert joined.count() > 0 and joined.filter("main_oid is null").count() == 0
+    got = _enriched(spark, source, staged_by_time(main, 1), salts, work, out)
+    want = orders.order_detail_enriched(detail, main, D.order_main(spark, SF), 90 * DAY, 2_000)
+    newest = detail.agg(F.max(F.unix_millis("update_time"))).first()[0]
+    closed = f"late or update_time - pmod(update_time, {90 * DAY}) + {90 * DAY} <= {newest} - 2000"
+    columns = [*KEYS, "late", "found_by", "main_oid", "main_total_money", "main_update_time", "main_create_time"]
+    assert bag(got, columns) == bag(want.filter(closed), columns)
+    assert got.filter("late").count() > 100 and got.filter("found_by = 'window'").count() > 0
+    # Started again without new rows: nothing comes out twice.
+    again = _enriched(spark, source, staged_by_time(main, 1), salts, work, out)
+    assert again.count() == got.count()
+
+
+def test_order_details_of_a_hot_order(spark):
+    """A third of all details belong to one order and window; they are spread over the salts and none is lost."""
+    rows = [(i, 7 if i % 3 == 0 else 1_000 + i, 1_000 + i % 4_000) for i in range(900)] + [(10_000, 1, 90_000)]
+    frame = lambda rows, names: spark.createDataFrame(rows, names).withColumn(
+        "update_time", F.timestamp_millis("t")).drop("t")
+    detail, main = frame(rows, "id bigint, order_id bigint, t bigint"), frame(
+        [(7, 1_500), (7, 2_500), (8, 60_000)], "oid bigint, t bigint")
+    joined = O.order_details_stream(stream(spark, staged_by_time(detail, 1)), stream(spark, staged_by_time(main, 1)), 5_000, 0)
+    got = run(joined)
+    hot = got.filter("order_id = 7")
+    assert hot.count() == 600 and hot.filter("main_oid = 7").count() == 600
+    assert sorted(r["id"] for r in got.filter("main_oid is null").collect()) == [i for i in range(900) if i % 3]
+
+
+def test_rows_without_time_or_order(spark):
+    detail = spark.createDataFrame([(1, None, 1_000), (2, 5, None), (3, 5, 1_000), (4, 6, 50_000)], "id bigint, order_id bigint, t bigint")
+    main = spark.createDataFrame([(5, 1_000), (None, 1_000), (6, None)], "oid bigint, t bigint")
+    timed = lambda df: df.withColumn("update_time", F.timestamp_millis("t")).drop("t")
+    folders = []
+    for df in (detail, main):
+        folders.append((tempfile.mkdtemp() + "/in", timed(df).schema))
+        timed(df).coalesce(1).write.parquet(folders[-1][0])
+    got = run(O.order_details_stream(*[stream(spark, f) for f in folders], 5_000, 0))
+    assert sorted(tuple(r) for r in got.select("id", "main_oid", "late").collect()) == [(1, None, False), (2, None, True), (3, 5, False)]
+
+
+def test_lookup_leaves_met_rows_alone(spark):
+    """The scan of the order table gets the range of missed ids; rows that met an order take no part in the join."""
+    folder = tempfile.mkdtemp() + "/orders"
+    spark.range(10_000).select(F.col("id").alias("oid"), F.timestamp_millis("id").alias("update_time")).write.parquet(folder)
+    rows = spark.createDataFrame([(1, 40, None, None), (2, 60, None, None), (3, 9_999, 9_999, 5), (4, None, None, None)],
+                                 "id bigint, order_id bigint, main_oid bigint, main_update_time bigint")
+    filled = orders.fill_missed(rows, spark.read.parquet(folder))
+    assert sorted(tuple(r) for r in filled.select("id", "main_oid", "found_by").collect()) == [
+        (1, 40, "lookup"), (2, 60, "lookup"), (3, 9_999, "window"), (4, None, None)]
+    plan = filled._jdf.queryExecution().executedPlan().toString()
+    assert "GreaterThanOrEqual(oid,40), LessThanOrEqual(oid,60)" in plan
+    all_met = orders.fill_missed(rows.filter("id = 3"), spark.read.parquet(folder))
+    assert all_met.count() == 1
 
 
 def test_groupon_lines(spark):
