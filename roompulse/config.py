@@ -17,7 +17,6 @@ PROPERTY_NAMES = {
     "checkpoint_interval_ms": "checkpoint.interval",
     "checkpoint_path": "checkpoint.path",
     "max_offsets": "max.offsets.per.trigger",
-    "expected_devices": "bloom.expected.devices",
 }
 
 
@@ -33,7 +32,6 @@ class JobConfig:
     checkpoint_interval_ms: int = 60_000
     checkpoint_path: str | None = None
     max_offsets: int | None = None          # records per micro-batch, or a first run reads all there is at once
-    expected_devices: int | None = None     # per device type, for the approximate new-user flags
     client: tuple[tuple[str, str], ...] = ()    # all other properties, for the Kafka client
 
     @classmethod
@@ -50,7 +48,7 @@ class JobConfig:
                 found[line[:cut].strip()] = line[cut + 1:].strip()
         values = {f.name: found[PROPERTY_NAMES[f.name]] for f in fields(cls)
                   if PROPERTY_NAMES.get(f.name) in found}
-        for name in ("checkpoint_interval_ms", "max_offsets", "expected_devices"):
+        for name in ("checkpoint_interval_ms", "max_offsets"):
             if name in values:
                 values[name] = int(values[name])
         values["client"] = tuple(sorted((k, v) for k, v in found.items() if k not in PROPERTY_NAMES.values()))

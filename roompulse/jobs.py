@@ -17,7 +17,6 @@ from pyspark.sql.streaming import StreamingQuery
 
 from roompulse import schemas as S
 from roompulse.config import JobConfig
-from roompulse.functions.bloom import BloomShape
 from roompulse.operators.parsing import parse_changes, parse_events
 from roompulse.plans import audience, etl, gifts, groupon, users
 from roompulse.session import tune
@@ -76,12 +75,11 @@ JOBS: dict[str, Job] = {
     "new-user-flags": (lambda i: users.user_event_rows(
         metrics.flag_new_users_stream(i.events_with_id())), "append"),
     "new-user-flags-approx": (lambda i: users.user_event_rows(
-        metrics.flag_new_users_approx_stream(
-            i.events_with_id(), BloomShape(int(i.config.require("expected_devices"))))), "append"),
+        metrics.flag_new_users_approx_stream(i.events_with_id())), "append"),
     "new-user-count": (lambda i: users.new_user_totals_exploded(i.events()), "update"),
     "audience": (lambda i: audience.audience_totals(i.events_with_id()), "update"),
-    "audience-windows": (lambda i: metrics.audience_window_now_stream(i.events_with_id()), "update"),
-    "audience-visits": (lambda i: metrics.audience_visits_stream(i.events_with_id()), "append"),
+    "audience-windows": (lambda i: metrics.audience_windowed_stream(i.events_with_id()), "append"),
+    "audience-valid": (lambda i: metrics.audience_valid_stream(i.events_with_id()), "append"),
     "gifts": (lambda i: i.events(), "append"),
     "typed-events": (lambda i: kafka.typed_events(i.raw()), "append"),
     "audience-rows": (lambda i: i.events_with_id(), "append"),

@@ -13,7 +13,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roompulse import schemas as S
-from roompulse.functions.bloom import BloomShape
 from roompulse.functions.columns import live_delta
 from roompulse.operators.filters import only_event
 from roompulse.operators.ranking import top_k
@@ -23,7 +22,8 @@ from roompulse.plans.audience import MINUTE, audience_running, audience_totals,
 from roompulse.plans.products import KEYS, product_events
 from roompulse.plans.users import ORDER
 from roompulse.sinks.tables import BatchFn, write_batch
-from roompulse.streaming.stateful import bloom_seen_stream, dwell_stream, first_seen_stream
+from roompulse.streaming.scalable_bloom import Growth
+from roompulse.streaming.stateful import bloom_seen_stream, dwell_changes, first_seen_stream, summed_changes, window_totals
 
 # Columns the new-user metrics need; no wider row goes through the state operator.
 USER_FIELDS = ["id", "deviceId", "eventId", "osName", "province", "releaseChannel", "deviceType",
@@ -37,38 +37,44 @@ def flag_new_users_stream(events: DataFrame, salts: int = 1,
     return first_seen_stream(rows, "deviceId", ORDER, "id", salts=salts, ttl_ms=ttl_ms)
 
 
-def flag_new_users_approx_stream(events: DataFrame, shape: BloomShape) -> DataFrame:
+def flag_new_users_approx_stream(events: DataFrame, growth: Growth = Growth()) -> DataFrame:
+    """As :func:`flag_new_users_stream`, by one growing Bloom filter per device type."""
     rows = only_event(events, S.APP_LAUNCH).select(*USER_FIELDS)
-    return bloom_seen_stream(rows, "deviceType", "deviceId", ORDER, shape)
+    return bloom_seen_stream(rows, "deviceType", "deviceId", ORDER, growth)
 
 
-def audience_window_now_stream(events: DataFrame, size_ms: int = 2_000) -> DataFrame:
-    """Change of the audience per room and window of processing time.
+def audience_windowed_stream(events: DataFrame, size_ms: int = 2_000, delay_ms: int | None = None) -> DataFrame:
+    """Online and cumulative viewers at the end of each window in which something happened, when it closes. Append mode.
 
-    For running totals every two seconds, ``audience_totals`` in update mode with a trigger of that
-    length says the same with less state.
+    Windows are of the time of arrival, or with ``delay_ms`` of the event time, where later rows are dropped. Rows are added up
+    per room and window first; only these sums meet the room's history.
     """
     delta = live_delta()
-    now = live_events(events, S.ANCHOR).withColumn("arrived", F.current_timestamp())
-    return (now.withWatermark("arrived", "0 seconds")
-            .groupBy(F.window("arrived", interval(size_ms)), S.ANCHOR)
-            .agg(F.sum(delta["online"]).alias("online"), F.sum(delta["total"]).alias("total"))
-            .select(S.ANCHOR, *window_bounds(), "online", "total"))
-
-
-def audience_visits_stream(events: DataFrame, dwell_ms: int = MINUTE,
-                           delay_ms: int = 0) -> DataFrame:
-    """One row per settled visit with ``valid`` 0 or 1; their sum per room is the valid audience."""
+    rows = live_events(events, S.ANCHOR)
+    if delay_ms is None:
+        rows = rows.withColumn("event_time", F.current_timestamp()).withWatermark("event_time", "0 seconds")
+    else:
+        rows = with_event_time(rows.filter(F.col("timestamp").isNotNull()), "timestamp", delay_ms)
+    windows = (rows.groupBy(F.window("event_time", interval(size_ms)), S.ANCHOR)
+               .agg(F.sum(delta["online"]).alias("online"), F.sum(delta["total"]).alias("total"))
+               .select(S.ANCHOR, *window_bounds(), "online", "total"))
+    return window_totals(windows, [S.ANCHOR], ["online", "total"])
+
+
+def valid_changes_stream(events: DataFrame, dwell_ms: int = MINUTE, delay_ms: int = 0,
+                         keep_ms: int | None = None) -> DataFrame:
+    """Changes of the valid audience: 1 when a visit has lasted, -1 when a late row shows that it has not."""
     rows = live_events(events, S.ANCHOR, S.SESSION).select(
-        S.ANCHOR, S.SESSION, "id", "timestamp",
-        (F.col("eventId") == S.LIVE_ENTER).alias("entered"))
-    return dwell_stream(with_event_time(rows, "timestamp", delay_ms), [S.ANCHOR, S.SESSION],
-                        "timestamp", "entered", ["timestamp", "id"], dwell_ms)
+        S.ANCHOR, S.SESSION, "id", "timestamp", (F.col("eventId") == S.LIVE_ENTER).alias("entered"))
+    return dwell_changes(with_event_time(rows, "timestamp", delay_ms), [S.ANCHOR, S.SESSION],
+                         "timestamp", "id", "entered", dwell_ms, keep_ms)
 
 
-def valid_totals(visits: DataFrame) -> DataFrame:
-    """Valid audience per room from the visits written so far."""
-    return visits.groupBy(S.ANCHOR).agg(F.sum("valid").cast("bigint").alias("valid_total"))
+def audience_valid_stream(events: DataFrame, dwell_ms: int = MINUTE, delay_ms: int = 0,
+                          keep_ms: int | None = None) -> DataFrame:
+    """Viewers per room who stayed, after each micro-batch that changes it; the last row of a room holds. Append mode."""
+    changes = valid_changes_stream(events, dwell_ms, delay_ms, keep_ms)
+    return summed_changes(changes, [S.ANCHOR], "change", "valid_total", [S.SESSION])
 
 
 def product_counts_stream(events: DataFrame, size_ms: int = 600_000, slide_ms: int = 60_000,

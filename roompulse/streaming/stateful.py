@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-from roompulse.functions.bloom import BloomShape, bits_of, bucket_column
+from roompulse.streaming.scalable_bloom import Growth, SlicedBloom
 
 # Rows that need no state are spread over this many groups.
 _SPREAD = 1024
@@ -41,7 +41,7 @@ class FirstSeen(StatefulProcessor):
                 yield _with_flag(row, self.flag, 0)
             elif best is None:
                 best = row
-            elif self._rank(row) < self._rank(best):
+            elif _rank(row, self.order) < _rank(best, self.order):
                 yield _with_flag(best, self.flag, 0)
                 best = row
             else:
@@ -50,82 +50,207 @@ class FirstSeen(StatefulProcessor):
             self.seen.update((True,))
             yield _with_flag(best, self.flag, 1)
 
-    def _rank(self, row: Row):
-        return tuple(row[c] for c in self.order)
-
     def close(self) -> None:
         pass
 
 
+class _MapPages:
+    """Pages of a filter in a map state."""
+
+    def __init__(self, state):
+        self.state = state
+
+    def get(self, slice_: int, page: int) -> bytes | None:
+        held = self.state.getValue((slice_, page))
+        return held and bytes(held[0])
+
+    def put(self, slice_: int, page: int, bits: bytes) -> None:
+        self.state.updateValue((slice_, page), (bits,))
+
+
 class BloomSeen(StatefulProcessor):
-    """Flags keys that one part of a Bloom filter does not know yet, and adds them."""
+    """Flags keys that one part of a Bloom filter does not know yet, and adds them.
 
-    def __init__(self, key: str, order: Sequence[str], flag: str, shape: BloomShape):
-        self.key, self.order, self.flag, self.shape = key, list(order), flag, shape
+    Of rows of one new key in a micro-batch the first in ``order`` is flagged. Only rows of new keys are held for that, at most
+    ``held`` at a time: beyond it those held are given out, and the flag goes to the first row that arrived.
+    """
+
+    def __init__(self, key: str, hashed: str, order: Sequence[str], flag: str, growth: Growth, held: int = 10_000):
+        self.key, self.hashed, self.order, self.flag = key, hashed, list(order), flag
+        self.growth, self.held = growth, held
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.bits = handle.getValueState("bits", "bits binary")
+        self.size = handle.getValueState("size", "slices int, filled bigint")
+        self.pages = handle.getMapState("pages", "slice int, page bigint", "bits binary")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.bits.get()
-        bits = bytearray(held[0]) if held else bytearray((self.shape.bucket_bits + 7) // 8)
-        changed = False
-        for row in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
-            own = bits_of(row[self.key], self.shape)
-            new = any(not bits[b >> 3] >> (b & 7) & 1 for b in own)
-            for b in own if new else ():
-                bits[b >> 3] |= 1 << (b & 7)
-            changed = changed or new
-            yield _with_flag(row, self.flag, int(new))
-        if changed:
-            self.bits.update((bytes(bits),))
+        before = self.size.get() or (1, 0)
+        bloom = SlicedBloom(self.growth, _MapPages(self.pages), *before)
+        first: dict = {}
+        for row in rows:
+            other = first.get(row[self.key])
+            if other is not None:
+                if _rank(row, self.order) < _rank(other, self.order):
+                    first[row[self.key]], row = row, other
+            elif bloom.add(row[self.hashed]):
+                first[row[self.key]] = row
+                if len(first) < self.held:
+                    continue
+                for row in first.values():
+                    yield _with_flag(row, self.flag, 1)
+                first.clear()
+                continue
+            yield _with_flag(row, self.flag, 0)
+        for row in first.values():
+            yield _with_flag(row, self.flag, 1)
+        if bloom.changed or (bloom.slices, bloom.filled) != tuple(before):
+            bloom.save()
+            self.size.update((bloom.slices, bloom.filled))
 
     def close(self) -> None:
         pass
 
 
-class DwellVisits(StatefulProcessor):
-    """Settles each enter once: valid when nothing follows within the dwell time, else not.
+class DwellCells(StatefulProcessor):
+    """Changes of the number of valid enters of one key, for rows that come in any order.
 
-    Timers fire after all rows of a micro-batch, so rows are taken in time order and an enter that
-    is already due is settled before the next row is looked at.
+    Time is cut into cells as wide as the dwell time. Of the enters in one cell only the last event can be valid: anything
+    after an enter in its cell comes too soon. Whether it is, the first time of the next cell decides. So a row touches
+    three cells, each of a fixed size. An enter counts once the watermark has passed its dwell time; a row that
+    comes later and ends it too soon takes the count back. Cells are kept for ``keep_ms`` behind the watermark, or for ever.
     """
 
-    def __init__(self, keys: Sequence[str], ts: str, entered: str, order: Sequence[str],
-                 dwell_ms: int):
-        self.fields = [*keys, "enter_ts", "valid"]
-        self.ts, self.entered, self.order, self.dwell_ms = ts, entered, list(order), dwell_ms
+    FIELDS = "low bigint, high bigint, high_id string, entered boolean, counted boolean"
+
+    def __init__(self, keys: Sequence[str], ts: str, row_id: str, entered: str, dwell_ms: int, keep_ms: int | None = None):
+        self.fields = [*keys, "enter_ts", "change"]
+        self.ts, self.row_id, self.entered, self.dwell_ms = ts, row_id, entered, dwell_ms
+        self.keep_cells = None if keep_ms is None else -(-keep_ms // dwell_ms) + 2
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.open_since = handle.getValueState("open_since", "ts bigint")
+        self.cells = handle.getMapState("cells", "cell bigint", self.FIELDS)
+        self.known = handle.getValueState("known", "entered boolean")
 
     def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
-        held = self.open_since.get()
-        since = before = held[0] if held else None
-        for row in sorted(rows, key=lambda r: tuple(r[c] for c in self.order)):
-            now = row[self.ts]
-            if since is not None:
-                yield Row(*self.fields)(*key, since, int(now - since > self.dwell_ms))
-            since = now if row[self.entered] else None
-        if since == before:
+        watermark = timerValues.getCurrentWatermarkInMs()
+        known = self.known.exists()
+        for row in rows:
+            now, name, entered = row[self.ts], row[self.row_id] or "", bool(row[self.entered])
+            if entered and not known:       # so that a room nobody stayed in has a total of 0
+                known = True
+                self.known.update((True,))
+                yield self._out(key, now, 0)
+            cell = now // self.dwell_ms
+            held = self.cells.getValue((cell,))
+            if held is None:
+                new = (now, now, name, entered, False)
+                if self.keep_cells is not None:
+                    self.handle.registerTimer((cell + self.keep_cells) * self.dwell_ms)
+            else:
+                low, high, high_id, was, counted = held
+                later = (now, name) > (high, high_id)
+                if later and counted:       # the enter that counted is no longer the last of its cell
+                    yield self._out(key, high, -1)
+                    counted = False
+                new = (min(low, now), *((now, name, entered) if later else (high, high_id, was)), counted)
+            if new != held:
+                self.cells.updateValue((cell,), new)
+                if new[3]:
+                    self.handle.registerTimer(new[1] + self.dwell_ms)
+                yield from self._settle(key, cell, watermark)
+                yield from self._settle(key, cell - 1, watermark)
+
+    def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        time = expiredTimerInfo.getExpiryTimeInMs()
+        yield from self._settle(key, time // self.dwell_ms - 1, timerValues.getCurrentWatermarkInMs())
+        if self.keep_cells is not None and time % self.dwell_ms == 0:
+            self.cells.removeKey((time // self.dwell_ms - self.keep_cells,))
+
+    def _settle(self, key, cell: int, watermark: int) -> Iterator[Row]:
+        """Count the last enter of a cell, or take its count back."""
+        held = self.cells.getValue((cell,))
+        if held is None or not held[3]:
             return
-        if since is None:
-            self.open_since.clear()
-        else:
-            self.open_since.update((since,))
-            self.handle.registerTimer(since + self.dwell_ms + 1)
+        low, high, high_id, entered, counted = held
+        following = self.cells.getValue((cell + 1,))
+        until = high + self.dwell_ms
+        valid = until < watermark and not (following and following[0] <= until)
+        if valid != counted:
+            self.cells.updateValue((cell,), (low, high, high_id, entered, valid))
+            yield self._out(key, high, 1 if valid else -1)
+
+    def _out(self, key, enter_ts: int, change: int) -> Row:
+        return Row(*self.fields)(*key, enter_ts, change)
+
+    def close(self) -> None:
+        pass
+
+
+class Summed(StatefulProcessor):
+    """One row per key and micro-batch: the sum of a column in it, or (``total``) in all so far."""
+
+    def __init__(self, keys: Sequence[str], column: str, name: str, total: bool):
+        self.fields, self.column, self.total = [*keys, name], column, total
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.sum = handle.getValueState("sum", "n bigint")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        total = sum(row[self.column] for row in rows)
+        if self.total:
+            total += (self.sum.get() or (0,))[0]
+            self.sum.update((total,))
+        yield Row(*self.fields)(*key, total)
+
+    def close(self) -> None:
+        pass
+
+
+class WindowHistory(StatefulProcessor):
+    """Totals up to each closed window of a key.
+
+    Windows of one micro-batch come in any order. Each sets a timer at its start, which is past already; timers fire
+    after the rows and in order of time, so totals add up in order and nothing is sorted or held beside the state.
+    """
+
+    def __init__(self, keys: Sequence[str], values: Sequence[str]):
+        self.keys, self.values = list(keys), list(values)
+        self.fields = [*keys, "window_start", "window_end", *values]
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        columns = ", ".join(f"{v} bigint" for v in self.values)
+        self.totals = handle.getValueState("totals", f"start bigint, {columns}")
+        self.waiting = handle.getMapState("waiting", "start bigint", f"end bigint, {columns}")
+
+    def handleInputRows(self, key, rows, timerValues) -> Iterator[Row]:
+        for row in rows:
+            self.waiting.updateValue((row.window_start,), (row.window_end, *[row[v] for v in self.values]))
+            self.handle.registerTimer(row.window_start)
+        return iter(())
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[Row]:
-        held = self.open_since.get()
-        if held and expiredTimerInfo.getExpiryTimeInMs() - held[0] > self.dwell_ms:
-            self.open_since.clear()
-            yield Row(*self.fields)(*key, held[0], 1)
+        start = expiredTimerInfo.getExpiryTimeInMs()
+        end, *values = self.waiting.getValue((start,))
+        before = self.totals.get()
+        if before is not None:
+            if before[0] >= start:
+                raise ValueError(f"window {start} came after window {before[0]}")
+            values = [a + b for a, b in zip(values, before[1:])]
+        self.waiting.removeKey((start,))
+        self.totals.update((start, *values))
+        yield Row(*self.fields)(*key, start, end, *values)
 
     def close(self) -> None:
         pass
 
 
+def _rank(row: Row, order: Sequence[str]) -> tuple:
+    """Sort key of a row, nulls first."""
+    return tuple((row[c] is not None, row[c]) for c in order)
+
+
 def _flagged_schema(df: DataFrame, flag: str) -> T.StructType:
     return T.StructType([*df.schema.fields, T.StructField(flag, T.IntegerType())])
 
@@ -172,24 +297,50 @@ def first_rows_stream(events: DataFrame, key: str, row_id: str, salts: int = 4)
 
 
 def bloom_seen_stream(events: DataFrame, group: str, key: str, order: Sequence[str],
-                      shape: BloomShape, flag: str = "isN") -> DataFrame:
-    """As :func:`first_seen_stream`, approximately: one Bloom filter per ``group``, kept in
-    ``shape.buckets`` parts so that a large group is shared by as many tasks."""
+                      growth: Growth = Growth(), flag: str = "isN") -> DataFrame:
+    """As :func:`first_seen_stream`, approximately: one Bloom filter per ``group`` that grows with its keys.
+
+    It is kept in ``growth.parts`` parts, so that a large group is shared by as many tasks. A new key is missed with a
+    probability of ``growth.false_positives`` at most, a known one is never flagged again.
+    """
     events = (events.drop(flag).filter(F.col(group).isNotNull() & F.col(key).isNotNull())
-              .withColumn("_bucket", bucket_column(F.col(key), shape)))
-    return _flagged_by(events, [group, "_bucket"], BloomSeen(key, order, flag, shape), flag,
-                       ).drop("_bucket")
+              .withColumn("_hash", F.xxhash64(key)).withColumn("_part", F.pmod("_hash", F.lit(growth.parts)).cast("int")))
+    return _flagged_by(events, [group, "_part"], BloomSeen(key, "_hash", order, flag, growth), flag).drop("_part", "_hash")
 
 
-def dwell_stream(events: DataFrame, keys: Sequence[str], ts: str, entered: str,
-                 order: Sequence[str], dwell_ms: int = 60_000) -> DataFrame:
-    """One row per settled enter: keys, ``enter_ts`` and ``valid``. Needs a watermark. Append mode.
+def dwell_changes(events: DataFrame, keys: Sequence[str], ts: str, row_id: str, entered: str, dwell_ms: int = 60_000,
+                  keep_ms: int | None = None) -> DataFrame:
+    """Changes of the number of valid enters: keys, ``enter_ts`` and ``change`` (1, -1 or, at a key's first enter, 0).
 
-    State is kept per ``keys``: take the room and the session, not the room alone, so that a large
-    room is shared by all tasks.
+    ``events`` have a watermark on a column that is dropped here, so that late rows arrive: within ``keep_ms`` behind the
+    watermark (for ever, if it is not given) they still count or take counts back. Append mode. State is kept per
+    ``keys``: take the room and the session, not the room alone, so that a large room is shared by all tasks.
     """
+    rows = events.select(*keys, ts, row_id, entered).filter(F.col(ts).isNotNull())
     out = T.StructType([*[events.schema[k] for k in keys],
-                        T.StructField("enter_ts", T.LongType()),
-                        T.StructField("valid", T.IntegerType())])
-    return events.groupBy(*keys).transformWithState(
-        DwellVisits(keys, ts, entered, order, dwell_ms), out, "Append", "EventTime")
+                        T.StructField("enter_ts", T.LongType()), T.StructField("change", T.IntegerType())])
+    return rows.groupBy(*keys).transformWithState(
+        DwellCells(keys, ts, row_id, entered, dwell_ms, keep_ms), out, "Append", "EventTime")
+
+
+def summed_changes(changes: DataFrame, keys: Sequence[str], column: str, name: str, spread_by: Sequence[str],
+                   salts: int = 64) -> DataFrame:
+    """New total of each key after each micro-batch that changes it. Append mode.
+
+    Changes are added up per key and salt first, so that a hot key sends at most ``salts`` rows to the task of its total.
+    """
+    number = T.StructField(name, T.LongType())
+    fields = [changes.schema[k] for k in keys]
+    salted = changes.select(*keys, column, F.pmod(F.xxhash64(*spread_by), F.lit(salts)).cast("int").alias("_salt"))
+    part = salted.groupBy(*keys, "_salt").transformWithState(
+        Summed([*keys, "_salt"], column, name, False), T.StructType([*fields, salted.schema["_salt"], number]), "Append", "None")
+    return part.groupBy(*keys).transformWithState(
+        Summed(keys, name, name, True), T.StructType([*fields, number]), "Append", "None")
+
+
+def window_totals(windows: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
+    """Totals up to each closed window, from rows (keys, ``window_start``, ``window_end``, values) of a windowed
+    aggregate in append mode: one row per window that closed."""
+    longs = [T.StructField(n, T.LongType()) for n in ("window_start", "window_end", *values)]
+    return windows.groupBy(*keys).transformWithState(
+        WindowHistory(keys, values), T.StructType([*[windows.schema[k] for k in keys], *longs]), "Append", "EventTime")

@@ -5,7 +5,6 @@ import tempfile
 import pytest
 from pyspark.sql import functions as F
 
-from roompulse.functions.bloom import BloomShape
 from roompulse import schemas as S
 from roompulse import tables as D
 from roompulse.operators.filters import with_props
@@ -13,7 +12,8 @@ from roompulse.plans import audience, etl, gifts, groupon, orders, products, use
 from roompulse.sinks.tables import batch_table, read_table, routed_tables
 from roompulse.streaming import metrics as M
 from roompulse.streaming import orders as O
-from roompulse.streaming.stateful import first_rows_stream
+from roompulse.streaming.scalable_bloom import Growth, SlicedBloom
+from roompulse.streaming.stateful import bloom_seen_stream, first_rows_stream
 from tests.streams import run, run_batches, staged, stream
 
 SF = "/root/testdata/sf0.001"
@@ -43,10 +43,62 @@ def test_first_seen(spark, events, source, salts):
 
 
 def test_first_seen_bloom(spark, events, source):
-    shape = BloomShape(expected=12, false_positives=0.2)
-    got = run(M.flag_new_users_approx_stream(stream(spark, source), shape))
-    want = users.flag_new_users_approx(events, shape)
-    assert bag(got, ["id", "isN"]) == bag(want, ["id", "isN"])
+    """With few devices the growing filter misses none: the flags are the exact ones."""
+    got = run(M.flag_new_users_approx_stream(stream(spark, source)))
+    want = users.flag_new_users(events)
+    assert bag(got, ["id", "deviceId", "isN"]) == bag(want, ["id", "deviceId", "isN"])
+
+
+def test_growing_bloom_filter_on_a_stream(spark):
+    """One type, one part, many pages, three micro-batches of which the last repeats: no device is flagged twice."""
+    devices = spark.range(30_000).select(
+        F.col("id").cast("string").alias("id"), F.concat(F.lit("d"), F.col("id") % 20_000).alias("deviceId"),
+        F.lit("x").alias("deviceType"), F.col("id").alias("timestamp"))
+    rows = bloom_seen_stream(stream(spark, staged(devices, "timestamp", 3)), "deviceType", "deviceId", ["timestamp", "id"],
+                             Growth(parts=1))
+    got = run(rows)
+    new = got.filter("isN = 1")
+    assert got.count() == 30_000 and new.select("deviceId").distinct().count() == new.count()
+    assert 20_000 * 0.97 <= new.count() <= 20_000 and new.filter("timestamp >= 20000").count() == 0
+
+
+class _Kept(dict):
+    def get(self, slice_, page):
+        return super().get((slice_, page))
+
+    def put(self, slice_, page, bits):
+        self[slice_, page] = bits
+
+
+@pytest.mark.parametrize("keys,parts", [(2_000_000, 256), (150_000, 1)])
+def test_filter_grows_with_its_keys(keys, parts):
+    """Two million devices of one type: below 3 % are missed, none comes back as new, and a call reads few pages."""
+    import numpy as np
+    hashes = np.random.default_rng(keys).integers(-2**63, 2**63, keys).tolist()
+    growth, new, known = Growth(parts=parts), 0, 0
+    for part in range(parts):
+        own = [h for h in hashes[part * (keys // parts):(part + 1) * (keys // parts)]]
+        pages, size = _Kept(), (1, 0)
+        for some in (own[:len(own) // 2], own[len(own) // 2:]):
+            bloom = SlicedBloom(growth, pages, *size, cached=64)
+            new += sum(map(bloom.add, some))
+            bloom.save()
+            size = bloom.slices, bloom.filled
+        bloom = SlicedBloom(growth, pages, *size)
+        known += sum(bloom.add(h) for h in own[:200])
+        assert len(pages) < 1 << size[0]
+    assert new >= 0.97 * (keys // parts * parts) and known == 0
+
+
+def test_pages_are_read_when_touched():
+    pages, reads = _Kept(), []
+    bloom = SlicedBloom(Growth(), pages)
+    for h in range(20_000):
+        bloom.add(h * 0x9E3779B97F4A7C15 & (1 << 64) - 1)
+    bloom.save()
+    pages.get = lambda s, p: reads.append((s, p)) or dict.get(pages, (s, p))
+    SlicedBloom(Growth(), pages, bloom.slices, bloom.filled).add(12345)
+    assert len(reads) == len(set(reads)) <= bloom.slices and len(pages) > 20
 
 
 def test_first_rows(spark, events, source):
@@ -108,15 +160,27 @@ def test_gift_dimension_is_read_per_batch(spark, source):
     assert {r["batch_id"]: r["s"] for r in got.collect()} == {0: [1.0], 1: [2.0], 2: [3.0], 3: [4.0]}
 
 
-def test_processing_time_windows_add_up(spark, events, source):
+def test_windows_carry_totals(spark, events, source):
+    """One row per closed window, equal to the table form: windows of several micro-batches, many closed at once."""
+    got = run(M.audience_windowed_stream(stream(spark, source), HOUR, 0))
+    newest = audience.live_events(events, S.ANCHOR).agg(F.max("timestamp")).first()[0]
+    want = audience.audience_windowed(events, HOUR).filter(F.col("window_end") <= newest)
+    assert want.count() > 100 and bag(got) == bag(want, got.columns)
+
+
+def test_windows_of_arrival_carry_totals(spark, events, source):
+    """Totals never start again: the last closed window of a room holds all that arrived before the open ones."""
     folder = tempfile.mkdtemp()
-    q = (M.audience_window_now_stream(stream(spark, source), 1).writeStream.outputMode("update")
-         .foreachBatch(batch_table(folder)).option("checkpointLocation", tempfile.mkdtemp())
-         .trigger(availableNow=True).start())
-    assert q.awaitTermination(120)
-    added = _last(folder, spark, ["anchor_id", "window_start"], ["online", "total"])
-    added = added.groupBy("anchor_id").agg(F.sum("online").alias("online"), F.sum("total").alias("total"))
-    assert bag(added) == bag(audience.audience_totals(events))
+    run_batches(M.audience_windowed_stream(stream(spark, source), 1), batch_table(folder))
+    got = read_table(spark, folder)
+    assert got.count() == got.select(S.ANCHOR, "window_start").distinct().count() > 0
+    last = got.groupBy(S.ANCHOR).agg(F.max_by("total", "window_start").alias("total"), F.max("total").alias("most"))
+    assert last.filter("total <> most").count() == 0
+    edge = events.withColumn("t", F.col("timestamp").cast("double")).approxQuantile("t", [0.75], 0.0)[0]
+    three = audience.audience_totals(events.filter(F.col("timestamp") < edge))
+    totals = {r[S.ANCHOR]: r["total"] for r in three.collect()}
+    rooms = {r[S.ANCHOR]: r["total"] for r in last.collect()}
+    assert all(rooms[a] >= 0.9 * t for a, t in totals.items() if t > 10)
 
 
 def test_running_audience_replay(spark, events):
@@ -151,20 +215,39 @@ def test_running_audience_per_row(spark, events, source):
     assert bag(read_table(spark, folder).drop("batch_id")) == bag(audience.audience_running(events))
 
 
-def test_visits(spark, events, source):
-    visits = run(M.audience_visits_stream(stream(spark, source), dwell_ms=DAY))
-    # Visits that are still open when the input ends are settled by the batch form only.
-    every = audience.live_events(events, S.ANCHOR, S.SESSION)
-    newest = every.agg(F.max("timestamp")).first()[0]
-    from pyspark.sql import Window
-    w = Window.partitionBy(S.ANCHOR, S.SESSION).orderBy("timestamp", "id")
-    want = (every.withColumn("n", F.lead("timestamp").over(w))
-            .filter(F.col("eventId") == S.LIVE_ENTER)
-            .filter(F.col("n").isNotNull() | (F.col("timestamp") + DAY + 1 < newest))
-            .select(S.ANCHOR, S.SESSION, F.col("timestamp").alias("enter_ts"),
-                    F.coalesce(F.col("n") - F.col("timestamp") > DAY, F.lit(True))
-                    .cast("int").alias("valid")))
-    assert bag(visits) == bag(want)
+def _valid(spark, source, dwell, **more):
+    folder = tempfile.mkdtemp()
+    run_batches(M.audience_valid_stream(stream(spark, source), dwell, **more), batch_table(folder))
+    return _last(folder, spark, [S.ANCHOR], ["valid_total"])
+
+
+def test_valid_audience(spark, events, source):
+    assert bag(_valid(spark, source, DAY)) == bag(audience.audience_valid(events, DAY))
+
+
+def test_valid_audience_of_rows_in_any_order(spark, events):
+    """Files hold times of all the range: late rows count, and late leaves take counts back."""
+    mixed = events.withColumn("_o", F.pmod(F.xxhash64("id"), F.lit(1000)).cast("double"))
+    source = staged(mixed, "_o", 4)
+    assert bag(_valid(spark, source, DAY)) == bag(audience.audience_valid(events, DAY))
+    # Kept as long as rows are late: the same; the state of older cells goes.
+    span = events.agg(F.max("timestamp") - F.min("timestamp")).first()[0]
+    assert bag(_valid(spark, source, DAY, keep_ms=span)) == bag(audience.audience_valid(events, DAY))
+
+
+def test_valid_audience_of_crowded_sessions(spark):
+    """Dense events of few sessions, ties in time, gaps of exactly the dwell time, enters that stay open."""
+    import random
+    rng = random.Random(9)
+    rows = []
+    for i in range(400):
+        t = 1_000_000 + rng.choice([rng.randrange(0, 3000), rng.randrange(0, 30) * 100])
+        rows.append((str(i), rng.choice([S.LIVE_ENTER, S.LIVE_ENTER, S.LIVE_LEAVE]), t, {S.ANCHOR: rng.choice("ab"), S.SESSION: rng.choice("xyz")}))
+    rows.append(("z", S.LIVE_LEAVE, 1_010_000, {S.ANCHOR: "c", S.SESSION: "x"}))
+    frame = spark.createDataFrame(rows, "id string, eventId string, timestamp bigint, properties map<string,string>")
+    for seed in range(2):
+        source = staged(frame.withColumn("_o", F.rand(seed)), "_o", 5)
+        assert bag(_valid(spark, source, 100)) == bag(audience.audience_valid(frame, 100, 1_000))
 
 
 def test_hot_products(spark, events, source):
