@@ -42,6 +42,12 @@ _GIFT_DIM = """dim AS (
   FROM nation)"""
 
 
+_GIFT_VERSIONS = """versions AS (
+  SELECT CAST(n_nationkey AS VARCHAR) AS id, n_name || '_' || v AS name, CAST(n_regionkey + 10 * v AS DOUBLE) AS score,
+         1704067200000 + (v * 8 + n_nationkey % 5) * 86400000 AS since
+  FROM nation, range(4) AS r(v))"""
+
+
 def _bucket(ms: str, size: int) -> str:
     return f"(({ms}) - ({ms}) % {size})"
 
@@ -188,6 +194,14 @@ ORACLE: dict[str, str] = {
       SELECT anchor_id, CAST(count(*) AS BIGINT) AS gifts, coalesce(sum(score), 0.0) AS points
       FROM behavior b LEFT JOIN dim ON b.gift_id = dim.id WHERE "eventId" = 'liveReward'
       GROUP BY anchor_id""",
+    "gift_join_as_of": f"""WITH {BEHAVIOR}, {_GIFT_VERSIONS}
+      SELECT b.id, anchor_id, gift_id, "timestamp", CAST(1 AS INTEGER) AS gifts, name AS gift_name, score
+      FROM behavior b ASOF LEFT JOIN versions v ON b.gift_id = v.id AND b."timestamp" >= v.since
+      WHERE "eventId" = 'liveReward'""",
+    "gift_totals_as_of": f"""WITH {BEHAVIOR}, {_GIFT_VERSIONS}
+      SELECT anchor_id, CAST(count(*) AS BIGINT) AS gifts, coalesce(sum(score), 0.0) AS points
+      FROM behavior b ASOF LEFT JOIN versions v ON b.gift_id = v.id AND b."timestamp" >= v.since
+      WHERE "eventId" = 'liveReward' GROUP BY anchor_id""",
     "audience_running": f"""WITH {BEHAVIOR}, {_LIVE}
       SELECT anchor_id, id, "timestamp",
              CAST(sum(d) OVER w AS BIGINT) AS online, CAST(sum(e) OVER w AS BIGINT) AS total

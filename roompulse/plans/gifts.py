@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from roompulse import schemas as S
+from roompulse.operators.asof import as_of_join
 from roompulse.operators.filters import only_event, with_props
 from roompulse.operators.joins import latest_by
 from roompulse.operators.parsing import parse_lines
@@ -53,3 +54,19 @@ def gift_totals(events: DataFrame, dimension: DataFrame) -> DataFrame:
     return joined.groupBy(S.ANCHOR).agg(
         F.sum("n").alias("gifts"),
         F.coalesce(F.sum(F.col("score") * F.col("n")), F.lit(0.0)).alias("points"))
+
+
+def gift_facts_as_of(events: DataFrame, versions: DataFrame, *cells_ms: int) -> DataFrame:
+    """Each gift with the name and score that it had at its time, null before its first version.
+
+    ``versions`` holds ``id, name, score, since`` (epoch ms), one row per change of a gift.
+    """
+    facts = _rewards(events).select("id", S.ANCHOR, S.GIFT, "timestamp", F.lit(1).alias("gifts"))
+    dim = versions.select(F.col("id").alias(S.GIFT), F.col("name").alias("gift_name"), "score", "since")
+    return as_of_join(facts, dim, S.GIFT, "timestamp", "since", *([cells_ms] if cells_ms else []))
+
+
+def gift_totals_as_of(events: DataFrame, versions: DataFrame, *cells_ms: int) -> DataFrame:
+    """Gifts and points per room, each gift at the score it had at its time."""
+    return gift_facts_as_of(events, versions, *cells_ms).groupBy(S.ANCHOR).agg(
+        F.sum(F.col("gifts").cast("bigint")).alias("gifts"), F.coalesce(F.sum("score"), F.lit(0.0)).alias("points"))

@@ -147,6 +147,16 @@ def gift_totals(spark, sf_dir):
     return gifts.gift_totals(D.behavior(spark, sf_dir), _gift_dimension(spark, sf_dir))
 
 
+@query
+def gift_join_as_of(spark, sf_dir):
+    return gifts.gift_facts_as_of(D.behavior(spark, sf_dir), D.gift_versions(spark, sf_dir))
+
+
+@query
+def gift_totals_as_of(spark, sf_dir):
+    return gifts.gift_totals_as_of(D.behavior(spark, sf_dir), D.gift_versions(spark, sf_dir))
+
+
 # --- audience ----------------------------------------------------------------------------------
 
 @query

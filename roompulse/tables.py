@@ -141,6 +141,16 @@ def gift_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
                                 F.col("version").cast("string")).alias("value")))
 
 
+def gift_versions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``nation`` as gifts whose score changes four times, about every eight days from the first of January 2024."""
+    day = 86_400_000
+    version = F.col("version")
+    since = F.lit(1_704_067_200_000) + (version * 8 + F.pmod("n_nationkey", F.lit(5))).cast("bigint") * day
+    return (table(spark, sf_dir, "nation").withColumn("version", F.explode(F.array(*[F.lit(i) for i in range(4)])))
+            .select(F.col("n_nationkey").cast("string").alias("id"), F.concat_ws("_", "n_name", version).alias("name"),
+                    (F.col("n_regionkey") + 10 * version).cast("double").alias("score"), since.cast("bigint").alias("since")))
+
+
 def groupon_detail_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """``lineitem`` as lines ``ts,user,groupon,order``."""
     return table(spark, sf_dir, "lineitem").select(F.concat_ws(
