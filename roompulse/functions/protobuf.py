@@ -43,8 +43,11 @@ def descriptor_set() -> bytes:
                               label=field.LABEL_REPEATED,
                               type_name=f".{MESSAGE}.PropertiesEntry")
         else:
-            message.field.add(name=name, number=tag, label=field.LABEL_OPTIONAL,
+            # With presence: zeros and empty text are sent, and told from what was not sent. The wire format is the same.
+            message.field.add(name=name, number=tag, label=field.LABEL_OPTIONAL, proto3_optional=True,
+                              oneof_index=len(message.oneof_decl),
                               type=getattr(field, _NUMBERS.get(kind, "TYPE_STRING")))
+            message.oneof_decl.add(name=f"_{name}")
     return pb.FileDescriptorSet(file=[file]).SerializeToString()
 
 
@@ -83,7 +86,8 @@ def encode_events(events: DataFrame, keep: Sequence[str] = ()) -> DataFrame:
 
 
 def decode_events(messages: DataFrame, value: str = "value", keep: Sequence[str] = ()) -> DataFrame:
-    """Binary messages to typed events; fields that were not sent are null (``isNew``: 0).
+    """Binary messages to typed events; fields that were not sent are null (``isNew``: 0), also those that a sender
+    without field presence left out because they were zero.
 
     A value that is not such a message fails the job, as a stream of the wrong type should.
     """
@@ -145,7 +149,7 @@ def _decoder(fields: list[str], value: str, keep: list[str]):
                         pa.array([k for b in bags for k in b], pa.string()),
                         pa.array([b[k] for b in bags for k in b], pa.string())))
                 else:
-                    columns.append(pa.array([getattr(m, n) or None for m in read], _ARROW[WIRE[n]]))
+                    columns.append(pa.array([getattr(m, n) if m.HasField(n) else None for m in read], _ARROW[WIRE[n]]))
             yield pa.RecordBatch.from_arrays(
                 [*[batch.column(n) for n in keep], *columns], [*keep, *fields])
     return decode

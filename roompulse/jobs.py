@@ -25,6 +25,7 @@ from roompulse.sinks.tables import BatchFn, batch_table
 from roompulse.sources import kafka
 from roompulse.sources.files import read_lines
 from roompulse.streaming import metrics
+from roompulse.streaming.gifts import gift_facts_stream
 from roompulse.streaming.orders import lookup_batches, order_details_stream
 
 
@@ -56,8 +57,8 @@ class Inputs:
             raise ValueError(f"folder '{name}' is missing")
         return self.folders[name]
 
-    def lines(self, name: str, streaming: bool = True) -> DataFrame:
-        return read_lines(self.spark, self.folder(name), streaming)
+    def lines(self, name: str, streaming: bool = True, with_time: bool = False) -> DataFrame:
+        return read_lines(self.spark, self.folder(name), streaming, with_time=with_time)
 
     def checkpoint(self, job: str) -> str:
         return f"{self.config.require('checkpoint_path').rstrip('/')}/{job}"
@@ -81,6 +82,7 @@ JOBS: dict[str, Job] = {
     "audience-windows": (lambda i: metrics.audience_windowed_stream(i.events_with_id()), "append"),
     "audience-valid": (lambda i: metrics.audience_valid_stream(i.events_with_id()), "append"),
     "gifts": (lambda i: i.events(), "append"),
+    "gift-facts": (lambda i: gift_facts_stream(i.events(), i.lines("gifts", with_time=True)), "append"),
     "typed-events": (lambda i: kafka.typed_events(i.raw()), "append"),
     "audience-rows": (lambda i: i.events_with_id(), "append"),
     "hot-products": (lambda i: metrics.product_counts_stream(i.events()), "append"),
@@ -97,7 +99,7 @@ STEPS: dict[str, Callable[[Inputs, BatchFn], BatchFn]] = {
         i.checkpoint("audience-totals"), sink),
     "hot-products": lambda i, sink: metrics.ranked_batches(sink),
     "gifts": lambda i, sink: metrics.gift_total_batches(
-        lambda: gifts.gift_dimension(i.lines("gifts", streaming=False)), i.checkpoint("gift-totals"), sink),
+        lambda: gifts.gift_dimension(i.lines("gifts", streaming=False, with_time=True)), i.checkpoint("gift-totals"), sink),
     "order-details": lambda i, sink: lookup_batches(
         lambda: i.spark.read.parquet(i.folder("order_table")), sink),
 }

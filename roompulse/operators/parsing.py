@@ -71,6 +71,14 @@ def _broken(record: Column) -> Column:
     return record.isNull()
 
 
+def _typed_once(record: Column, layout: dict[str, str]) -> tuple[Column, Column]:
+    """All fields of a record converted as ``typed``, and whether one of them lost its text: no conversion is made twice."""
+    typed = F.struct(*[_typed(record.getField(n), k).alias(n) for n, k in layout.items()])
+    texts = {n: record.getField(n) for n, k in layout.items() if k not in _TEXTUAL}
+    lost = [F.col("typed").getField(n).isNull() & t.isNotNull() & (F.trim(t) != "") for n, t in texts.items()]
+    return _once(typed).alias("typed"), reduce(or_, lost)
+
+
 def _faults(record: Column, layout: dict[str, str]) -> dict[str, Column]:
     """Per field, whether it holds text that is not of its type. Blank text counts as null."""
     out = {}
@@ -99,12 +107,14 @@ def parse_events(raw: DataFrame, value: str = "value", with_record_id: bool = Fa
     event = F.col("e")
     broken, faulty = _broken(event), _faulty(event, S.BEHAVIOR)
 
-    columns = {n: _typed(event.getField(n), k) for n, k in S.BEHAVIOR.items()}
+    typed, lost = _typed_once(event, S.BEHAVIOR)
+    columns = {n: F.col("typed").getField(n) for n in S.BEHAVIOR}
     if with_record_id:
         columns["id"] = F.col("record_id")
     for flag in ("isNew", "isN"):
         columns[flag] = F.coalesce(columns[flag], F.lit(0))
-    clean = staged.filter(~broken & ~faulty).select(*[c.alias(n) for n, c in columns.items()])
+    clean = (staged.filter(~broken).select("record_id", "e", typed).filter(~lost)
+             .select(*[c.alias(n) for n, c in columns.items()]))
 
     names = F.concat_ws(",", *[F.when(f, n) for n, f in _faults(event, S.BEHAVIOR).items()])
     bad = staged.filter(broken | faulty).select(
@@ -129,11 +139,12 @@ def parse_changes(raw: DataFrame, layout: dict[str, str], value: str = "value",
     event, element = F.col("e"), F.col("element")
     types = [t for t in S.CHANGE_TYPES if keep_deletes or t != "DELETE"]
     kept = event.getField("type").isin(types)
+    typed, lost = _typed_once(element, layout)
     clean = (staged.filter(~_broken(event) & kept)
              .select(event.getField("type").alias("type"),
                      F.explode(event.getField("data")).alias("element"))
-             .filter(element.isNotNull() & ~_faulty(element, layout))
-             .select(*[_typed(element.getField(n), k).alias(n) for n, k in layout.items()], "type"))
+             .filter(element.isNotNull()).select("type", "element", typed).filter(~lost)
+             .select(*[F.col("typed").getField(n).alias(n) for n in layout], "type"))
     bad = staged.filter(_broken(event) | kept).select(
         "raw",
         F.when(_broken(event), "not a JSON object")

@@ -26,7 +26,8 @@ def gift_dimension(lines: DataFrame, version: str | None = None) -> DataFrame:
     return latest_by(parsed, "id", "_read").drop("_read")
 
 
-def _rewards(events: DataFrame) -> DataFrame:
+def rewards(events: DataFrame) -> DataFrame:
+    """Gifts given in a room."""
     return with_props(only_event(events, S.LIVE_REWARD), S.ANCHOR, S.GIFT)
 
 
@@ -36,7 +37,7 @@ def _keyed(dimension: DataFrame) -> DataFrame:
 
 def gift_facts(events: DataFrame, dimension: DataFrame) -> DataFrame:
     """Each gift with its name and score, null where the gift is unknown. Also for streams."""
-    facts = _rewards(events).select("id", S.ANCHOR, S.GIFT, F.lit(1).alias("gifts"))
+    facts = rewards(events).select("id", S.ANCHOR, S.GIFT, F.lit(1).alias("gifts"))
     return facts.join(_keyed(dimension), S.GIFT, "left")
 
 
@@ -47,7 +48,7 @@ def gift_totals(events: DataFrame, dimension: DataFrame) -> DataFrame:
     the join. A stream in update mode can hold one aggregation only and looks each gift up.
     """
     dim = _keyed(dimension).drop("gift_name")
-    counted = _rewards(events).select(S.ANCHOR, S.GIFT, F.lit(1).cast("bigint").alias("n"))
+    counted = rewards(events).select(S.ANCHOR, S.GIFT, F.lit(1).cast("bigint").alias("n"))
     if not events.isStreaming:
         counted = counted.groupBy(S.ANCHOR, S.GIFT).agg(F.sum("n").alias("n"))
     joined = counted.join(dim, S.GIFT, "left")
@@ -61,7 +62,7 @@ def gift_facts_as_of(events: DataFrame, versions: DataFrame, *cells_ms: int) ->
 
     ``versions`` holds ``id, name, score, since`` (epoch ms), one row per change of a gift.
     """
-    facts = _rewards(events).select("id", S.ANCHOR, S.GIFT, "timestamp", F.lit(1).alias("gifts"))
+    facts = rewards(events).select("id", S.ANCHOR, S.GIFT, "timestamp", F.lit(1).alias("gifts"))
     dim = versions.select(F.col("id").alias(S.GIFT), F.col("name").alias("gift_name"), "score", "since")
     return as_of_join(facts, dim, S.GIFT, "timestamp", "since", *([cells_ms] if cells_ms else []))
 

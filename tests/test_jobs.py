@@ -1,6 +1,8 @@
 """Every job from staged records to its result table."""
 
 import tempfile
+import time
+from pathlib import Path
 
 import pytest
 from pyspark.sql import functions as F
@@ -13,8 +15,10 @@ from roompulse.functions.protobuf import encode_events
 from roompulse.operators.parsing import parse_changes
 from roompulse.plans import audience, etl, gifts, groupon, products, users
 from roompulse.sinks.tables import read_table
-from roompulse.sources.files import read_staged
+from roompulse.sources.files import read_lines, read_staged
+from roompulse.streaming.gifts import gift_facts_stream
 from roompulse.streaming.metrics import gift_total_batches
+from tests.streams import run_batches
 
 SF = "/root/testdata/sf0.001"
 
@@ -91,6 +95,8 @@ WANTED = {
     "hot-products": (lambda s: products.hot_products(clean(s)).filter(
         F.col("window_end") <= newest(products.product_events(clean(s)))), ["product_id", "window_start", "count", "sort"]),
     "group-purchases": (closed_groupons, ["user", "groupon", "order_id", "category", "amount"]),
+    "gift-facts": (lambda s: gifts.gift_facts(clean(s), gifts.gift_dimension(
+        D.gift_lines(s, SF).filter("value like '%,1'"))).filter("score is not null"), ["anchor_id", "gift_id", "gifts", "gift_name", "score"]),
     "gifts": (lambda s: gifts.gift_totals(clean(s), gifts.gift_dimension(
         D.gift_lines(s, SF).filter("value like '%,1'"))), ["anchor_id", "gifts", "points"]),
 }
@@ -152,6 +158,42 @@ def test_gift_totals_follow_a_dimension_that_changes(spark):
     assert seen == [[("a", 1, 2.0)], [("a", 2, 7.0)], [("a", 2, 7.0)]]
 
 
+def test_gifts_wait_for_their_line_over_restarts(spark):
+    """Facts before the dimension are given out once it comes; a later file changes the score of later facts only."""
+    base, checkpoint, seen = tempfile.mkdtemp(), tempfile.mkdtemp(), []
+    layout = "id string, eventId string, properties map<string,string>"
+
+    def step(facts, lines):
+        if facts:
+            spark.createDataFrame([(i, S.LIVE_REWARD, {S.ANCHOR: "a", S.GIFT: g}) for i, g in facts], layout).coalesce(
+                1).write.mode("append").parquet(f"{base}/events")
+        if lines:
+            spark.createDataFrame([(x,) for x in lines], "value string").coalesce(1).write.mode("append").text(f"{base}/lines")
+        df = gift_facts_stream(spark.readStream.schema(layout).parquet(f"{base}/events"),
+                               read_lines(spark, f"{base}/lines", with_time=True), salts=2)
+        new = []
+        run_batches(df, lambda b, n: new.extend((r["id"], r["score"]) for r in b.collect()), checkpoint=checkpoint)
+        seen.append(sorted(new))
+    (Path(base) / "lines").mkdir()
+    step([("1", "7"), ("2", "7"), ("3", "8")], [])
+    step([], ["7,rose,1.0"])
+    time.sleep(1.1)
+    step([], ["7,rose,5.0", "bad line"])
+    step([("4", "7"), ("5", "8")], [])
+    step([], ["8,car,9.0"])
+    assert seen == [[], [("1", 1.0), ("2", 1.0)], [], [("4", 5.0)], [("3", 9.0), ("5", 9.0)]]
+
+
+def test_last_written_file_holds(spark):
+    """Of several files of gift lines the one written last decides, whatever partition reads it."""
+    folder = tempfile.mkdtemp()
+    for name, score in (("z.txt", 1), ("a.txt", 2), ("m.txt", 3)):
+        (Path(folder) / name).write_text(f"7,rose,{score}.0\n")
+        time.sleep(0.05)
+    dim = gifts.gift_dimension(read_lines(spark, folder, streaming=False, with_time=True))
+    assert [tuple(r) for r in dim.collect()] == [("7", "rose", 3.0)]
+
+
 def test_order_job_equals_lookup(spark, world):
     """Every detail whose window has closed comes out once, with its order from the window or from the table."""
     got = results(spark, "order-details", inputs(spark, world))

@@ -116,6 +116,15 @@ def test_protobuf_round_trip(spark):
         n for n in S.BEHAVIOR if n != "isN"]
 
 
+def test_protobuf_keeps_zeros(spark):
+    """Zeros and empty text come back as they were, nulls as nulls."""
+    rows = [("a", 0.0, 0, "", 0), ("", -0.0, None, None, 1), (None, None, 5, "x", None)]
+    events = spark.createDataFrame(rows, "id string, latitude double, timestamp bigint, city string, isNew int")
+    back = decode_events(encode_events(events)).select(*events.columns)
+    want = [(*r[:4], r[4] or 0) for r in rows]
+    assert sorted(map(repr, map(tuple, back.collect()))) == sorted(map(repr, want))
+
+
 def test_protobuf_wire_format():
     fields = {f.name: (f.number, f.type) for f in message_class().DESCRIPTOR.fields}
     assert {n: t for n, (t, _) in fields.items()} == S.PROTO_TAGS
@@ -131,3 +140,16 @@ def test_map_column_rows():
     rows = [{"a": "1"}, None, {}, {"c": "3"}]
     for start in range(4):
         assert _maps(column.slice(start)) == rows[start:]
+
+
+def test_each_field_is_converted_once(spark):
+    """Of two wanted fields the plan holds the conversions of the record a single time."""
+    import re
+    spark.conf.set("spark.sql.debug.maxToStringFields", "1000")
+    raw = spark.createDataFrame([('{"type":"INSERT","data":[{"id":"1","money":"2.5"}]}',)], "value string")
+    plan = parse_changes(raw, S.ORDER_DETAIL).clean.select("id", "money")._jdf.queryExecution().optimizedPlan().toString()
+    numbers = [k for k in S.ORDER_DETAIL.values() if k in ("bigint", "int", "double")]
+    times = [k for k in S.ORDER_DETAIL.values() if k == "timestamp"]
+    assert len(re.findall("try_cast", plan)) == len(numbers) + 2 * len(times)
+    events = parse_events(raw).clean.select("latitude", "timestamp")._jdf.queryExecution().optimizedPlan().toString()
+    assert len(re.findall("try_cast", events)) == sum(k in ("bigint", "int", "double") for k in S.BEHAVIOR.values())
