@@ -17,6 +17,8 @@ PROPERTY_NAMES = {
     "checkpoint_interval_ms": "checkpoint.interval",
     "checkpoint_path": "checkpoint.path",
     "max_offsets": "max.offsets.per.trigger",
+    "database": "sink.database.connect",
+    "table": "sink.database.table",
 }
 
 
@@ -32,6 +34,8 @@ class JobConfig:
     checkpoint_interval_ms: int = 60_000
     checkpoint_path: str | None = None
     max_offsets: int | None = None          # records per micro-batch, or a first run reads all there is at once
+    database: str | None = None             # module:function that makes a DB-API connection, for results in a database
+    table: str | None = None                # their table
     client: tuple[tuple[str, str], ...] = ()    # all other properties, for the Kafka client
 
     @classmethod

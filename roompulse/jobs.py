@@ -20,6 +20,7 @@ from roompulse.config import JobConfig
 from roompulse.operators.parsing import parse_changes, parse_events
 from roompulse.plans import audience, etl, gifts, groupon, users
 from roompulse.session import tune
+from roompulse.sinks.database import FLUSH_MS, database_rows
 from roompulse.sinks.kafka import kafka_writer, routed_messages
 from roompulse.sinks.tables import BatchFn, batch_table
 from roompulse.sources import kafka
@@ -119,12 +120,16 @@ def _show(batch: DataFrame, batch_id: int) -> None:
 def start(job: str, inputs: Inputs, sink: BatchFn | None = None, **trigger) -> StreamingQuery:
     """Start one job.
 
-    Its results go to ``sink`` (``sinks.tables.jdbc_rows`` for a database), else to the folder
-    ``results`` if there is one, else the first rows of each micro-batch are printed. A ``sink`` must
-    read its whole micro-batch.
+    Its results go to ``sink``, else to the database table that the properties name (``sink.database.connect`` and
+    ``sink.database.table``; every two seconds), else to the folder ``results`` if there is one, else the first rows of each
+    micro-batch are printed. A ``sink`` must read its whole micro-batch.
     """
     tune(inputs.spark, streaming=True)
-    trigger = trigger or inputs.config.trigger
+    config = inputs.config
+    if sink is None and config.database:
+        sink = database_rows(inputs.spark, config.database, config.require("table"), job)
+        trigger = trigger or {"processingTime": f"{FLUSH_MS} milliseconds"}
+    trigger = trigger or config.trigger
     checkpoint = inputs.checkpoint(job)
     if job == "etl":
         routed = etl.etl_route(inputs.events_with_id())

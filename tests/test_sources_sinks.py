@@ -1,16 +1,20 @@
 """Readers and writers, as far as they go without a broker or a database."""
 
+import json
 import tempfile
+from collections import Counter
 
 import pytest
 from pyspark.sql import functions as F
 
+from roompulse import jobs
 from roompulse import schemas as S
 from roompulse import tables as D
 from roompulse.config import JobConfig
 from roompulse.functions.protobuf import decode_events
 from roompulse.plans import etl, users
 from roompulse.sinks import tables as sinks
+from roompulse.sinks.database import EpochWriter, database_rows
 from roompulse.sinks.kafka import routed_messages
 from roompulse.sources import files, kafka
 from tests.streams import run, run_batches
@@ -118,3 +122,40 @@ def test_routed_tables(spark):
     out = tempfile.mkdtemp()
     run_batches(etl.etl_route(stream), sinks.routed_tables(out))
     assert {r["route"] for r in sinks.read_table(spark, out).collect()} == {"product", "gift"}
+
+
+def test_database_rows_count_once(spark, tmp_path):
+    """A micro-batch that is run again, or whose first attempt staged rows and died, leaves its rows once."""
+    file = tmp_path / "tables.json"
+    write = database_rows(spark, f"tests.recording:connect:{file}", "users", "flags", batchsize="7")
+    other = database_rows(spark, f"tests.recording:connect:{file}", "users", "other job")
+    rows = lambda n: spark.range(n).select("id", F.concat(F.lit("d"), "id").alias("device"))
+    write(rows(20), 0)
+    lost = EpochWriter(["id", "device"], {"connect": f"tests.recording:connect:{file}", "table": "users", "job": "flags", "epoch": "1"})
+    lost.write(iter([(900, "lost"), (901, "lost")]))     # its task ended, its commit never came
+    for _ in range(2):
+        write(rows(30), 1)
+    other(rows(3), 0)
+    tables = json.loads(file.read_text())
+    assert Counter(r["id"] for r in tables["users"]) == Counter([*range(20), *range(30), *range(3)])
+    assert sorted((r["job"], r["epoch"]) for r in tables["users_epochs"]) == [("flags", 0), ("flags", 1), ("other job", 0)]
+    assert {r["device"] for r in tables["users_staged"]} == {"lost"}
+    lost.abort([lost.write(iter([(902, "gone")]))])
+    assert {r["device"] for r in json.loads(file.read_text())["users_staged"]} == {"lost"}
+
+
+def test_job_writes_to_the_database_of_its_properties(spark, tmp_path):
+    folder, file = str(tmp_path / "in"), tmp_path / "tables.json"
+    (D.raw_behavior(spark, SF).withColumns({
+        "key": F.lit(None).cast("binary"), "timestamp": F.current_timestamp(),
+        "timestampType": F.lit(0)}).select(*S.KAFKA_RECORD).coalesce(2).write.parquet(folder))
+    path = tmp_path / "job.properties"
+    path.write_text(f"checkpoint.path={tmp_path}/progress\nsink.database.connect=tests.recording:connect:{file}\n"
+                    "sink.database.table=user_events\n")
+    given = jobs.Inputs(spark, JobConfig.from_properties(path), {}, lambda _: files.read_staged(spark, folder))
+    for _ in range(2):      # started again, it adds nothing
+        query = jobs.start("new-user-flags", given, availableNow=True)
+        assert query.awaitTermination(120) and query.exception() is None
+    want = users.flag_new_users(etl.clean_events(D.raw_behavior(spark, SF)).clean)
+    got = json.loads(file.read_text())["user_events"]
+    assert len(got) == want.count() and sum(r["isNew"] for r in got) == want.filter("isN = 1").count()
