@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 # What separates words everywhere in this package.
@@ -18,3 +18,11 @@ def words(text: Column) -> Column:
 def crc_fold(key: Column, folds: int) -> Column:
     """crc32 of the key as text, modulo ``folds``; a null key counts as the empty text."""
     return F.pmod(F.crc32(F.coalesce(key.cast("string"), F.lit("")).cast("binary")), F.lit(folds))
+
+
+def free_name(docs: DataFrame, name: str) -> str:
+    """``name``, with as many underscores before it as keep it from clashing with a column of ``docs``."""
+    taken = {c.lower() for c in docs.columns}
+    while name.lower() in taken:
+        name = "_" + name
+    return name

@@ -11,6 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from roompulse.llm.columns import free_name
 from roompulse.session import staged
 
 PREFIX = 64
@@ -61,7 +62,8 @@ def without_copies(docs: DataFrame, key: str = "doc_id", text: str = "text") ->
 
     Rows without a key cannot be named and stay.
     """
-    gone = (exact_groups(docs, key, text).groupBy(F.col(key).alias("__gone"))
-            .agg(F.max("kept").alias("__kept")).filter("NOT __kept").select("__gone"))
+    name = free_name(docs, "__gone")
+    gone = (exact_groups(docs, key, text).groupBy(F.col(key).alias(name))
+            .agg(F.max("kept").alias("any")).filter(~F.col("any")).select(name))
     gone = staged(gone, "dedup-gone")
-    return docs.join(gone, docs[key] == F.col("__gone"), "left_anti")
+    return docs.join(gone, docs[key] == gone[name], "left_anti")

@@ -14,7 +14,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from roompulse.llm.columns import WORD
+from roompulse.llm.columns import WORD, free_name
 from roompulse.session import staged
 
 # Weights of the sources in code point order, repeating.
@@ -204,8 +204,9 @@ def repeated(docs: DataFrame, key: str = "doc_id", text: str = "text",
     """
     one = (sizes(docs, key, text, source).filter("key IS NOT NULL").groupBy("key")
            .agg(F.min(F.struct("source", "size")).alias("d")).select("key", "d.source", "d.size"))
-    plan = mixed_sizes(one).select(F.col("key").alias("__key"), F.col("copies").alias("__copies"))
-    rows = docs.join(plan, docs[key] == F.col("__key"), "left")
-    times = F.sequence(F.lit(1), F.coalesce(F.col("__copies"), F.lit(1)).cast("int"))
-    return (rows.filter(F.coalesce(F.col("__copies"), F.lit(1)) > 0)
-            .withColumn("__turn", F.explode(times)).select(*[docs[c] for c in docs.columns]))
+    mine, copies, turn = (free_name(docs, n) for n in ("__key", "__copies", "__turn"))
+    plan = mixed_sizes(one).select(F.col("key").alias(mine), F.col("copies").alias(copies))
+    rows = docs.join(plan, docs[key] == F.col(mine), "left")
+    times = F.sequence(F.lit(1), F.coalesce(F.col(copies), F.lit(1)).cast("int"))
+    return (rows.filter(F.coalesce(F.col(copies), F.lit(1)) > 0)
+            .withColumn(turn, F.explode(times)).select(*[docs[c] for c in docs.columns]))

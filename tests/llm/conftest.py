@@ -3,7 +3,7 @@ import pytest
 DOCS = "doc_id bigint, text string, lang string, source string, n_chars bigint"
 # Names that operators use inside must not trip over columns of the input.
 CLASH = ("key id n size kept seed block copies target source_size rate word body doc words full head group_size "
-         "component gap best left right pos low held_out ids text_sha256").split()
+         "component gap best left right pos low held_out ids text_sha256 __gone __key __copies __turn ___gone").split()
 
 
 def with_clashes(df):

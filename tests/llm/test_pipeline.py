@@ -57,6 +57,25 @@ def test_pieces_of_the_result(stages):
         assert r["ids"] == library.encode(texts[r["doc_id"]]) and r["round_trip"]
 
 
+def test_stages_take_odd_rows(spark, edge_docs, no_docs):
+    """Nulls in any column, empty and very long texts, repeated rows and clashing names go through all stages."""
+    docs, none = edge_docs, no_docs
+    for name, stage in corpus_pipeline.STAGES[1:-1]:    # the rules come last here: they leave little
+        docs, none = staged(stage(spark, docs, SF), "test"), staged(stage(spark, none, SF), "test")
+        assert docs.columns == edge_docs.columns and none.count() == 0
+        ids = [r["doc_id"] for r in docs.select("doc_id").collect()]
+        if name == "exact dedup":       # empty texts are one group, whose largest id is 2; rows without an id stay
+            assert 2 in ids and 1 not in ids and ids.count(7) == 2 and 6 not in ids and ids.count(None) == 2
+        elif name == "near dedup":      # 8 is 7 with one word more
+            assert ids.count(7) == 2 and 8 not in ids and ids.count(None) == 2
+    last = corpus_pipeline.STAGES[-1][1](spark, docs, SF)
+    assert last.count() == docs.count() and last.filter("NOT round_trip").count() == 0
+    assert corpus_pipeline.STAGES[-1][1](spark, no_docs, SF).count() == 0
+    good = corpus_pipeline.STAGES[0][1](spark, edge_docs, SF)
+    assert good.columns == edge_docs.columns and good.count() == 0      # none of them has a sentence that ends
+    assert corpus_pipeline.STAGES[0][1](spark, no_docs, SF).count() == 0
+
+
 def test_queries_are_registered():
     names = set(__spark_entry__.queries())
     assert "pipeline" in names
