@@ -75,7 +75,7 @@ JOBS: dict[str, Job] = {
     "quarantine-orders": (lambda i: parse_changes(
         i.raw(i.config.require("main_topic")), S.ORDER_MAIN).bad, "append"),
     "new-user-flags": (lambda i: users.user_event_rows(
-        metrics.flag_new_users_stream(i.events_with_id())), "append"),
+        metrics.flag_new_users_stream(i.events_with_id(), salts=8)), "append"),
     "new-user-flags-approx": (lambda i: users.user_event_rows(
         metrics.flag_new_users_approx_stream(i.events_with_id())), "append"),
     "new-user-count": (lambda i: users.new_user_totals_exploded(i.events()), "update"),

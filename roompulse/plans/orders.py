@@ -27,12 +27,6 @@ def order_window_join(detail: DataFrame, main: DataFrame, size_ms: int = SIZE_MS
                             "order_id", "oid")
 
 
-def pad_main(detail: DataFrame, like: DataFrame) -> DataFrame:
-    """Details with null order columns, in the shape of a join result."""
-    return detail.withColumns({
-        c: F.lit(None).cast(like.schema[c].dataType) for c in like.columns if c not in detail.columns})
-
-
 def fill_main(rows: DataFrame, orders: DataFrame) -> DataFrame:
     """Look up the orders of rows that met none; ``found_by`` tells where an order came from.
 

@@ -269,13 +269,6 @@ def test_routes_to_tables(spark, events, source):
     assert bag(got) == bag(etl.etl_route(events).select("id", "route"))
 
 
-def _closing(df, time, extra):
-    """Add one far later row, so that every earlier window closes."""
-    last = df.agg(F.max(time)).first()[0]
-    row = df.limit(1).withColumn(time, F.lit(last + extra))
-    return df.unionByName(row), last
-
-
 def test_order_window_join(spark):
     detail = D.order_detail(spark, SF).drop("ingest_batch")
     main = D.order_main(spark, SF)
