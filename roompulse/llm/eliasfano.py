@@ -7,7 +7,7 @@ import numpy as np
 U = np.uint64
 _BITS = np.array([[i for i in range(8) if b >> i & 1] + [0] * (8 - bin(b).count("1")) for b in range(256)],
                  np.int64)
-_COUNT = np.array([bin(b).count("1") for b in range(256)], np.int64)
+_COUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
 def encode(values: np.ndarray) -> dict[str, np.ndarray]:
@@ -19,11 +19,11 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     values = np.asarray(values, np.int64)
     n = len(values)
     top = int(values[-1]) if n else 0
-    low = max(0, int(top // max(1, n)).bit_length() - 1)
+    low = min(56, max(0, int(top // max(1, n)).bit_length() - 1))      # a 64-bit window holds 57 from any bit
     packed = np.zeros(n * low // 8 + 9, np.uint8)
     if n and low:
-        for at in range(0, n, 1 << 18):     # blocks of whole bytes
-            part = values[at:at + (1 << 18)]
+        for at in range(0, n, 1 << 16):     # blocks of whole bytes
+            part = values[at:at + (1 << 16)]
             bits = ((part[:, None] >> np.arange(low)) & 1).astype(np.uint8)
             row = np.packbits(bits.ravel(), bitorder="little")
             packed[at * low // 8:at * low // 8 + len(row)] = row
@@ -31,7 +31,7 @@ def encode(values: np.ndarray) -> dict[str, np.ndarray]:
     flags = np.zeros(words * 64, np.uint8)
     flags[(values >> low) + np.arange(n)] = 1
     high = np.packbits(flags, bitorder="little")
-    ones = _COUNT[high].reshape(-1, 8).sum(axis=1)
+    ones = _COUNT[high].reshape(-1, 8).sum(axis=1, dtype=np.int64)
     rank = np.concatenate([[0], np.cumsum(ones)])[:-1]
     return {"head": np.array([n, low], np.int64), "low": packed, "high": high, "rank": rank.astype(np.int64)}
 
@@ -57,11 +57,11 @@ class EliasFano:
         """Place of the ``k``-th (from 0) one or zero of the bit vector."""
         counts = self.rank if ones else self.zeros
         word = np.searchsorted(counts, k, "right") - 1
-        rest = k - counts[word]
+        rest = (k - counts[word]).astype(np.uint8)
         octets = self.high.reshape(-1, 8)[word]
         if not ones:
             octets = ~octets
-        sums = np.cumsum(_COUNT[octets], axis=1)
+        sums = np.cumsum(_COUNT[octets], axis=1, dtype=np.uint8)
         octet = (sums <= rest[:, None]).sum(axis=1)
         rows = np.arange(len(k))
         rest = rest - np.where(octet > 0, sums[rows, octet - 1], 0)

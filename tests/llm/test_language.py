@@ -23,45 +23,63 @@ def test_elias_fano_round_trip(n, top):
     assert code.find(ask).tolist() == [where.get(int(x), -1) for x in ask]
 
 
-def brute_scores(docs):
-    """Add-one words, and Witten-Bell pairs without quantisation."""
+def brute_scores(docs, order):
+    """Add-one words, and Witten-Bell n-grams up to ``order`` words without quantisation."""
     fold = lambda d: zlib.crc32(("" if d is None else str(d)).encode()) % 7
     split = [(d, fold(d) == 2, (t or "").encode().lower().split() + ["</s>"]) for d, t in docs]
-    one, two, before = collections.Counter(), collections.Counter(), collections.Counter()
+    one, many, before = collections.Counter(), collections.Counter(), collections.Counter()
     kinds = collections.defaultdict(set)
+
+    def contexts(tokens, i):
+        row = ["<s>", *tokens]
+        return [tuple(row[i + 2 - k:i + 1]) for k in range(2, order + 1) if i + 2 - k >= 0]
+
     for _, out, tokens in split:
         if not out:
             one.update(tokens)
-            for a, b in zip(["<s>", *tokens], tokens):
-                two[a, b] += 1
-                before[a] += 1
-                kinds[a].add(b)
+            for i, t in enumerate(tokens):
+                for c in contexts(tokens, i):
+                    many[c, t] += 1
+                    before[c] += 1
+                    kinds[c].add(t)
     n, v = sum(one.values()), len(one)
     result = []
     for d, out, tokens in split:
         base = [(one[t] + 1) / (n + v + 1) for t in tokens]
-        mix = [(two[a, b] + len(kinds[a]) * p) / (before[a] + len(kinds[a])) if kinds[a] else p
-               for a, b, p in zip(["<s>", *tokens], tokens, base)]
+        mix = list(base)
+        for i, t in enumerate(tokens):
+            for c in contexts(tokens, i):
+                if before[c]:
+                    mix[i] = (many[c, t] + len(kinds[c]) * mix[i]) / (before[c] + len(kinds[c]))
         result.append((d, out, len(tokens), sum(one[t] > 0 for t in tokens), n,
                        sum(map(math.log10, base)), sum(map(math.log10, mix))))
     return result
 
 
-@pytest.mark.parametrize("which", ["edge", "table"])
-def test_scores_against_brute_force(which, edge_docs, spark, sf_dir):
+@pytest.mark.parametrize("which,order,options", [
+    ("edge", 3, {}), ("table", 2, {}), ("table", 3, {}), ("table", 4, {"entries": 20_000}),
+    ("table", 3, {"key_bits": 24}), ("edge", 1, {})])
+def test_scores_against_brute_force(which, order, options, edge_docs, spark, sf_dir):
     docs = edge_docs if which == "edge" else spark.read.parquet(f"{sf_dir}/documents.parquet").limit(400)
-    want = sorted(brute_scores([(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]), key=repr)
-    got = sorted((tuple(r) for r in language_model.scored(docs, parts=3).collect()), key=repr)
+    texts = [(r["doc_id"], r["text"]) for r in docs.select("doc_id", "text").collect()]
+    want = sorted(brute_scores(texts, order), key=repr)
+    got = sorted((tuple(r) for r in language_model.scored(docs, parts=3, order=order, **options).collect()), key=repr)
     assert len(got) == len(want)
     for g, w in zip(got, want):
         assert g[:5] == w[:5]
         assert g[5] == pytest.approx(w[5], rel=1e-9, abs=1e-9)
-        assert g[6] == pytest.approx(w[6], abs=0.6 * g[2] / language_model.GRID)    # half a step per token
+        # Half a step per token and level.
+        assert g[6] == pytest.approx(w[6], abs=0.6 * max(1, order - 1) * g[2] / language_model.GRID)
 
 
-def test_pairs_help_and_empty_tables_pass(spark, sf_dir, no_docs):
-    rows = language_model.scored(spark.read.parquet(f"{sf_dir}/documents.parquet")).filter("held_out").collect()
-    assert sum(r["score"] for r in rows) > sum(r["base_score"] for r in rows)
+def test_pairs_and_triples_help_and_empty_tables_pass(spark, sf_dir, no_docs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    rows = language_model.scored(docs).filter("held_out").collect()
+    pairs = language_model.scored(docs, order=2).filter("held_out").collect()
+    base, two, three = (sum(x) for x in ((r["base_score"] for r in rows), (r["score"] for r in pairs),
+                                         (r["score"] for r in rows)))
+    print(base, two, three)
+    assert three > two > base
     assert language_model.scored(no_docs).count() == 0
 
 
