@@ -2,7 +2,7 @@
 
 Markup is stripped into lines, one per block element. The text lengths of the lines, summed over a sliding window,
 rise where the article begins (surge) and fall to nothing where it ends (dive); lines between a surge and its dive
-are kept. Text that markup names as something else (menus, notices, forms, comments, ...) has length 0, and text that
+are kept, with what stands between them in the same container. Text that markup names as something else (menus, notices, forms, comments, ...) has length 0, and text that
 markup names as the article always counts as dense, so that its short paragraphs make no dive.
 """
 
@@ -19,32 +19,51 @@ from pyspark.sql import functions as F
 BLOCKS = frozenset("""address article aside blockquote body center dd details dialog div dl dt fieldset
 figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html li main nav ol p pre section summary table
 tbody td tfoot th thead title tr ul""".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math select object".split())
+RAW = frozenset("script style textarea title noscript template iframe svg select".split())
 OUTSIDE = frozenset("nav footer aside form dialog button menu head".split())
 HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 SOFT = frozenset("p li dt dd td th tr option".split())   # closed by the next element of their kind
-MARKS = re.compile(
-    r"""(?:^|[\s_-])(?:ads?|advert\w*|sponsor\w*|promo\w*|banner|sidebar|menu|nav|navbar|navigation|breadcrumbs?|
-    footer|masthead|cookies?|consent|notice|notices|alert|popup|modal|newsletter|subscribe|subscription|share|sharing|
-    social|related|recommended|comments?|respond|replies|login|signin|signup|search|widget|toolbar|pagination|pager|
-    copyright|disclaimer|contentinfo|complementary|skip|site-header|page-header)(?:$|[\s_-])""",
-    re.X | re.I)
+MARKS = frozenset("""ad ads advert adverts advertisement advertisements advertising sponsor sponsors sponsored promo promos
+promotion promotions banner banners sidebar menu menus nav navbar navigation breadcrumb breadcrumbs footer masthead cookie
+cookies consent notice notices alert alerts popup modal newsletter subscribe subscription share sharing social related
+recommended comment comments respond replies login signin signup search widget widgets toolbar pagination pager copyright
+disclaimer contentinfo complementary skip""".split())
+HEADERS = frozenset("site-header page-header".split())
+# Words after a mark that say no more than that it is a part of the page.
+PARTS = frozenset("""area bar block blocks body bottom box button buttons center column container content count feed field
+fixed form group holder icon icons inner inline item items large left link links list main outer panel primary right row
+secondary section slot small space text title top unit wrap wrapper zone""".split())
+WORDS = re.compile(r"[\s_-]+")
+HOMES = frozenset("article body center div main section td".split())     # what holds the blocks of one text
 TAG = re.compile(r"""<!--.*?(?:-->|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^<>"']|"[^"]*"|'[^']*')*)>""",
                  re.S)
 NAMED = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.I)
 HIDDEN = re.compile(r"""(?:^|\s)hidden(?:\s|=|$)|aria-hidden\s*=\s*["']?true|display\s*:\s*none""", re.I)
 STATE = re.compile(r"(?:^|[_-])(?:has|with|without|no|not|hide|hides)[_-]|[_-](?:open|opened|closed|collapsed|enabled|disabled)$",
                    re.I)    # a token that says what an element has or lacks, not what it is
-REPLIES = re.compile(r"(?:^|[\s_-])(?:comments?|respond|replies)(?:$|[\s_-])", re.I)
+REPLIES = frozenset("comment comments respond replies".split())
 SPACES = re.compile(r"\s+")
 
 WINDOW = 3      # lines summed
 SURGE = 80      # characters outside links in a window where an article without markup begins
 
 
-def _lines(page: str) -> list[tuple[str, int]]:
-    """``(text, weight)`` of each block in page order; weight 0 is never the article.
+def _mark(token: str) -> str | None:
+    """The mark that a token of class, id or role names: its last word, other than numbers and words for parts. What stands
+    before tells which one it is; a mark before another noun (``share-price``) is none."""
+    token = token.lower()
+    if token in HEADERS:
+        return token
+    words = [w for w in WORDS.split(token) if w and not w.isdigit()]
+    while len(words) > 1 and words[-1] in PARTS:
+        words.pop()
+    return words[-1] if words and words[-1] in MARKS else None
+
+
+def _lines(page: str) -> list[tuple[str, int, int]]:
+    """``(text, weight, home)`` of each block in page order; home is the container that holds it, -1 if the block is marked
+    as something else than the article, which makes its weight 0.
 
     A class, id or role marks no noise where its element holds most of the page's text outside links and the page names
     no article: such a name belongs to the layout. Readers' replies may be longer than the article and stay marked.
@@ -57,10 +76,11 @@ def _lines(page: str) -> list[tuple[str, int]]:
         layout.add(wrong)
 
 
-def _weighted(page: str, layout: set[int]) -> tuple[list[tuple[str, int]], int | None]:
+def _weighted(page: str, layout: set[int]) -> tuple[list[tuple[str, int, int]], int | None]:
     """The lines, and where an element begins that is marked as noise but holds most of the text; ``layout`` are
     places of elements whose marks do not count."""
-    lines: list[tuple[str, int]] = []
+    lines: list[tuple[str, int, int]] = []
+    homes: list[tuple[str, int]] = [("", 0)]    # open containers and where they begin
     parts: list[str] = []
     linked = 0
     skip: list[str] = []        # open elements whose text does not count, outermost first
@@ -89,7 +109,7 @@ def _weighted(page: str, layout: set[int]) -> tuple[list[tuple[str, int]], int |
                     weight = max(SURGE, len(text))
                 else:
                     weight = max(0, len(text) - 2 * linked)
-                lines.append((text, weight))
+                lines.append((text, weight, -1 if skip or (heads and not heading) else homes[-1][1]))
             parts.clear()
         linked = 0
 
@@ -133,6 +153,12 @@ def _weighted(page: str, layout: set[int]) -> tuple[list[tuple[str, int]], int |
         flush()
         if name in HEADINGS:
             heading = not closing
+        if name in HOMES and not closing:
+            homes.append((name, m.start() + 1))
+        elif name in HOMES:
+            last = next((i for i in range(len(homes) - 1, 0, -1) if homes[i][0] == name), None)
+            if last is not None:
+                del homes[last:]
         if closing:
             if name in skip:
                 del skip[len(skip) - 1 - skip[::-1].index(name):]
@@ -170,7 +196,7 @@ def _weighted(page: str, layout: set[int]) -> tuple[list[tuple[str, int]], int |
 def _noise_names(attributes: str) -> list[str]:
     """The tokens of class, id and role that name noise."""
     return [x for a, b, c in NAMED.findall(attributes) for x in (a or b or c).split()
-            if MARKS.search(x) and not STATE.search(x)]
+            if _mark(x) and not STATE.search(x)]
 
 
 def _marked(attributes: str, layout: bool = False) -> bool:
@@ -181,7 +207,7 @@ def _marked(attributes: str, layout: bool = False) -> bool:
 
 def _named(attributes: str) -> bool:
     """Whether only names mark an element, and none of them names readers' replies."""
-    return HIDDEN.search(attributes) is None and not any(REPLIES.search(x) for x in _noise_names(attributes))
+    return HIDDEN.search(attributes) is None and not any(_mark(x) in REPLIES for x in _noise_names(attributes))
 
 
 def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str:
@@ -189,30 +215,41 @@ def main_text(page: str | None, window: int = WINDOW, surge: int = SURGE) -> str
 
     A surge is a line with weight whose window sum reaches ``surge`` after a line outside the article; a dive is a
     line where the sum has fallen to 0, or the page's end. Where no window reaches ``surge`` the page is
-    all short text and the largest window sum serves as the height of a surge.
+    all short text and the largest window sum serves as the height of a surge. Short blocks before a surge or
+    after a dive (a title, a list of links, the paragraphs after it) belong to the article too where a container holds
+    them and a dense block of it, from the container's first line with weight to its last. Very long pages are read whole, in time that grows with their length.
     """
     lines = _lines(page or "")
-    weights = [w for _, w in lines]
+    weights = [w for _, w, _ in lines]
     sums = [sum(weights[i:i + window]) for i in range(len(weights))]
     height = min(surge, max(sums, default=0))
     if not height:
         return ""
-    kept: list[str] = []
+    kept = [False] * len(lines)
     inside = False
-    for (text, weight), total in zip(lines, sums):
+    first: dict[int, int] = {}      # lines where a container's text begins and ends
+    last: dict[int, int] = {}
+    dense: set[int] = set()         # containers that hold a dense block of the article
+    for i, ((_, weight, home), total) in enumerate(zip(lines, sums)):
         if not inside:
             inside = weight > 0 and total >= height
         elif total == 0:
             inside = False
-        if inside and weight > 0:
-            kept.append(text)
-    return "\n\n".join(kept)
+        kept[i] = inside and weight > 0
+        if weight >= surge and kept[i]:
+            dense.add(home)
+        if weight > 0:
+            first.setdefault(home, i)
+            last[home] = i
+    return "\n\n".join(text for i, (text, _, home) in enumerate(lines)
+                       if kept[i] or (home in dense and first[home] <= i <= last[home]))
 
 
 def extracted(pages: DataFrame, key: str = "page_id", url: str = "url", page: str = "html") -> DataFrame:
     """``(key, url, text, n_chars)`` for each row of ``pages``, row by row, from the whole page.
 
-    Rows that repeat are extracted alike; null keys and urls are passed on; other columns are ignored.
+    Rows that repeat are extracted alike; null keys and urls are passed on; other columns are ignored. A null or empty page
+    gives "", an empty table an empty result.
     """
     def run(batches):
         for batch in batches:

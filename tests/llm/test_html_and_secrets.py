@@ -55,6 +55,38 @@ def test_noise_inside_articles_and_broken_markup():
     assert len(main_text("<p>" + "word " * 300_000 + "</p>")) == 1_499_999
 
 
+def test_article_blocks_whose_names_only_sound_like_noise():
+    story = "This sentence is part of the story and goes on for quite a while, as sentences in stories do."
+    for block in ('<p class="notice-of-intent">{}</p>', '<p class="social-history">{}</p>', '<div class="login-history">{}</div>',
+                  '<p><span class="share-price">{}</span></p>', '<p><math>{}</math></p>', '<object><p>{}</p></object>',
+                  '<div id="search_results_of_1999">{}</div>', '<p class="nav-al">{}</p>'):
+        for text in ("x = 5", story):
+            page = f"<body><article><p>{story}</p>{block.format(text)}<p>End.</p></article></body>"
+            assert main_text(page) == f"{story}\n\n{text}\n\nEnd.", (block, text)
+    for name in ("ad", "ad-slot-3", "top_ads", "share-buttons", "comments-area", "cookie-notice", "Related-Links", "site-header"):
+        page = f'<body><article><p>{story}</p><div class="{name}">Noise</div><p>End.</p></article></body>'
+        assert main_text(page) == f"{story}\n\nEnd.", name
+
+
+def test_link_lists_and_short_ends_without_an_article_element():
+    story = "This sentence is part of the story and goes on for quite a while, as sentences in stories do."
+    links = "<ul>" + "".join(f"<li><a href={i}>Source {i}</a></li>" for i in range(4)) + "</ul>"
+    page = f"""<body><div>{links}</div><div><p>{story}</p><p>{story}</p>{links}<p>The end.</p></div>
+    <div>{links}</div><div><a href=9>Imprint</a></div></body>"""
+    sources = "\n\n".join(f"Source {i}" for i in range(4))
+    assert main_text(page) == f"{story}\n\n{story}\n\n{sources}\n\nThe end."
+    # Links that no text follows are navigation.
+    assert main_text(f"<body><p>{story}</p><p>{story}</p>{links}</body>") == f"{story}\n\n{story}"
+
+
+def test_pages_renamed_to_divs(spark, sf_dir):
+    """The same text without the article element, on all pages."""
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").collect()
+    as_div = [main_text(re.sub(r"(</?)article\b", r"\1div", r["html"])) for r in pages]
+    same = sum(a == main_text(r["html"]) for a, r in zip(as_div, pages))
+    assert same == len(pages), (same, len(pages))
+
+
 def test_pages_with_nulls_and_clashing_columns(spark):
     rows = [(1, "u", None), (None, None, "<p>a</p>"), (2, "u", ""), (2, "u", "<p>b</p>"), (2, "u", "<p>b</p>")]
     pages = with_clashes(spark.createDataFrame(rows, "page_id bigint, url string, html string"))
