@@ -3,7 +3,7 @@
 Everything is DataFrame work. Groups are counted with partial aggregates, so a group of copies that
 holds a third of all rows leaves every task as one row. What rows are joined with is written to the shared
 folder first: both join sides are then shuffled for the join alone, and adaptive execution can split a
-hot key.
+hot key. Texts never go through a shuffle, only their hashes do.
 """
 
 from __future__ import annotations
@@ -15,10 +15,24 @@ from roompulse.llm.columns import free_name
 from roompulse.session import staged
 
 PREFIX = 64
+SMALL = 1 << 20         # (length, prefix hash) groups that may go to every task: 24 bytes each
+
+
+def _full(rows: DataFrame, shared: DataFrame, small: int) -> DataFrame:
+    """``rows`` with the full hash of ``body`` where (size, head) is in ``shared``, without ``body``. Texts stay in the scan:
+    few groups go to every task, and only what they meet is read in full; with more groups than that every text is hashed
+    where it lies, and the hashes meet the groups."""
+    digest = F.unhex(F.sha2("body", 256))
+    if shared.count() <= small:
+        rows = rows.join(F.broadcast(shared), ["size", "head"], "left").withColumn("full", digest)
+    else:
+        rows = (rows.select("key", "size", "head", digest.alias("full"), "more")
+                .join(shared.hint("merge"), ["size", "head"], "left"))
+    return rows.select("key", "size", "more", F.when(F.col("alive"), F.col("full")).alias("full"))
 
 
 def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
-                 prefix: int = PREFIX, carry: dict[str, Column] | None = None) -> DataFrame:
+                 prefix: int = PREFIX, carry: dict[str, Column] | None = None, small: int = SMALL) -> DataFrame:
     """One row ``(key, keep_id, group_size, kept)`` for each row of ``docs``; other columns are ignored.
 
     ``carry`` names expressions of the row that the result shall hold as well.
@@ -29,7 +43,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
 
     1. Rows are counted by length in bytes; a length that occurs once is done.
     2. Rows of the other lengths are counted by (length, hash of the first ``prefix`` characters).
-    3. The texts of rows that still share both are hashed in full (SHA-256) and grouped.
+    3. The texts of rows that still share both are hashed in full (SHA-256) and grouped; with more than ``small`` such
+       groups all texts are hashed, so that none has to move.
     """
     body = F.coalesce(F.col(text), F.lit(""))
     carry = carry or {}
@@ -42,10 +57,8 @@ def exact_groups(docs: DataFrame, key: str = "doc_id", text: str = "text",
     shared = staged(docs.select(size, head).join(lengths, "size", "left_semi")
                     .groupBy("size", "head").agg(F.count(F.lit(1)).alias("n"))
                     .filter("n > 1").select("size", "head", F.lit(True).alias("alive")), "dedup-heads")
-    rows = staged(docs.select(F.col(key).alias("key"), size, head, body.alias("body"), more)
-                  .join(shared, ["size", "head"], "left")
-                  .select("key", "size", "more", F.when(F.col("alive"), F.unhex(F.sha2("body", 256)))
-                          .alias("full")), "dedup-rows")
+    rows = staged(_full(docs.select(F.col(key).alias("key"), size, head, body.alias("body"), more), shared, small),
+                  "dedup-rows")
     groups = staged(rows.filter("full IS NOT NULL").groupBy("size", "full").agg(
         F.max("key").alias("keep_id"), F.count(F.lit(1)).alias("group_size")), "dedup-groups")
     alone = rows.filter("full IS NULL").select(

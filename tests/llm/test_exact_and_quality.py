@@ -120,3 +120,21 @@ def test_lines_of_a_megabyte_take_seconds(spark, filler):
         assert quality.judged(docs, failing=failing).count() == 1
         quality.judged(docs, failing=failing).write.format("noop").mode("overwrite").save()
         assert time.perf_counter() - start < 10
+
+
+@pytest.mark.parametrize("small", [0, 1 << 20])
+def test_texts_stay_where_they_are(small, spark, sf_dir, edge_docs):
+    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
+    assert table(exact_dedup.exact_groups(docs, small=small)) == table(exact_dedup.exact_groups(docs))
+    assert table(exact_dedup.exact_groups(edge_docs, small=small)) == table(exact_dedup.exact_groups(edge_docs))
+    rows = docs.select(F.col("doc_id").alias("key"), F.octet_length("text").alias("size"), F.xxhash64("text").alias("head"),
+                       F.col("text").alias("body"), F.struct(F.lit(0).alias("none")).alias("more"))
+    shared = rows.groupBy("size", "head").agg(F.count(F.lit(1)).alias("n")).select("size", "head", F.lit(True).alias("alive"))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        plan = exact_dedup._full(rows, shared, small)._jdf.queryExecution().explainString(
+            spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    moved = [b for b in plan.split("\n\n") if "Exchange" in b.split("\n")[0] and "Input" in b]
+    assert moved and not any("body#" in b or "text#" in b for b in moved)
