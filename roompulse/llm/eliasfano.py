@@ -6,7 +6,9 @@ import numpy as np
 
 U = np.uint64
 _BITS = np.array([[i for i in range(8) if b >> i & 1] + [0] * (8 - bin(b).count("1")) for b in range(256)],
-                 np.int64)
+                 np.uint8).ravel()
+_EACH = U(0x0101010101010101)       # a byte's worth in each of eight bytes
+_TOPS = U(0x8080808080808080)
 _COUNT = np.array([bin(b).count("1") for b in range(256)], np.uint8)
 
 
@@ -42,6 +44,7 @@ class EliasFano:
     def __init__(self, head, low, high, rank):
         self.n, self.low_bits = int(head[0]), int(head[1])
         self.low, self.high, self.rank = low, high, rank
+        self.words = high.view("<u8")
         self.zeros = np.arange(len(rank), dtype=np.int64) * 64 - rank
         # A 64-bit window at every byte of the packed low bits.
         self.window = np.ndarray((max(0, len(low) - 7),), "<u8", buffer=low, strides=(1,)) if len(low) > 7 else None
@@ -57,15 +60,19 @@ class EliasFano:
         """Place of the ``k``-th (from 0) one or zero of the bit vector."""
         counts = self.rank if ones else self.zeros
         word = np.searchsorted(counts, k, "right") - 1
-        rest = (k - counts[word]).astype(np.uint8)
-        octets = self.high.reshape(-1, 8)[word]
+        flags = self.words[word]
         if not ones:
-            octets = ~octets
-        sums = np.cumsum(_COUNT[octets], axis=1, dtype=np.uint8)
-        octet = (sums <= rest[:, None]).sum(axis=1)
-        rows = np.arange(len(k))
-        rest = rest - np.where(octet > 0, sums[rows, octet - 1], 0)
-        return word * 64 + octet * 8 + _BITS[octets[rows, octet], rest]
+            flags = ~flags
+        rest = (k - counts[word]).astype(U)
+        # Set bits up to each of the eight bytes, in that byte; the place is in the first byte that exceeds ``rest``.
+        sums = flags - ((flags >> U(1)) & (_EACH * U(0x55)))
+        sums = (sums & (_EACH * U(0x33))) + ((sums >> U(2)) & (_EACH * U(0x33)))
+        sums = ((sums + (sums >> U(4))) & (_EACH * U(0x0F))) * _EACH
+        more = ((sums | _TOPS) - (rest + U(1)) * _EACH) & _TOPS
+        shift = (U(8) - (((more >> U(7)) * _EACH) >> U(56))) << U(3)
+        rest -= ((sums << U(8)) >> shift) & U(255)
+        octet = (flags >> shift) & U(255)
+        return word * 64 + shift.astype(np.int64) + _BITS[(octet << U(3)) + rest]
 
     def access(self, i: np.ndarray) -> np.ndarray:
         """The numbers at places ``i``."""
