@@ -48,5 +48,5 @@ def _star(links: DataFrame, large: bool) -> DataFrame:
         joined = links.join(small, "a")
         new = joined.select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(
             small.select("a", F.col("m").alias("b")))
-    return new.filter("a <> b").select(
-        F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct()
+    new = new.filter("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    return new if large else new.distinct()     # the large star makes one link of each

@@ -5,10 +5,10 @@ read off shifted by 0, 1, 2, ... places (C-MinHash, Li and Li, 2021). Coordinate
 smallest value of the second permutation at (scattered place + k), so one run of neighbouring
 values per shingle yields all coordinates.
 
-No bucket is ever expanded into all its pairs. Equal sets are one class. Each member of a bucket is compared with
-the smallest member; what is linked forms components. Buckets that share members form families; where a family
-still holds several components, sets that overlap enough share a shingle among the rarest of both (prefix filter). These
-shingles are buckets again, in which one member per component meets one leader, in rounds that merge what they link.
+No bucket is expanded into rows of pairs. Equal sets are one class. Each member of a bucket is compared with the smallest
+member; what is linked forms components. Buckets that share members form families; where a family still holds several
+components, sets that overlap enough share a shingle among the rarest of both (prefix filter). All holders of such a shingle
+are compared inside tasks, in groups of bounded size that bring every two of them together.
 """
 
 from __future__ import annotations
@@ -31,6 +31,8 @@ BANDS = 32
 ROWS = 5        # at similarity 0.8, a pair misses all 32 bands with probability 3e-6; at 0.85, 8e-9
 SEED = 20211
 CHUNK = 1024
+BLOCK = 128     # sets of a bucket that meet those of another block in one group
+COLUMNS = 1 << 12
 
 
 @lru_cache(maxsize=2)
@@ -62,6 +64,10 @@ def band_keys(signatures: np.ndarray, bands: int, rows: int) -> np.ndarray:
     return key.view(np.int64)
 
 
+def _digest(shingles: np.ndarray) -> bytes:
+    return hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+
+
 def _sketcher(words: int, bands: int, rows: int):
     def run(batches):
         for batch in batches:
@@ -69,7 +75,7 @@ def _sketcher(words: int, bands: int, rows: int):
             for h in Words(batch.column(1)).rows():
                 s = np.unique(ngrams(h, words))
                 size.append(len(s))
-                sets.append(hashlib.blake2b(s.tobytes(), digest_size=16).digest())
+                sets.append(_digest(s))
                 keys.append(signature(s, bands * rows) if len(s) else np.zeros(bands * rows, np.int32))
             if not size:
                 continue
@@ -85,11 +91,12 @@ def _sketcher(words: int, bands: int, rows: int):
 def _setter(words: int):
     def run(batches):
         for batch in batches:
-            sets = [np.unique(ngrams(h, words).view(np.int64)) for h in Words(batch.column(1)).rows()]
+            sets = [np.unique(ngrams(h, words)) for h in Words(batch.column(1)).rows()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
-            flat = np.concatenate(sets) if sets else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.ListArray.from_arrays(
-                pa.array(ends, pa.int32()), pa.array(flat))], ["id", "shingles"])
+            flat = np.concatenate([np.sort(x.view(np.int64)) for x in sets]) if sets else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays(
+                [batch.column(0), pa.array([_digest(x) for x in sets], pa.binary()),
+                 pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat))], ["id", "set", "shingles"])
     return run
 
 
@@ -143,12 +150,14 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
     first = staged(members.filter("rep <> leader").select(
         F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
-    families = staged(components(first), "near-families")
-    sets = staged(plain.join(families.select("id"), "id", "left_semi").mapInArrow(
-        _setter(words), "id bigint, shingles array<bigint>").dropDuplicates(["id"]), "near-sets")
-    links = _confirmed(first, sets, percent)
-    known = components(links)
-    known = _across(_beginnings(families, known, sets, percent), links, known, sets, first, percent)
+    met = first.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes, "rep")
+    sets = staged(plain.join(met.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(
+        _setter(words), "id bigint, set binary, shingles array<bigint>")
+        .join(met.select(F.col("rep").alias("id"), "set"), ["id", "set"], "left_semi")
+        .dropDuplicates(["id"]).drop("set"), "near-sets")
+    families = components(first)
+    known = staged(components(_confirmed(first, sets, percent)), "near-known")
+    known = _joined(known, staged(_across(_beginnings(families, known, sets, percent), percent), "near-across"))
 
     of_rep = classes.join(known, classes["rep"] == known["id"], "left").select(
         "set", F.coalesce("component", "rep").alias("component"))
@@ -160,72 +169,107 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
 
 
 def _beginnings(families: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """``(family, s, id, n, at)``: the shingles by which a set must meet a similar one, for families with more than one
-    component.
+    """``(family, component, id, n, common, upto)`` of the sets in families with more than one component.
 
-    Shingles are ordered by how many of the family hold them, so a set begins with those of its own. Sets of sizes n and m
-    must share ``need = percent (n + m) / (100 + percent)`` shingles; then the first one they share stands at a place
-    no later than n - need and m - need. Only those beginnings are kept; a shingle's holders are a bucket.
+    ``common`` are the shingles that others of the family hold, ordered by how many do; those of one set only come before
+    them. Sets of sizes n and m must share ``need = percent (n + m) / (100 + percent)`` shingles; then the first one they
+    share stands at a place no later than n - need and m - need: among the first ``upto`` of ``common``.
     """
-    placed = staged(_placed(families.select("id", F.col("component").alias("family")), known), "near-placed")
-    split = staged(placed.groupBy("family").agg(F.min("component").alias("low"), F.max("component").alias("high"))
-                   .filter("low < high").select("family"), "near-split")
-    sized = sets.select("id", "shingles", F.size("shingles").alias("n"))
-    open_ = staged(placed.join(split, "family").select("family", "id").join(sized, "id"), "near-open")
-    smallest = staged(open_.groupBy("family").agg(F.min("n").alias("least")), "near-smallest")
-    each = open_.select("family", "id", F.explode("shingles").alias("s"))
+    sized = sets.select("id", F.size("shingles").alias("n"))
+    placed = staged(families.select("id", F.col("component").alias("family")).join(known, "id", "left")
+                    .withColumn("component", F.coalesce("component", "id")).join(sized, "id"), "near-placed")
+    split = staged(placed.groupBy("family").agg(
+        F.min("component").alias("low"), F.max("component").alias("high"), F.min("n").alias("least"))
+        .filter("low < high").select("family", "least"), "near-split")
+    open_ = staged(placed.join(split, "family"), "near-open")
+    each = open_.join(sets, "id").select("family", "id", F.explode("shingles").alias("s"))
     shared = staged(each.groupBy("family", "s").agg(F.count(F.lit(1)).alias("f")).filter("f > 1"), "near-shared")
-    own = staged(each.join(shared, ["family", "s"]).groupBy("id").agg(
-        F.sort_array(F.collect_list(F.struct("f", "s"))).alias("common")), "near-common")
-    need = lambda n, m: F.ceil((F.col(n) + m) * percent / (100 + percent))
+    own = each.join(shared, ["family", "s"]).groupBy("id").agg(
+        F.sort_array(F.collect_list(F.struct("f", "s"))).alias("common"))
     # The least that a partner can demand: one as small as the family has, or as similarity allows.
-    least = need("n", F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100)))
-    begins = (open_.drop("shingles").join(own, "id").join(smallest, "family")
-              .withColumn("alone", F.col("n") - F.size("common"))
-              .withColumn("upto", F.col("n") - least - F.col("alone") + 1).filter("upto > 0")
-              .select("family", "id", "n", "alone",
-                      F.posexplode(F.slice("common", 1, F.col("upto").cast("int"))).alias("place", "x"))
-              .select("family", F.col("x.s").alias("s"), "id", "n", (F.col("alone") + F.col("place")).alias("at")))
-    return staged(begins, "near-begins")
+    smallest = F.greatest(F.col("least"), F.ceil(F.col("n") * percent / 100))
+    need = F.ceil((F.col("n") + smallest) * percent / (100 + percent))
+    begins = own.join(open_, "id").withColumn("upto", (F.size("common") - need + 1).cast("int")).filter("upto > 0")
+    return staged(begins.select("family", "component", "id", "n", F.col("common.s").alias("common"), "upto"),
+                  "near-begins")
 
 
-def _placed(rows: DataFrame, known: DataFrame) -> DataFrame:
-    """Rows with the component of their ``id``, which is itself where it has no link."""
-    return rows.join(known, "id", "left").withColumn("component", F.coalesce("component", "id"))
+def _across(begins: DataFrame, percent: int) -> DataFrame:
+    """Links ``(a, b)`` between components: all that their members' sets make, but for those that close a ring.
 
+    The holders of a shingle among the first of theirs are a bucket. A bucket with several components is dealt into blocks
+    of about ``BLOCK`` sets. Each two blocks are a group, so every two members meet in a group, and a group's rows are bounded
+    however large a bucket is.
+    """
+    held = staged(begins.select("family", "component", "id", F.explode(F.slice("common", F.lit(1), F.col("upto"))).alias("s")),
+                  "near-held")
+    blocks = F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")
+    open_ = staged(held.groupBy("family", "s").agg(
+        blocks, F.min("component").alias("low"), F.max("component").alias("high")).filter("low < high")
+        .select("family", "s", "blocks"), "near-open")
+    dealt = held.join(open_, ["family", "s"]).withColumn("block", F.pmod(F.xxhash64("id"), "blocks"))
+    paired = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("blocks") - 1))).filter(
+        "blocks = 1 OR other <> block")
+    groups = staged(paired.select("family", "s", F.least("block", "other").alias("i"),
+                                  F.greatest("block", "other").alias("j"), "id"), "near-groups")
+    return groups.join(begins.select("id", "component", "n", "common"), "id").groupBy("family", "s", "i", "j").applyInArrow(
+        _linker(percent), "a bigint, b bigint")
+
+
+def _linker(percent: int):
+    """Of a group's ``(component, n, common)`` rows: links between components that similar sets make, as a forest."""
+    def run(group: pa.Table) -> pa.Table:
+        of = group.column("component").to_numpy()
+        names, at = np.unique(of, return_inverse=True)
+        if len(names) > 1:
+            size, both = group.column("n").to_numpy(), overlaps(group.column("common").combine_chunks())
+            good = (of[:, None] < of[None, :]) & (100 * both >= percent * (size[:, None] + size[None, :] - both))
+        else:
+            good = np.zeros((len(of), len(of)), bool)
+        links, root = [], list(range(len(names)))
+        for x, y in zip(*(at[i] for i in np.nonzero(good))):
+            while root[x] != x:
+                x = root[x]
+            while root[y] != y:
+                y = root[y]
+            if x != y:
+                root[max(x, y)] = min(x, y)
+                links.append((names[max(x, y)], names[min(x, y)]))
+        return pa.table({"a": pa.array([a for a, _ in links], pa.int64()),
+                         "b": pa.array([b for _, b in links], pa.int64())})
+    return run
 
-def _across(begins: DataFrame, links: DataFrame, known: DataFrame, sets: DataFrame, seen: DataFrame,
-            percent: int) -> DataFrame:
-    """Components after rounds of links between those that share a bucket of ``begins``.
 
-    In each round a bucket has one leader, the smallest component's first member at the beginning and by a draw per
-    round after that. One member of every other component there is compared with it, so a round makes at most one pair
-    per row of ``begins``, however large a bucket is. What is linked merges, and rounds go on until one links nothing. A
-    link is lost only if its two sets never meet a similar leader in any bucket they share.
-    """
-    turn, linked = 0, not begins.isEmpty()
-    while linked:
-        now = _placed(begins, known)
-        rank = F.col("component") if turn == 0 else F.xxhash64("component", F.lit(turn))
-        now = staged(now.groupBy("family", "s", "component").agg(F.min(F.struct("at", "id", "n")).alias("m"))
-                     .select("family", "s", rank.alias("rank"), "component", "m.*"), "near-members")
-        leader = now.groupBy("family", "s").agg(F.min(F.struct("rank", "component", "id", "n", "at")).alias("l"),
-                                                F.count(F.lit(1)).alias("members"))
-        leader = leader.filter("members > 1").select("family", "s", "l")
-        wanted = F.ceil((F.col("x.n") + F.col("y.l.n")) * percent / (100 + percent))
-        hit = ((F.col("x.family") == F.col("y.family")) & (F.col("x.s") == F.col("y.s"))
-               & (F.col("x.component") != F.col("y.l.component"))
-               & (F.col("x.at") + wanted <= F.col("x.n")) & (F.col("y.l.at") + wanted <= F.col("y.l.n")))
-        pairs = now.alias("x").join(leader.alias("y"), hit).select(
-            F.greatest("x.id", "y.l.id").alias("a"), F.least("x.id", "y.l.id").alias("b")).distinct()
-        pairs = staged(pairs.join(seen, ["a", "b"], "left_anti"), "near-pairs")
-        seen = seen.unionByName(pairs)
-        new = _confirmed(pairs, sets, percent)
-        turn, linked = turn + 1, not new.isEmpty()
-        if linked:
-            links = links.unionByName(new)
-            known = components(links)
-    return known
+def overlaps(sets: pa.ListArray) -> np.ndarray:
+    """How many elements each two different ones of the sets share."""
+    size = np.diff(sets.offsets.to_numpy()).astype(np.int64)
+    row = np.repeat(np.arange(len(size)), size)
+    _, column, holders = np.unique(sets.flatten().to_numpy(), return_inverse=True, return_counts=True)
+    shared = np.flatnonzero(holders > 1)
+    place = np.full(len(holders), -1)
+    place[shared] = np.arange(len(shared))
+    column = place[column]
+    row, column = row[column >= 0], column[column >= 0]
+    sort = np.argsort(column, kind="stable")
+    row, column = row[sort], column[sort]
+    both = np.zeros((len(size), len(size)), np.int64)
+    for first in range(0, len(shared), COLUMNS):
+        x, y = np.searchsorted(column, [first, first + COLUMNS])
+        holds = np.zeros((len(size), min(COLUMNS, len(shared) - first)), np.float32)
+        holds[row[x:y], column[x:y] - first] = 1
+        both += (holds @ holds.T).astype(np.int64)
+    return both
+
+
+def _joined(known: DataFrame, links: DataFrame) -> DataFrame:
+    """Components after more links between them."""
+    if links.isEmpty():
+        return known
+    more = components(links).select(F.col("id").alias("component"), F.col("component").alias("least"))
+    both = known.join(more, "component", "left").select("id", F.coalesce("least", "component").alias("component"))
+    # Sets that had no link are components of their own, and not among the known.
+    alone = more.select(F.col("component").alias("id"), F.col("least").alias("component")).join(known, "id", "left_anti")
+    return both.unionByName(alone)
 
 
 def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:

@@ -155,3 +155,40 @@ def test_pairs_compared_grow_with_rows(spark, monkeypatch):
         totals.append(sum(compared))
     assert totals[1] <= 3 * totals[0] and totals[1] <= 4 * len(docs)
     assert wanted and found >= 0.9 * wanted
+
+
+@pytest.mark.parametrize("block", (8, 128))
+def test_no_link_is_lost_among_sets_that_share_all_their_shingles(spark, monkeypatch, block):
+    """No shingle is rare and most pairs stay just below the threshold: each of the others must be found."""
+    monkeypatch.setattr(minhash, "BLOCK", block)
+    rng = random.Random(4)
+    docs = []
+    for _ in range(200):
+        other = set(rng.sample(range(200), 16))
+        docs.append(" ".join("%s%d" % ("q" if i in other else "p", i) for i in range(200)))
+    want = brute(list(enumerate(docs)), 1, 80)
+    rows = [(i, t, None, None, 0) for i, t in enumerate(docs)]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, DOCS), words=1, percent=80).collect()
+    assert {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in got} == want
+    assert 20 < len({c for _, c in want.values()}) < 180
+
+
+def test_overlaps_against_brute_force(monkeypatch):
+    import pyarrow as pa
+    monkeypatch.setattr(minhash, "COLUMNS", 7)
+    rng = random.Random(6)
+    sets = [sorted(rng.sample(range(-60, 60), rng.randrange(50))) for _ in range(30)]
+    both = minhash.overlaps(pa.array([[0], *sets], pa.list_(pa.int64()))[1:])
+    assert all(both[i, j] == len(set(x) & set(y)) for i, x in enumerate(sets) for j, y in enumerate(sets) if i != j)
+
+
+def test_repeated_keys_are_linked_by_the_text_that_counts(spark):
+    """A key with two texts is linked by the one that its row tells of, whichever comes first."""
+    rng = random.Random(8)
+    texts = [sentence(rng, 60, ["v%d" % i for i in range(500)]) for _ in range(20)]
+    rows = [(2 * i + j, t + " end" * (j > 0), None, None, 0) for i, t in enumerate(texts) for j in range(2)]
+    rows += [(2 * i, "short text of key %d" % i, None, None, 0) for i in range(20)]
+    for rows_ in (rows, rows[::-1]):
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(
+            spark.createDataFrame(rows_, DOCS).coalesce(1)).collect()}
+        assert got == {i: i // 2 * 2 for i in range(40)}
