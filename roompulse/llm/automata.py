@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 from collections import Counter
+from collections.abc import Iterable
 from itertools import accumulate
 
 RARE = 1e-4     # probability of whatever an automaton has not seen at a state, shared by 100 characters
@@ -88,6 +89,25 @@ class Automaton:
                 known.add(state)
             blue = [(r, x) for r in red for x in sorted(self.next[r]) if self.next[r][x] not in known]
 
+    def walk(self, text: str) -> list[tuple[int, str]]:
+        """The states that a string passes and the character that it takes at each, empty where it ends."""
+        at, out = 0, []
+        for c in text:
+            out.append((at, c))
+            at = self.next[at].get(c, at)
+        return [*out, (at, "")]
+
+    def recount(self, walked: dict[tuple[int, str], int]) -> None:
+        """Take all counts from the walks of other strings; a move that is new stays at its state."""
+        self.moves, self.ends = [Counter() for _ in self.next], [0] * len(self.next)
+        for (state, c), n in walked.items():
+            if c:
+                self.moves[state][c] = n
+                self.next[state].setdefault(c, state)
+            else:
+                self.ends[state] = n
+        self.passes = [sum(m.values()) + e for m, e in zip(self.moves, self.ends)]
+
     def score(self, text: str) -> float:
         """Natural log of the string's probability; unseen moves stay where they are at a low probability."""
         return next(self.scores(text, 0, [len(text)]))[1]
@@ -112,19 +132,19 @@ class Automaton:
 class Background:
     """Character pairs of ordinary words, smoothed; what a candidate would be if it were no credential."""
 
-    def __init__(self, examples: list[str]):
-        self.pairs: Counter = Counter()
-        self.firsts: Counter = Counter()
+    def __init__(self, examples: Iterable[str] = (), counts: dict[tuple[str, str], int] | None = None):
+        self.pairs: Counter = Counter(counts)
         for text in examples:
-            for a, b in zip("\n" + text, text):
-                self.pairs[a, b] += 1
-                self.firsts[a] += 1
+            self.pairs.update(zip("\n" + text, text))
+        self.firsts: Counter = Counter()
+        for (a, _), n in self.pairs.items():
+            self.firsts[a] += n
 
     def score(self, text: str) -> float:
-        return sum(math.log((self.pairs[a, b] + 0.01) / (self.firsts[a] + 1.0))
-                   for a, b in zip("\n" + text, text))
+        return self.sums(text)[-1]
 
     def sums(self, text: str) -> list[float]:
-        """Scores of the first 0, 1, 2, ... characters."""
-        return list(accumulate((math.log((self.pairs[a, b] + 0.01) / (self.firsts[a] + 1.0))
-                                for a, b in zip("\n" + text, text)), initial=0.0))
+        """Scores of the first 0, 1, 2, ... characters; however much was counted, none is rarer than RARE / 100."""
+        return list(accumulate((
+            math.log(max(RARE / 100, (self.pairs[a, b] + 0.01) / (self.firsts[a] + 1.0)))
+            for a, b in zip("\n" + text, text)), initial=0.0))

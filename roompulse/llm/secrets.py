@@ -9,7 +9,7 @@ import bisect
 import hashlib
 import random
 import re
-import zlib
+from collections import Counter
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,11 +34,11 @@ FORMATS = {
     "slack": ("xoxb-", _DIGITS, 24), "google": ("AIza", _UPPER + _LOWER + _DIGITS + "-_", 35),
     "stripe": ("sk_live_", _UPPER + _LOWER + _DIGITS, 24), "npm": ("npm_", _UPPER + _LOWER + _DIGITS, 36)}
 
-EXAMPLES = 2000         # labelled credentials per kind, and ordinary words, that the model is fitted on
+EXAMPLES = 2000         # labelled credentials per kind that the states are merged on; all are counted
 LONGEST = 512           # characters of a credential that it is fitted on
 LEAST = 20              # characters of what a format may claim; fewer where it has shorter labelled credentials
 MARGIN = 0.5            # nats per character by which a format must beat ordinary words
-ORDINARY = 64           # one document in so many lends its words to the background
+LETTERS = frozenset("\n" + _DIGITS + _UPPER + _LOWER + "+/_.=-")      # what the background is asked about
 
 
 def base_spans(text: str) -> list[tuple[int, int, str, str]]:
@@ -83,18 +83,18 @@ _FOUND = ("key bigint, starts array<int>, ends array<int>, kinds array<string>,
 
 def _finder(batches):
     for batch in batches:
-        rows = []
+        rows, words = [], set()
         for key, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
             text = text or ""
             base = base_spans(text)
             runs = candidates(text, base)
-            words = []
-            if zlib.crc32(str(key).encode()) % ORDINARY == 0:
-                words = sorted({w for w in text.split() if w.isalpha() and len(w) >= 6})
+            words.update(text.split())
             rows.append({
                 "key": key, "starts": [b[0] for b in base], "ends": [b[1] for b in base],
                 "kinds": [b[2] for b in base], "values": [b[3] for b in base],
-                "run_starts": [s for s, _ in runs], "runs": [r for _, r in runs], "ordinary": words})
+                "run_starts": [s for s, _ in runs], "runs": [r for _, r in runs], "ordinary": []})
+        if rows:    # a batch's words stand once, beside its first document
+            rows[0]["ordinary"] = sorted(w for w in words if len(w) >= 6 and w.isalpha())
         yield pa.RecordBatch.from_pylist(rows, _SCHEMA)
 
 
@@ -108,12 +108,13 @@ _SCHEMA = pa.schema([
 class Formats:
     """One automaton per kind of labelled credential and per published format, and the background."""
 
-    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str]):
+    def __init__(self, labelled: dict[str, list[str]], ordinary: list[str],
+                 counts: dict[tuple[str, str], int] | None = None):
         rng = random.Random(7)
         examples = {k: v for k, v in labelled.items() if v}
         for name, (prefix, letters, n) in FORMATS.items():
             examples[name] = [prefix + "".join(rng.choices(letters, k=n)) for _ in range(100)]
-        self.background = Background(ordinary)
+        self.background = Background(ordinary, counts)
         self.automata = {k: Automaton(v) for k, v in sorted(examples.items())}
         # A format claims strings about as likely, per character, as all but 1 % of its own examples.
         self.floor = {k: sorted(a.score(x) / (len(x) + 1) for x in examples[k])[len(examples[k]) // 100] - 0.2
@@ -166,16 +167,69 @@ class Formats:
         return out
 
 
+def _pairs(batches):
+    """How often each two neighbouring characters occur in words; the second is empty if no credential can hold it."""
+    for batch in batches:
+        counts: Counter = Counter()
+        for w in batch.column(0).to_pylist():
+            counts.update((a, b if b in LETTERS else "") for a, b in zip("\n" + w, w) if a in LETTERS)
+        yield pa.RecordBatch.from_pylist([{"a": a, "b": b, "n": n} for (a, b), n in counts.items()], pa.schema(
+            [("a", pa.string()), ("b", pa.string()), ("n", pa.int64())]))
+
+
+def _walked(formats: Formats):
+    def run(batches):
+        for batch in batches:
+            counts: Counter = Counter()
+            for kind, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                counts.update((kind, *step) for step in formats.automata[kind].walk(text))
+            yield pa.RecordBatch.from_pylist(
+                [{"kind": k, "state": s, "c": c, "n": n} for (k, s, c), n in counts.items()], pa.schema(
+                    [("kind", pa.string()), ("state", pa.int32()), ("c", pa.string()), ("n", pa.int64())]))
+    return run
+
+
+def _scored(formats: Formats):
+    def run(batches):
+        for batch in batches:
+            kinds, texts = (c.to_pylist() for c in batch.columns)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(
+                [formats.automata[k].score(x) / (len(x) + 1) for k, x in zip(kinds, texts)], pa.float64())], ["kind", "x"])
+    return run
+
+
 def learned(found: DataFrame) -> Formats:
-    """The formats, fitted on at most ``EXAMPLES`` distinct credentials per kind, the first by their hashes."""
-    each = found.select(F.explode(F.arrays_zip("kinds", "values")).alias("x")).select("x.*").filter(
-        F.length("values") <= LONGEST)
+    """The formats of all distinct credentials, beside the pairs of characters in all distinct ordinary words.
+
+    States are merged on at most ``EXAMPLES`` credentials per kind, the first by their hashes. If there are more, all of them
+    pass through the states, and probabilities, least score and lengths are theirs.
+    """
+    each = staged(found.select(F.explode(F.arrays_zip("kinds", "values")).alias("x")).select("x.*").filter(
+        F.length("values") <= LONGEST).distinct(), "secrets-labelled")
     labelled = {}
     for kind in KINDS[:3]:
-        rows = each.filter(F.col("kinds") == kind).select("values").distinct()
+        rows = each.filter(F.col("kinds") == kind).select("values")
         labelled[kind] = [r[0] for r in rows.orderBy(F.xxhash64("values"), "values").limit(EXAMPLES).collect()]
-    words = found.select(F.explode("ordinary").alias("w")).distinct()
-    return Formats(labelled, [r[0] for r in words.orderBy(F.xxhash64("w"), "w").limit(EXAMPLES).collect()])
+    words = found.select(F.explode("ordinary").alias("w")).distinct().mapInArrow(_pairs, "a string, b string, n bigint")
+    pairs = {(r["a"], r["b"]): r["n"] for r in words.groupBy("a", "b").agg(F.sum("n").alias("n")).collect()}
+    formats = Formats(labelled, [], pairs)
+
+    length = F.length("values")
+    sizes = {r["kinds"]: r for r in each.groupBy("kinds").agg(
+        F.count(F.lit(1)).alias("n"), F.min(length).alias("least"), F.max(length).alias("longest")).collect()}
+    many = [k for k, r in sizes.items() if r["n"] > EXAMPLES]
+    if many:
+        rest = each.filter(F.col("kinds").isin(many))
+        walked = rest.mapInArrow(_walked(formats), "kind string, state int, c string, n bigint").groupBy(
+            "kind", "state", "c").agg(F.sum("n").alias("n")).collect()
+        for kind in many:
+            formats.automata[kind].recount({(r["state"], r["c"]): r["n"] for r in walked if r["kind"] == kind})
+            formats.least[kind] = min(LEAST, sizes[kind]["least"])
+            formats.longest[kind] = sizes[kind]["longest"]
+        scores = rest.mapInArrow(_scored(formats), "kind string, x double").groupBy("kind").agg(
+            F.percentile_approx("x", 0.01, 1_000_000).alias("x"))
+        formats.floor.update({r["kind"]: r["x"] - 0.2 for r in scores.collect()})
+    return formats
 
 
 def found_secrets(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:

@@ -3,6 +3,8 @@ import html
 import random
 import re
 
+import pytest
+
 from roompulse.llm import secrets
 from roompulse.llm.automata import Automaton, Background
 from roompulse.llm.html_text import extracted, main_text
@@ -186,3 +188,32 @@ def test_merging_generalises():
     new, odd = "ID" + "90210773", "DI" + "90210773"
     assert len(set(seen.next[0])) == 1 and seen.score(new) > seen.score(odd) + 5
     assert Background(["plain", "words"]).score("plain") > Background(["plain", "words"]).score("x9q7z")
+
+
+def test_counts_and_thresholds_come_from_all_rows(spark, monkeypatch):
+    """Words of every document are counted; credentials beyond those that states are merged on count too."""
+    monkeypatch.setattr(secrets, "EXAMPLES", 20)
+    rng = random.Random(12)
+    values = ["".join(rng.choices("0123456789abcdef", k=24 + i % 9)) for i in range(150)]
+    rows = [(i, f'token = "{v}" qwertyuiop{chr(97 + i % 26)}', None, None, 0) for i, v in enumerate(values)]
+    found = spark.createDataFrame(rows, "doc_id bigint, text string, lang string, source string, n_chars bigint").select(
+        "doc_id", "text").mapInArrow(secrets._finder, secrets._FOUND)
+    formats = secrets.learned(found)
+    words = {"qwertyuiop" + chr(97 + i) for i in range(26)}
+    want = secrets.Background(words)
+    assert formats.background.pairs == want.pairs and formats.background.firsts == want.firsts
+    automaton = formats.automata["assign"]
+    assert automaton.passes[0] >= 150 and sum(automaton.ends) == 150
+    assert sum(sum(m.values()) for m in automaton.moves) == sum(map(len, values))
+    assert (formats.least["assign"], formats.longest["assign"]) == (20, 32)
+    each = sorted(automaton.score(v) / (len(v) + 1) for v in values)
+    assert abs(formats.floor["assign"] - (each[1] - 0.2)) < 1e-9
+
+
+def test_counts_of_walks_are_those_of_merging():
+    rng = random.Random(13)
+    texts = sorted({"".join(rng.choices("ab1", k=rng.randrange(3, 9))) for _ in range(200)})
+    automaton = secrets.Automaton(texts)
+    before = [automaton.score(t) for t in texts]
+    automaton.recount(secrets.Counter(step for t in texts for step in automaton.walk(t)))
+    assert [automaton.score(t) for t in texts] == pytest.approx(before)
