@@ -14,6 +14,7 @@ are compared inside tasks, in groups of bounded size that bring every two of the
 from __future__ import annotations
 
 import hashlib
+import uuid
 from functools import lru_cache
 
 import numpy as np
@@ -21,10 +22,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from roompulse.llm import mapped
 from roompulse.llm.columns import free_name
 from roompulse.llm.components import components
 from roompulse.llm.wordhash import U, Words, mix, ngrams
-from roompulse.session import staged
+from roompulse.session import staged, staging_folder
 
 UNIVERSE = 1 << 21
 BANDS = 32
@@ -33,6 +35,7 @@ SEED = 20211
 CHUNK = 1024
 BLOCK = 128     # sets of a bucket that meet those of another block in one group
 COLUMNS = 1 << 12
+IDS = 1 << 20   # ids in one sorted array
 
 
 @lru_cache(maxsize=2)
@@ -88,9 +91,25 @@ def _sketcher(words: int, bands: int, rows: int):
     return run
 
 
-def _setter(words: int):
+def _id_writer(folder: str):
+    """The ids of a part as a sorted array."""
+    def run(table: pa.Table) -> pa.Table:
+        part = table.column("part")[0].as_py()
+        mapped.write(folder, f"met-{part}", {"id": np.sort(table.column("id").to_numpy())})
+        return pa.table({"part": pa.array([part], pa.int64())})
+    return run
+
+
+def _setter(words: int, folder: str, parts: list[int]):
+    """Full sets of the rows whose ids are in the sorted arrays."""
     def run(batches):
+        wanted = [mapped.read(folder, f"met-{p}", "id", np.int64) for p in parts]
         for batch in batches:
+            ids = batch.column(0).to_numpy()
+            found = np.zeros(len(ids), bool)
+            for part in wanted:
+                found |= part[np.minimum(np.searchsorted(part, ids), len(part) - 1)] == ids
+            batch = batch.filter(pa.array(found))
             sets = [np.unique(ngrams(h, words)) for h in Words(batch.column(1)).rows()]
             ends = np.concatenate([[0], np.cumsum([len(x) for x in sets], dtype=np.int64)])
             flat = np.concatenate([np.sort(x.view(np.int64)) for x in sets]) if sets else np.zeros(0, np.int64)
@@ -151,10 +170,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
     first = staged(members.filter("rep <> leader").select(
         F.col("rep").alias("a"), F.col("leader").alias("b")).distinct(), "near-pairs")
     met = first.select(F.explode(F.array("a", "b")).alias("rep")).distinct().join(classes, "rep")
-    sets = staged(plain.join(met.select(F.col("rep").alias("id")), "id", "left_semi").mapInArrow(
-        _setter(words), "id bigint, set binary, shingles array<bigint>")
-        .join(met.select(F.col("rep").alias("id"), "set"), ["id", "set"], "left_semi")
-        .dropDuplicates(["id"]).drop("set"), "near-sets")
+    sets = _full_sets(plain, staged(met.select(F.col("rep").alias("id"), "set"), "near-met"), words)
     families = components(first)
     known = staged(components(_confirmed(first, sets, percent)), "near-known")
     known = _joined(known, staged(_across(_beginnings(families, known, sets, percent), percent), "near-across"))
@@ -168,6 +184,20 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wo
         (F.col("id") == F.coalesce("component", "id")).alias("kept"))
 
 
+def _full_sets(plain: DataFrame, met: DataFrame, words: int) -> DataFrame:
+    """``(id, shingles)`` of the ids in ``met``, from the text whose set is ``set``.
+
+    The ids go to the shared folder as sorted arrays of about ``IDS`` each, and the scan of the texts looks them up there: no
+    text is shuffled, however many ids there are, only the sets that are wanted, once.
+    """
+    folder = f"{staging_folder(plain.sparkSession)}/near-ids-{uuid.uuid4().hex}"
+    dealt = met.select("id", F.pmod(F.xxhash64("id"), F.lit(met.count() // IDS + 1)).alias("part"))
+    parts = [r["part"] for r in dealt.groupBy("part").applyInArrow(_id_writer(folder), "part bigint").collect()]
+    return staged(plain.mapInArrow(_setter(words, folder, parts), "id bigint, set binary, shingles array<bigint>")
+                  .join(met, ["id", "set"], "left_semi")
+                  .dropDuplicates(["id", "set"]).drop("set"), "near-sets")   # dealt as for the join: one shuffle
+
+
 def _beginnings(families: DataFrame, known: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """``(family, component, id, n, common, upto)`` of the sets in families with more than one component.
 

@@ -192,3 +192,30 @@ def test_repeated_keys_are_linked_by_the_text_that_counts(spark):
         got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(
             spark.createDataFrame(rows_, DOCS).coalesce(1)).collect()}
         assert got == {i: i // 2 * 2 for i in range(40)}
+
+
+def test_texts_are_not_shuffled_for_their_sets(spark, monkeypatch):
+    """However many ids need full sets, the texts are looked up where they are scanned, in several arrays of ids."""
+    plans, real = [], minhash.staged
+
+    def staged(df, name):
+        if name == "near-sets":
+            plans.append(spark._jvm.PythonSQLUtils.explainString(df._jdf.queryExecution(), "simple"))
+        return real(df, name)
+    monkeypatch.setattr(minhash, "staged", staged)
+    monkeypatch.setattr(minhash, "IDS", 7, raising=False)
+    rng = random.Random(9)
+    vocabulary = ["v%d" % i for i in range(900)]
+    texts = [sentence(rng, 60, vocabulary) for _ in range(40)]
+    rows = [(i * s, t + " end" * (s < 0), None, None, 0) for i, t in enumerate(texts, 1) for s in (1, -1)]
+    rows += [(1000 + i, sentence(rng, 60, vocabulary), None, None, 0) for i in range(40)] + [(1000, None, None, None, 0)]
+    threshold = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(rows, DOCS)).collect()}
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", threshold)
+    assert got == {r[0]: -abs(r[0]) if abs(r[0]) < 1000 else r[0] for r in rows}
+    plan, = plans
+    before = plan.split("MapInArrow")[1].split("+- Sort")[0].split(":- Sort")[0]
+    assert "Scan" in before and "Exchange" not in before and "Join" not in before
